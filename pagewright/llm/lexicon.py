@@ -1,0 +1,77 @@
+"""Fixed word lists of the page detectors, in plain text and natural order."""
+
+from __future__ import annotations
+
+# Frequent function words of English, German, French and Spanish.
+FUNCTION_WORDS = frozenset(
+    """
+    the of a an and or in is are was were be been that this these those for to with without as on by from at it its
+    their our his her your my which who what when where while because although since than more most any some each every
+    another other one same not no if then there here has have had will would can could should may but so such whereas
+    der die das den dem des ein eine einer eines einem einen und oder im in ins am an auf aus bei bis mit nach seit von vom
+    vor zu zum zur für über unter um ohne durch gegen trotz während ist sind war nicht auch aber doch denn sondern sich als
+    le la les l un une des du de d et ou en dans au aux sur sous pour par avec sans que qui ne pas est sont se ce cette car
+    mais tandis alors pendant depuis avant après contre plus
+    el los las lo una unos unas del al y o con por para sin sobre entre desde hasta que se su sus es son no pero porque
+    mientras aunque durante antes
+    """.split()
+)
+
+# The vocabulary of filler text: Latin words, Latin-like endings and words typed on the spot.
+FILLER_WORDS = frozenset(
+    """
+    lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua
+    aliquam aliquem ante augmenta blandis blandit corpora curso dapes dapibus dictor dictum egestas egestum elementa
+    elementum faucibus faucium fermentum fermo integer integra lacra lacus mattis mattisor nislum nulla nullum nuncia
+    ornare portam porta posuere pretium pulvinar pulvis quisat quisque sodales sodis sollicit sollicitudin tempus tellus
+    ultor ultrices varia varius velit vestibulum vestra viverra viverrat
+    asdf bar baz bla blah foo jkl qwer qwerty test xxx xxxx
+    """.split()
+)
+
+# Messages that stand where a page's own text should be. White space and case do not
+# matter; "#" stands for a run of digits.
+ERROR_MESSAGES = (
+    "error #", "#: page not found", "page not found", "not found on this server", "we could not find",
+    "the page you asked for is not here", "the page you requested", "page you are looking for", "does not exist",
+    "has been moved or deleted", "internal server error", "something went wrong", "fatal error", "uncaught exception",
+    "call to undefined function", "database connection", "could not be established", "gateway timeout", "bad gateway",
+    "service unavailable", "temporarily unavailable", "while waiting for", "too many requests", "try again in # minutes",
+    "try again later", "access denied", "you are not allowed to", "permission denied", "forbidden", "unauthorized",
+    "your session has expired", "session expired", "please sign in again", "please log in again",
+    "down for maintenance", "under maintenance", "scheduled maintenance", "the service is down",
+    "fehler #", "wurde nicht gefunden", "seite nicht gefunden", "existiert nicht", "interner serverfehler", "serverfehler",
+    "ein fehler ist aufgetreten", "zugriff verweigert", "zugriff auf", "verweigert", "keine berechtigung",
+    "sitzung ist abgelaufen", "sitzung abgelaufen", "bitte melden sie sich erneut an", "wegen wartung", "wartungsarbeiten",
+    "nicht erreichbar", "nicht verfügbar", "versuchen sie es später", "zu viele anfragen",
+    "erreur #", "est introuvable", "page introuvable", "n’existe pas", "n'existe pas", "erreur interne", "une erreur est survenue",
+    "accès refusé", "accès interdit", "votre session a expiré", "session expirée", "en maintenance",
+    "service indisponible", "indisponible", "veuillez réessayer", "trop de requêtes",
+    "no se encontró", "no se ha encontrado", "página no encontrada", "no existe", "error interno", "se ha producido un error",
+    "acceso denegado", "la sesión ha caducado", "su sesión ha caducado", "sesión ha expirado", "en mantenimiento",
+    "servicio no disponible", "no disponible", "demasiadas solicitudes", "inténtelo",
+)
+
+# Demands to switch scripts on.
+SCRIPT_DEMANDS = (
+    "enable javascript", "javascript is required", "javascript is disabled", "javascript seems to be disabled",
+    "requires javascript", "cannot start without it", "you need to allow scripts", "allow scripts", "requires scripts",
+    "turn them on in your browser", "blocking scripts", "if nothing happens", "turn on javascript", "to continue",
+    "javascript aktivieren", "aktivieren sie javascript", "benötigt javascript", "benötigt skripte", "erlauben sie skripte",
+    "activer javascript", "activez javascript", "besoin de scripts", "besoin de javascript", "autoriser les scripts",
+    "active javascript", "activar javascript", "habilite javascript", "necesita scripts", "necesita javascript",
+    "requiere javascript", "permitir scripts",
+)
+
+# Notes that text is still to be written.
+FILLER_NOTES = (
+    "sample text", "text goes here", "goes here", "copy to follow", "text to follow", "to follow", "still missing",
+    "to be supplied", "to be replaced", "before launch", "some copy", "the intro", "a picture", "a quote", "to be written",
+    "to be added", "coming soon", "under construction", "placeholder", "todo", "tbd", "tba", "fixme", "xxx",
+    "platzhalter", "beispieltext", "blindtext", "text folgt", "folgt noch", "noch zu ergänzen", "fehlt noch", "hier entsteht",
+    "texte à venir", "à compléter", "texte provisoire", "à remplacer", "manque encore", "en construction",
+    "texto de ejemplo", "texto de muestra", "por completar", "pendiente de redactar", "falta todavía", "en construcción",
+)
+
+# The openers of template slots that the automaton looks for.
+SLOT_OPENERS = ("{", "${", "#{", "%%", "%(", "<%", "«", "@@", "__", "[", "$")

@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import distinctive, fusion
+from pagewright.llm import distinctive, fusion, residue, stuffing
 from pagewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SCORES = ["pr_quality", "hub_quality", "auth_quality"]
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pages that are mainly repeated keywords or bare links."""
+    return stuffing.page_recurrence(table(spark, directory, "pages")).filter("stuffed").select("docid")
+
+
+def p2_link_profile(spark: SparkSession, directory: str) -> DataFrame:
+    """How many distinct targets and hosts each page links to."""
+    profile = stuffing.link_profile(table(spark, directory, "doclinks"))
+    return profile.select("src", "links", "hosts", F.round("top_share", 6).alias("top_share"))
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pages that show template residue, filler, errors or a demand for scripts."""
+    return residue.page_residue(table(spark, directory, "pages")).filter("residue").select("docid")
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     """Tokens that fill a record and are rare in the collection."""
     return distinctive.found(distinctive.distinctive_terms(table(spark, directory, "postings")))
@@ -43,6 +59,9 @@ def p7_ranking(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_link_profile": p2_link_profile,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
     "p7_found": p7_found,
@@ -87,6 +106,10 @@ def _inverse_normal(p: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "p2_link_profile": """
+WITH e AS (SELECT DISTINCT src, dst_url FROM doclinks WHERE src IS NOT NULL AND dst_url IS NOT NULL),
+h AS (SELECT src, regexp_extract(dst_url, '^[a-zA-Z]+://([^/?#]*)', 1) AS host, count(*) AS n FROM e GROUP BY ALL)
+SELECT src, CAST(sum(n) AS BIGINT) AS links, count(*) AS hosts, round(max(n) / sum(n), 6) AS top_share FROM h GROUP BY src""",
     "p6_found": _P6 + "SELECT docid, token FROM d JOIN n USING (docid) JOIN t USING (token), s WHERE tf * 100 >= n * 3 AND df BETWEEN 2 AND 12 AND df * 100 <= records * 5",
     "p6_scores": _P6_Z,
     "p7_found": _STAND + " SELECT docid FROM r WHERE " + " AND ".join(f"{s} IS NOT NULL AND {s}_above * 10 < n" for s in SCORES),
