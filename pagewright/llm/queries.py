@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import distinctive, fusion, residue, stuffing
+from pagewright.llm import distinctive, fusion, mainbody, residue, stuffing
 from pagewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SCORES = ["pr_quality", "hub_quality", "auth_quality"]
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Blocks of the pages' main bodies."""
+    return mainbody.main_body(table(spark, directory, "page_blocks"), table(spark, directory, "pages"))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pages that are mainly repeated keywords or bare links."""
     return stuffing.page_recurrence(table(spark, directory, "pages")).filter("stuffed").select("docid")
@@ -59,6 +64,7 @@ def p7_ranking(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_link_profile": p2_link_profile,
     "p4_found": p4_found,
