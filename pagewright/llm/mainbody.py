@@ -29,7 +29,6 @@ _SPACE = re.compile(r"\s+")
 _TRAIL = re.compile(r"\s[>»›·|/→]\s")
 _LABEL = re.compile(r"^[^\W\d_][\w-]*(?: [\w-]+)? ?: ")
 _STOP = re.compile(r"[.!?;:,…]")
-_LEAF = re.compile(r"(?:/(?:p|li|ul|ol|dl|dt|dd|h[1-6]|td|th|tr|pre|code|b|strong|em|i))+$")
 
 FEATURES = (
     "docid long, block_no int, site long, title long, plain long, masked long, path long, place int, chars int, stops int, certain boolean"
@@ -93,7 +92,7 @@ def _features(docid: int, rows: list[dict], url: object, content: object) -> lis
     out = []
     for row, at in zip(rows, _place(rows, page), strict=True):
         text = _SPACE.sub(" ", row["content"] or "").strip()
-        path = _LEAF.sub("", at.path) if at else f"?{row['tag']}"
+        path = at.path if at else f"?{row['tag']}"
         links = at.links if at else (row["n_links"] or 0)
         place = order.setdefault(path, len(order))
         stops = len(_STOP.findall(text))
@@ -132,11 +131,12 @@ def repeated_keys(features: DataFrame, site_share: float = 0.02, crawl_share: fl
     here = counted.groupBy("site", "key").agg(F.count(F.lit(1)).alias("titles"), F.sum("rows").alias("rows"))
     local = (F.col("titles") >= least) & (F.col("titles") >= F.col("pages") * site_share)
     marked = here.join(per_site, "site").withColumn("local", local)
-    keys = marked.groupBy("key").agg(F.max("local").alias("local"), F.sum("titles").alias("titles"), F.sum("rows").alias("rows"))
+    titles = counted.select("key", "title").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("titles"))
+    keys = marked.groupBy("key").agg(F.max("local").alias("local"), F.sum("rows").alias("rows")).join(titles, "key")
     return keys.filter(F.col("local") | ((F.col("titles") >= least) & (F.col("titles") >= total * crawl_share))).select("key", "rows")
 
 
-def main_body(page_blocks: DataFrame, pages: DataFrame, threshold: float = 0.15) -> DataFrame:
+def main_body(page_blocks: DataFrame, pages: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The blocks of each page's main body: ``docid, block_no``.
 
     ``page_blocks`` has ``docid, block_no, tag, n_links, content``, ``pages`` has ``docid, url, content``
@@ -162,6 +162,6 @@ def main_body(page_blocks: DataFrame, pages: DataFrame, threshold: float = 0.15)
     paths = paths.withColumns({"length": F.col("free") / F.col("nodes"), "marks": F.col("stops") / F.col("nodes"), "pure": purity})
     paths = paths.withColumns({c: 0.75 * F.col(c) + 0.25 * F.avg(c).over(near) for c in ("length", "marks")})
     most = {c: F.greatest(F.max(c).over(whole), F.lit(1e-9)) for c in ("length", "marks")}
-    fused = F.col("pure") * F.sqrt((F.col("length") / most["length"]) * (F.lit(0.2) + 0.8 * F.col("marks") / most["marks"]))
+    fused = F.col("pure") * (0.5 + 0.5 * F.sqrt((F.col("length") / most["length"]) * (F.col("marks") / most["marks"])))
     kept = paths.withColumn("ratio", fused).filter(F.col("ratio") >= threshold).select("docid", "path")
     return judged.filter("NOT against").join(kept, ["docid", "path"], "left_semi").select("docid", "block_no")
