@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import distinctive, fusion, mainbody, residue, stuffing
+from pagewright.llm import distinctive, fusion, mainbody, neardup, residue, stuffing
 from pagewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,18 @@ def p2_link_profile(spark: SparkSession, directory: str) -> DataFrame:
     return profile.select("src", "links", "hosts", F.round("top_share", 6).alias("top_share"))
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of pages that share at least half of their three-word sequences."""
+    members, links = neardup.near_duplicates(table(spark, directory, "pages"), width=3, threshold=0.5)
+    return neardup.all_pairs(members, links)
+
+
+def p3_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """Each page's class of equal texts, its links to other classes and its group."""
+    members, links = neardup.near_duplicates(table(spark, directory, "pages"), width=3, threshold=0.5)
+    return neardup.duplicate_groups(members, links)
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pages that show template residue, filler, errors or a demand for scripts."""
     return residue.page_residue(table(spark, directory, "pages")).filter("residue").select("docid")
@@ -67,6 +79,8 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_link_profile": p2_link_profile,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
