@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import distinctive, fusion, mainbody, neardup, residue, stuffing
+from pagewright.llm import distinctive, fusion, mainbody, neardup, residue, spans, stuffing
 from pagewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,18 @@ def p7_ranking(spark: SparkSession, directory: str) -> DataFrame:
     return fusion.fused_ranking(table(spark, directory, "docinfo"), "docid", SCORES)
 
 
+def p10_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of documents with a run of 200 characters in common."""
+    members, _, sets = spans.shared_spans(table(spark, directory, "documents"))
+    return spans.sharing_pairs(members, sets)
+
+
+def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """How much of each document stands word for word in others."""
+    members, intervals, _ = spans.shared_spans(table(spark, directory, "documents"))
+    return spans.shared_shares(members, intervals)
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -87,6 +99,8 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p7_standings": p7_standings,
     "p7_ranking": p7_ranking,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
 }
 
 _P6 = """
