@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import distinctive, fusion, mainbody, neardup, residue, spans, stuffing
+from pagewright.llm import distinctive, encoding, fusion, mainbody, neardup, packing, residue, spans, stuffing
 from pagewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,22 @@ def p7_ranking(spark: SparkSession, directory: str) -> DataFrame:
     return fusion.fused_ranking(table(spark, directory, "docinfo"), "docid", SCORES)
 
 
+def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k."""
+    return encoding.encode_corpus(table(spark, directory, "documents"))
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that alone are larger than a container and so were split."""
+    packed = packing.pack(encoding.token_counts(table(spark, directory, "documents")))
+    return packed.filter("pieces > 1").select("doc_id").distinct()
+
+
+def p9_containers(spark: SparkSession, directory: str) -> DataFrame:
+    """Which container each document, or each piece of a split one, is in."""
+    return packing.pack(encoding.token_counts(table(spark, directory, "documents")))
+
+
 def p10_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of documents with a run of 200 characters in common."""
     members, _, sets = spans.shared_spans(table(spark, directory, "documents"))
@@ -99,6 +115,9 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p7_standings": p7_standings,
     "p7_ranking": p7_ranking,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_containers": p9_containers,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
 }
