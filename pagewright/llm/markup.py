@@ -88,6 +88,11 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+_LINK = re.compile(r"</?[aA](?:\s[^<>]*)?>")
+
+
 def visible_text(page: str | None) -> str:
-    """Title and all visible text of a page, blocks one to a line."""
-    return "\n".join(b.text for b in blocks(page))
+    """Title and all visible text of a page; tags other than links part words."""
+    if not page:
+        return ""
+    return html.unescape(_TAG.sub("\n", _LINK.sub("", _HIDDEN.sub(" ", page))))

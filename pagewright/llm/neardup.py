@@ -66,12 +66,20 @@ class Forest:
         self.a = rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, count, dtype=np.uint32)
         self.salt = rng.integers(0, 1 << 63, trees, dtype=np.uint64)
+        self.room: np.ndarray | None = None
 
     def minima(self, shingled: np.ndarray) -> np.ndarray:
+        """The least hash of each function; the table of a few shingles at a time stays in the cache."""
         x = (shingled ^ (shingled >> np.uint64(31))).astype(np.uint32)
         least = np.full(len(self.a), np.uint32(0xFFFFFFFF))
-        for k in range(0, len(x), 256):
-            np.minimum(least, (x[k : k + 256, None] * self.a + self.b).min(axis=0), out=least)
+        if self.room is None:
+            self.room = np.empty((64, len(self.a)), dtype=np.uint32)
+        for k in range(0, len(x), 64):
+            some = x[k : k + 64, None]
+            room = self.room[: len(some)]
+            np.multiply(some, self.a, out=room)
+            np.add(room, self.b, out=room)
+            np.minimum(least, room.min(axis=0), out=least)
         return least
 
     def place(self, shingled: np.ndarray, depth: int) -> tuple[np.ndarray, bytes]:
@@ -99,18 +107,25 @@ def _signed(n: int) -> int:
 
 
 def signatures(pages: DataFrame, key: str, content: str, width: int, forest: Forest, depth: int, html: bool) -> DataFrame:
-    """``key, cls, nodes, sketch`` of each row with at least ``width`` words; ``cls`` is the text's hash."""
+    """``key, cls, nodes, sketch`` of each row with at least ``width`` words; ``cls`` is the text's hash.
+
+    Only the first row of a text in a task carries nodes and a sketch, so an often copied text is placed
+    once a task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
+        placed: set[int] = set()
         for batch in batches:
             rows = []
             for k, text in zip(batch["key"], batch["content"], strict=True):
                 words = WORD.findall((visible_text(text) if html else text).lower())
-                found = shingles(words, width, known)
-                if len(found):
-                    nodes, sketch = forest.place(found, depth)
-                    rows.append((k, _signed(xxhash.xxh3_64_intdigest(" ".join(words))), nodes, sketch))
+                if len(words) < width:
+                    continue
+                cls = _signed(xxhash.xxh3_64_intdigest(" ".join(words)))
+                nodes, sketch = (None, None) if cls in placed else forest.place(shingles(words, width, known), depth)
+                placed.add(cls)
+                rows.append((k, cls, nodes, sketch))
             yield pd.DataFrame(rows, columns=["key", "cls", "nodes", "sketch"])
 
     kind = pages.schema[key].dataType.simpleString()
@@ -175,10 +190,10 @@ def near_duplicates(
     signed = materialize(signatures(pages, key, content, width, forest, depth, html), "signatures")
     members = signed.select(F.col("key").alias(key), "cls").distinct()
     reps = signed.groupBy("cls").agg(F.min("key").alias("rep"))
-    sketches = signed.groupBy("cls").agg(F.first("sketch").alias("sketch"))
-    nodes = signed.select(F.explode("nodes").alias("node"), "cls").repartition("node").dropDuplicates(["node", "cls"])
-    shared = nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node").hint("shuffle_hash"), "node", "left_semi")
-    shared = materialize(shared, "shared-nodes")
+    sketches = signed.filter("sketch IS NOT NULL").dropDuplicates(["cls"]).select("cls", "sketch")
+    nodes = signed.select(F.explode("nodes").alias("node"), "cls").repartition("node")
+    several = nodes.groupBy("node").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p < q").select("node")
+    shared = materialize(nodes.join(several.hint("shuffle_hash"), "node", "left_semi").distinct(), "shared-nodes")
     candidates = materialize(paired(shared, "node", "cls").select("a", "b").distinct(), "candidates")
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / _SKETCH)
 
