@@ -70,3 +70,20 @@ def global_row_number(df: DataFrame, score: str, tie: str, out: str = "rank") ->
     inside = Window.partitionBy("_b", "_t").orderBy(F.desc(score), tie)
     numbered = placed.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(offsets), ["_b", "_t"])
     return numbered.withColumn(out, F.col("_over") + F.col("_in")).drop("_b", "_t", "_n", "_in", "_over")
+
+
+def row_number_by_text(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Number rows from 1 by a distinct text column, each task sorting one range of it.
+
+    The ranges' borders come from one sorted, written copy, so numbering reads what was ranged.
+    """
+    from pagewright.plans.materialize import materialize
+
+    ranged = df.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    totals = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_over"))
+    inside = Window.partitionBy("_p").orderBy(column)
+    numbered = ranged.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(offsets), "_p")
+    return numbered.withColumn(out, (F.col("_over") + F.col("_in")).cast("long")).drop("_p", "_in", "_over")
