@@ -37,9 +37,9 @@ def decoded(text: Column) -> Column:
     return F.when(F.instr(text, "&") > 0, plain).otherwise(text)
 
 
-def html_text(page: Column) -> Column:
-    """All visible text of a page, adjacent elements' text joined without a separator."""
-    return decoded(_sub(without_hidden(page), rules.TAGS))
+def html_text(page: Column, separator: str = "") -> Column:
+    """All visible text of a page, adjacent elements' text joined by a separator, by default none."""
+    return decoded(_sub(without_hidden(page), (rules.TAGS[0], separator)))
 
 
 def marked(text: Column) -> Column:

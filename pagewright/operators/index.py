@@ -13,9 +13,11 @@ from pagewright.params import COMPAT, IMPORTANT_TAGS, Params
 from pagewright.plans.materialize import materialize
 
 
-def token_counts(pages: DataFrame) -> DataFrame:
-    """``docid, word, tf``: how often each unstemmed token stands in a page."""
-    words = pages.select("docid", F.explode(text.tokens(text.html_text(F.col("content")))).alias("word"))
+def token_counts(pages: DataFrame, params: Params = COMPAT) -> DataFrame:
+    """``docid, word, tf``: how often each unstemmed token stands in a page; ``compat`` glues the text of
+    adjacent elements together."""
+    visible = text.html_text(F.col("content"), "" if params.compat else " ")
+    words = pages.select("docid", F.explode(text.tokens(visible)).alias("word"))
     return words.groupBy("docid", "word").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
@@ -78,7 +80,7 @@ def build(pages: DataFrame, params: Params = COMPAT, write: bool = True) -> Inde
     """
     keep = materialize if write else lambda df, _: df
     unique = keep(dedup.by_content(dedup.by_url(pages, params)), "unique-pages")
-    counts = keep(token_counts(unique), "token-counts")
+    counts = keep(token_counts(unique, params), "token-counts")
     vocab = keep(vocabulary(counts), "vocabulary")
     kept = keep(dedup.by_fingerprint(fingerprints(unique, counts, vocab), params), "kept")
     kept_pages = unique.join(kept, "docid", "left_semi")

@@ -28,6 +28,8 @@ def split_points(df: DataFrame, column: str, cuts: int = CUTS) -> tuple[list[flo
 
 
 def _bucketed(df: DataFrame, column: str, borders: list[float], out: str) -> DataFrame:
+    if len(borders) < 3:
+        return df.withColumn(out, F.lit(0.0))
     work = df.withColumn("_at", F.col(column).cast("double"))
     return Bucketizer(splits=borders, inputCol="_at", outputCol=out, handleInvalid="keep").transform(work).drop("_at")
 

@@ -37,8 +37,13 @@ def _marked(value: str) -> str:
     return reduce(_sub, rules.TREEBANK, value)
 
 
+def _lower(value: str) -> str:
+    """Lower case by Unicode's full mapping, which gives the dotted capital I two code points."""
+    return f"lower(replace({value}, chr(304), 'i' || chr(775)))"
+
+
 def _tokens(value: str) -> str:
-    return f"list_transform(regexp_extract_all({_marked(value)}, {_q(rules.TOKEN)}), lambda x: lower(x))"
+    return f"list_transform(regexp_extract_all({_marked(value)}, {_q(rules.TOKEN)}), lambda x: {_lower('x')})"
 
 
 def _stems(source: str, word: str) -> str:
@@ -131,7 +136,7 @@ def _important() -> str:
 
 
 _GAPS = f"regexp_replace({_marked('text')}, {_q(chr(92) + 'A' + rules.GAP)}, '', 'g')"
-_BIGRAMS = f"""SELECT doc_id, CASE WHEN len(w) >= 2 THEN [lower(w[i] || replace(g[i], {_q(rules.PART)}, '') || w[i + 1]) for i in range(1, len(w))] ELSE [] END AS n
+_BIGRAMS = f"""SELECT doc_id, CASE WHEN len(w) >= 2 THEN [{_lower(f"w[i] || replace(g[i], {_q(rules.PART)}, '') || w[i + 1]")} for i in range(1, len(w))] ELSE [] END AS n
 FROM (SELECT doc_id, regexp_extract_all(m, {_q(rules.TOKEN)}) AS w, regexp_extract_all(m, {_q(rules.GAP)}) AS g FROM (SELECT doc_id, {_GAPS} AS m FROM documents WHERE text IS NOT NULL))"""
 
 _QUALITIES = ("pr_quality", "hub_quality", "auth_quality")
@@ -210,7 +215,7 @@ def _escaped(value: str) -> str:
 
 _SUMMARY = f"SELECT docid, substr({_collapse('t')}, 1, 512) AS text FROM (SELECT docid, {_html_text('content')} AS t FROM c)"
 ALT = f"""{POSTINGS}, {FREQ}, {DOCS}, qr AS (SELECT query_id, query, unnest(string_split({_collapse('query')}, ' ')) AS raw FROM queries WHERE query_id IS NOT NULL),
-qw AS MATERIALIZED (SELECT query_id, query, lower(raw) AS word FROM qr WHERE length(raw) > 0 AND raw NOT IN {_STOPWORDS}), qv AS MATERIALIZED ({_stems('qw', 'word')}),
+qw AS MATERIALIZED (SELECT query_id, query, {_lower('raw')} AS word FROM qr WHERE length(raw) > 0 AND raw NOT IN {_STOPWORDS}), qv AS MATERIALIZED ({_stems('qw', 'word')}),
 qt AS (SELECT DISTINCT query_id, query, token FROM qw JOIN qv USING (word)),
 wt AS MATERIALIZED (SELECT query_id, token, wq, sqrt(sum(wq * wq) OVER (PARTITION BY query_id)) AS length, count(*) OVER (PARTITION BY query_id) AS needed FROM (
   SELECT query_id, token, CASE WHEN qn > 0 THEN 1 + ln(qn) ELSE 0 END * log2((1.0::DOUBLE + (SELECT count(*) FROM docs)) / (1.0::DOUBLE + df)) AS wq
