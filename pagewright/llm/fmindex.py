@@ -46,14 +46,21 @@ class WaveletMatrix:
         return i
 
 
+def _ahead(values: np.ndarray, by: int) -> np.ndarray:
+    """Each place's value ``by`` places further on, 0 behind the end."""
+    out = np.zeros_like(values)
+    if by < len(values):
+        out[: len(values) - by] = values[by:]
+    return out
+
+
 def suffix_order(codes: np.ndarray, depth: int, bits: int) -> np.ndarray:
     """Positions ordered by their first ``depth`` codes at least, by prefix doubling."""
     n = len(codes)
     first = max(1, 62 // bits)
     key = np.zeros(n, dtype=np.int64)
     for k in range(first):
-        key <<= bits
-        key[: n - k] |= codes[k:]
+        key = key << bits | _ahead(codes, k)
     length = first
     while True:
         order = np.argsort(key, kind="stable" if n < 64 else None)
@@ -62,8 +69,7 @@ def suffix_order(codes: np.ndarray, depth: int, bits: int) -> np.ndarray:
         rank[order] = np.concatenate([[1], 1 + np.cumsum(ranked[1:] != ranked[:-1])])
         if length >= depth or rank[order[-1]] == n:
             return order
-        key = rank << 31
-        key[: n - length] |= rank[length:]
+        key = rank << 31 | _ahead(rank, length)
         length *= 2
 
 
@@ -101,14 +107,11 @@ class FMIndex:
         left = self.span
         while left:
             if left & 1:
-                piece = np.zeros(n, dtype=np.uint64)
-                piece[: n - done] = power[done:]
-                total = (total * np.uint64(0xD6E8FEB86659FD93)) ^ piece
+                total = (total * np.uint64(0xD6E8FEB86659FD93)) ^ _ahead(power, done)
                 total ^= total >> np.uint64(32)
                 total *= np.uint64(0xC2B2AE3D27D4EB4F)
                 done += width
-            ahead = np.zeros(n, dtype=np.uint64)
-            ahead[: n - width] = power[width:]
+            ahead = _ahead(power, width)
             power = power * np.uint64(0xBF58476D1CE4E5B9) + (ahead ^ (ahead >> np.uint64(31)))
             width *= 2
             left >>= 1

@@ -31,7 +31,7 @@ _LABEL = re.compile(r"^[^\W\d_][\w-]*(?: [\w-]+)? ?: ")
 _STOP = re.compile(r"[.!?;:,…]")
 
 FEATURES = (
-    "docid long, block_no int, site long, title long, plain long, masked long, path long, place int, chars int, stops int, certain boolean"
+    "docid long, block_no int, site long, title long, plain long, masked long, path long, place int, chars int, stops int, certain boolean, named boolean"
 )
 
 
@@ -97,7 +97,7 @@ def _features(docid: int, rows: list[dict], url: object, content: object) -> lis
         place = order.setdefault(path, len(order))
         stops = len(_STOP.findall(text))
         certain = not text or is_certain(text, links, at.linked if at else -1)
-        out.append((docid, row["block_no"], _hash(host), _hash(title), _hash(_DIGITS.sub("#", text)), _hash(mask(text, host)), _hash(path), place, len(text), stops, certain))
+        out.append((docid, row["block_no"], _hash(host), _hash(title), _hash(_DIGITS.sub("#", text)), _hash(mask(text, host)), _hash(path), place, len(text), stops, certain, text == title))
     return out
 
 
@@ -149,7 +149,7 @@ def main_body(page_blocks: DataFrame, pages: DataFrame, threshold: float = 0.3)
     total = keys.agg(F.sum("rows")).first()[0] or 0
     keyed = features.select("docid", "block_no", F.explode(F.array_distinct(F.array("plain", "masked"))).alias("key"))
     repeated = join_weighted(keyed, keys, "key", "rows", total).select("docid", "block_no").distinct().withColumn("again", F.lit(True))
-    judged = features.join(repeated, ["docid", "block_no"], "left").withColumn("against", F.col("certain") | F.coalesce("again", F.lit(False)))
+    judged = features.join(repeated, ["docid", "block_no"], "left").withColumn("against", F.col("certain") | (F.coalesce("again", F.lit(False)) & ~F.col("named")))
     free = lambda c: F.sum(F.when(~F.col("against"), F.col(c)).otherwise(0))
     paths = judged.groupBy("docid", "site", "path").agg(
         F.min("place").alias("place"), F.count(F.lit(1)).alias("nodes"), F.sum("chars").alias("chars"), free("chars").alias("free"), free("stops").alias("stops")

@@ -45,11 +45,12 @@ def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float
 
     Flagged are pages of ``shortest`` terms or more of which ``least`` recur within ``window`` terms, or
     ``periodic`` repeat at one lag, or in which function words make up less than ``bare`` of 60 or more
-    words that no sentence holds together. The title, numbers, words of up to two letters and filler
-    text do not count as recurring.
+    words that no sentence holds together. The title, numbers, words of up to two letters, filler text
+    and rows of a table (5 to 40 words, two numbers or more among them) do not count as recurring.
     """
     body = [b for b in page if b.tag != "title"]
     words: list[str] = []
+    tabular: list[bool] = []
     ends = 0
     for b in body:
         found = _WORD.findall(b.text.lower())
@@ -57,6 +58,8 @@ def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float
         if found and latin >= 0.3 * len(found) and latin >= 5:
             continue
         words += found
+        numbers = sum(w[0].isdigit() for w in found)
+        tabular += [5 <= len(found) <= 40 and numbers >= 2 and numbers >= 0.15 * len(found)] * len(found)
         ends += len(_END.findall(b.text))
     n = len(words)
     if not n:
@@ -66,7 +69,7 @@ def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float
     digits = np.array([w[0].isdigit() for w in number])
     function_word = np.array([w in lexicon.FUNCTION_WORDS for w in number])
     counts = ~digits & ~function_word & np.array([len(w) > 2 for w in number])
-    content, alphabetic, functional = counts[ids], ~digits[ids], function_word[ids]
+    content, alphabetic, functional = counts[ids] & ~np.array(tabular), ~digits[ids], function_word[ids]
     order = np.argsort(ids, kind="stable")
     ranked = ids[order]
     gaps = np.diff(order)
