@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagewright.params import COMPAT, Params
@@ -31,13 +31,20 @@ class _Steps:
 
     def write(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, self.label)
-        df.write.parquet(path)
+        df.select(self.schema.names).write.parquet(path)
         self.paths.append(path)
         while len(self.paths) > 2:
             delete_path(self.spark, self.paths.pop(0))
         return self.spark.read.schema(self.schema).parquet(path)
 
 
+def _observed(steps: _Steps, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """Write a step and measure its rows in the same job."""
+    seen = Observation()
+    after = steps.write(df.observe(seen, *[m.alias(k) for k, m in measures.items()]))
+    return after, seen.get
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, params: Params = COMPAT) -> DataFrame:
     """``docid, pr`` of all nodes: teleport 1 - d, start 1 / n, no redistribution from dead ends.
 
@@ -52,9 +59,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame, params: Params = COMPAT) -> Dat
         before = steps.current
         given = weighted.join(before.withColumnRenamed("docid", "src"), "src").groupBy(F.col("dst").alias("docid")).agg(F.sum(F.col("pr") / F.col("degree")).alias("sum"))
         rank = F.lit(1 - params.damping) + F.lit(params.damping) * F.coalesce("sum", F.lit(0.0))
-        after = steps.write(nodes.select("docid").join(given, "docid", "left").select("docid", rank.alias("pr")))
-        moved = after.join(before.withColumnRenamed("pr", "old"), "docid").agg(F.max(F.abs(F.col("pr") - F.col("old")))).first()[0]
-        if moved is None or moved < params.tolerance:
+        ranked = before.withColumnRenamed("pr", "old").join(given, "docid", "left").select("docid", rank.alias("pr"), "old")
+        after, seen = _observed(steps, ranked, moved=F.max(F.abs(F.col("pr") - F.col("old"))))
+        if seen["moved"] is None or seen["moved"] < params.tolerance:
             return before
         steps.current = after
     return steps.current
@@ -65,7 +72,8 @@ def hits(edges: DataFrame, nodes: DataFrame, params: Params = COMPAT) -> DataFra
     ``compat``, the hubs that they link to, else the hubs that link to them. Both are divided by their
     Euclidean norm. On convergence the vectors before the last step are returned."""
     links = materialize(edges.select("src", "dst"), "edges")
-    steps = _Steps(nodes.select("docid", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth")), "hits")
+    start = nodes.select("docid", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth"))
+    steps, sums_written = _Steps(start, "hits"), _Steps(start, "hits-raw")
     for _ in range(params.iterations):
         before = steps.current
         out = links.join(before.withColumnRenamed("docid", "dst"), "dst").groupBy(F.col("src").alias("docid"))
@@ -75,12 +83,13 @@ def hits(edges: DataFrame, nodes: DataFrame, params: Params = COMPAT) -> DataFra
             ins = links.join(before.withColumnRenamed("docid", "src"), "src").groupBy(F.col("dst").alias("docid")).agg(F.sum("hub").alias("a"))
             sums = out.agg(F.sum("auth").alias("h")).join(ins, "docid", "full")
         raw = nodes.select("docid").join(sums, "docid", "left").select("docid", F.coalesce("h", F.lit(0.0)).alias("hub"), F.coalesce("a", F.lit(0.0)).alias("auth"))
-        raw = materialize(raw, "hits-raw")
-        h, a = raw.agg(F.sqrt(F.sum(F.col("hub") * F.col("hub"))), F.sqrt(F.sum(F.col("auth") * F.col("auth")))).first()
-        after = steps.write(raw.select("docid", (F.col("hub") / (h or 1.0)).alias("hub"), (F.col("auth") / (a or 1.0)).alias("auth")))
-        both = after.join(before.select("docid", F.col("hub").alias("h0"), F.col("auth").alias("a0")), "docid")
-        moved = both.agg(F.max(F.greatest(F.abs(F.col("hub") - F.col("h0")), F.abs(F.col("auth") - F.col("a0"))))).first()[0]
-        if moved is None or moved < params.tolerance:
+        square = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+        raw, norm = _observed(sums_written, raw, h=square("hub"), a=square("auth"))
+        old = before.select("docid", F.col("hub").alias("h0"), F.col("auth").alias("a0"))
+        scaled = raw.select("docid", (F.col("hub") / (norm["h"] or 1.0)).alias("hub"), (F.col("auth") / (norm["a"] or 1.0)).alias("auth")).join(old, "docid")
+        moved = F.max(F.greatest(F.abs(F.col("hub") - F.col("h0")), F.abs(F.col("auth") - F.col("a0"))))
+        after, seen = _observed(steps, scaled, moved=moved)
+        if seen["moved"] is None or seen["moved"] < params.tolerance:
             return before
         steps.current = after
     return steps.current

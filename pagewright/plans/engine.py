@@ -224,10 +224,11 @@ def index_stats(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def index_append(spark: SparkSession, directory: str) -> DataFrame:
-    """Two builds in one: pages whose docid is even, then all others."""
+    """Two builds in one: the earlier half of all pages, then the later half."""
     pages = materialize(_clean(spark, directory), "pages")
-    first = ix.Index(*_plain_index(pages.filter("docid % 2 = 0")))
-    second = ix.Index(*_plain_index(pages.filter("docid % 2 = 1")))
+    middle = (pages.agg(F.max("docid")).first()[0] or 0) // 2
+    first = ix.Index(*_plain_index(pages.filter(F.col("docid") <= middle)))
+    second = ix.Index(*_plain_index(pages.filter(F.col("docid") > middle)))
     merged = ix.merge(first, second)
     return ix.document_frequency(merged.postings)
 
