@@ -42,6 +42,13 @@ def test_invalid_counts_do_not_matter(spark):
     assert got == {(1, "a"), (2, "a"), (2, "b")}
 
 
+def test_hot_record_is_spread(spark):
+    rows = [(f"t{k}", 1, 1 + k % 3) for k in range(900)] + [("t0", d, 2) for d in range(2, 400)]
+    got = {(r.record, r.term): r for r in distinctive.distinctive_terms(postings(spark, rows + rows[:1] * 2000)).collect()}
+    assert len(got) == len(rows) and {r.n for r in got.values() if r.record == 1} == {sum(n for _, d, n in rows if d == 1)}
+    assert got[1, "t0"].df == 399 and got[2, "t0"].n == 2
+
+
 def test_no_odds_and_empty_tables(spark):
     assert [r.z for r in distinctive.distinctive_terms(postings(spark, [("a", 1, 2)])).collect()] == [None]
     assert distinctive.distinctive_terms(postings(spark, [])).count() == 0
