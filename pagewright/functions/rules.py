@@ -38,10 +38,11 @@ SCHEME = r"\A[a-zA-Z][a-zA-Z0-9+.\-]*:"
 ORIGIN = r"\A([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
 
 _P = PART
-# The published sed rules of the Treebank tokenizer, as (pattern, replacement).
+_END = rf"([{SPACE}\x01]|\z)"
+_WORD_START = r"(\A|[^a-zA-Z0-9_])"
+# The published sed rules of the Treebank tokenizer, as (pattern, replacement). Quotes stay
+# raw, so opening ones need no rule of their own; every pattern starts with a character that is rare.
 TREEBANK = (
-    (r'\A"', f'{_P}"{_P}'),
-    (rf"([{SPACE}\x01(\[{{<])(\"|'')", f"{{1}}{_P}{{2}}{_P}"),
     (r"``", f"{_P}``{_P}"),
     (r"([:,])([^0-9])", f"{_P}{{1}}{_P}{{2}}"),
     (r"([:,])\z", f"{_P}{{1}}{_P}"),
@@ -49,25 +50,27 @@ TREEBANK = (
     (r"([;@#$%&])", f"{_P}{{1}}{_P}"),
     (rf"([^.])(\.)([\]\)}}>\"'{SPACE}]*)\z", f"{{1}}{_P}{{2}}{{3}}"),
     (r"([?!])", f"{_P}{{1}}{_P}"),
-    (r"([^'])(' )", f"{{1}}{_P}{{2}}"),
     (r"([\]\[(){}<>])", f"{_P}{{1}}{_P}"),
     (r"--", f"{_P}--{_P}"),
-    (r"\A|\z", " "),
     (r"''", f"{_P}''{_P}"),
     (r'"', f'{_P}"{_P}'),
-    (rf"([^'{SPACE}\x01])('[sS]|'[mM]|'[dD]|')([{SPACE}\x01])", f"{{1}}{_P}{{2}}{{3}}"),
-    (rf"([^'{SPACE}\x01])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)([{SPACE}\x01])", f"{{1}}{_P}{{2}}{{3}}"),
-    (r"(?i)\b(can)(not)\b", f"{_P}{{1}}{_P}{{2}}{_P}"),
-    (r"(?i)\b(d)('ye)\b", f"{_P}{{1}}{_P}{{2}}{_P}"),
-    (r"(?i)\b(gim|lem)(me)\b", f"{_P}{{1}}{_P}{{2}}{_P}"),
-    (r"(?i)\b(gon)(na)\b", f"{_P}{{1}}{_P}{{2}}{_P}"),
-    (r"(?i)\b(got)(ta)\b", f"{_P}{{1}}{_P}{{2}}{_P}"),
-    (r"(?i)\b(more)('n)\b", f"{_P}{{1}}{_P}{{2}}{_P}"),
-    (rf"(?i)\b(wan)(na)([{SPACE}\x01])", f"{_P}{{1}}{_P}{{2}}{{3}}"),
-    (rf"(?i)([{SPACE}\x01])('t)(is|was)\b", f"{{1}}{_P}{{2}}{_P}{{3}}{_P}"),
+    (rf"('['sSmMdD]?){_END}", f"{_P}{{1}}{{2}}"),
+    (rf"('(?:ll|LL|re|RE|ve|VE)){_END}", f"{_P}{{1}}{{2}}"),
+    (rf"(n't|N'T){_END}", f"{_P}{{1}}{{2}}"),
+    (rf"(?i){_WORD_START}(can)(not)\b", f"{{1}}{_P}{{2}}{_P}{{3}}{_P}"),
+    (rf"(?i){_WORD_START}(d)('ye)\b", f"{{1}}{_P}{{2}}{_P}{{3}}{_P}"),
+    (rf"(?i){_WORD_START}(gim|lem)(me)\b", f"{{1}}{_P}{{2}}{_P}{{3}}{_P}"),
+    (rf"(?i){_WORD_START}(gon)(na)\b", f"{{1}}{_P}{{2}}{_P}{{3}}{_P}"),
+    (rf"(?i){_WORD_START}(got)(ta)\b", f"{{1}}{_P}{{2}}{_P}{{3}}{_P}"),
+    (rf"(?i){_WORD_START}(more)('n)\b", f"{{1}}{_P}{{2}}{_P}{{3}}{_P}"),
+    (rf"(?i){_WORD_START}(wan)(na)([{SPACE}\x01])", f"{{1}}{_P}{{2}}{_P}{{3}}{{4}}"),
+    (rf"(?i){_WORD_START}('t)(is|was)\b", f"{{1}}{_P}{{2}}{_P}{{3}}{_P}"),
 )
 TOKEN = rf"[^{SPACE}\x01]+"
 GAP = rf"[{SPACE}\x01]+"
+#: The spaces beyond ASCII, and the class of a token in text where they have been replaced.
+WIDE_SPACES = "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+ASCII_TOKEN = r"[^ \t\n\x0b\f\r\x1c-\x1f\x01]+"
 ALPHANUMERIC = r"\A[\p{L}\p{N}]+\z"
 
 
@@ -82,7 +85,7 @@ def re2(replacement: str) -> str:
 
 
 def _groups(replacement: str, mark: str) -> str:
-    for k in range(1, 4):
+    for k in range(1, 5):
         replacement = replacement.replace(f"{{{k}}}", f"{mark}{k}")
     return replacement
 

@@ -48,8 +48,14 @@ def marked(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case Treebank tokens of a text, raw quotes kept."""
-    return F.transform(F.regexp_extract_all(marked(text), F.lit(rules.TOKEN), F.lit(0)), F.lower)
+    """Lower-case Treebank tokens of a text, raw quotes kept.
+
+    Wide spaces become plain ones first, so that the patterns that look at every character need ASCII
+    classes only.
+    """
+    plain = F.translate(text, rules.WIDE_SPACES, " " * len(rules.WIDE_SPACES))
+    found = F.regexp_extract_all(marked(plain), F.lit(rules.ASCII_TOKEN), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.array_join(found, rules.PART)), rules.PART), "")
 
 
 def with_ngrams(df: DataFrame, text: str, n: int, out: str = "ngrams") -> DataFrame:
