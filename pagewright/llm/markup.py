@@ -10,16 +10,19 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!d
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>")
 _SPACE = re.compile(r"\s+")
 _CLASS = re.compile(r"""(?:class|id)\s*=\s*["']?([^"'>]*)""", re.I)
+_LAYOUT = re.compile(r"""\b(?:role|width|bgcolor|align)\s*=\s*["']?([^"'\s>]+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements that end by themselves when one of the same kind, or their parent, goes on.
+#: Elements that end by themselves when one of the same kind, or their parent, goes on; cells that lay
+#: out a page (those with a label in the path) hold further cells instead.
 _LOOSE = frozenset("p li td th tr dt dd option".split())
+_CELLS = frozenset(("td", "th"))
 
 
 class Block(NamedTuple):
     """One run of visible text.
 
-    ``path`` is the root-to-leaf path of tag names, each with its first class or id; ``tag`` the
-    innermost element; ``links`` the number of links and ``linked`` the characters inside them.
+    ``path`` is the root-to-leaf path of tag names, each with its first class or id, or else the values
+    of its layout attributes; ``tag`` the innermost element; ``links`` the number of links and ``linked`` the characters inside them.
     """
 
     path: str
@@ -76,10 +79,10 @@ def blocks(page: str | None) -> list[Block]:
                     del stack[k:]
                     break
         else:
-            if name in _LOOSE and stack and stack[-1][0] == name:
+            if name in _LOOSE and stack and stack[-1][0] == name and not (name in _CELLS and stack[-1][1] != name):
                 stack.pop()
             kind = _CLASS.search(attributes)
-            label = kind.group(1).split()[0] if kind and kind.group(1).split() else ""
+            label = kind.group(1).split()[0] if kind and kind.group(1).split() else "+".join(_LAYOUT.findall(attributes))
             if not attributes.rstrip().endswith("/"):
                 stack.append((name, f"{name}.{label}" if label else name))
     if position < len(source):
