@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import pieces
 from pagewright.plans.materialize import materialize
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -135,7 +136,7 @@ def shared_chunks(texts: DataFrame) -> DataFrame:
     """``h, g, tid, start, stop`` of every chunk that several places have; h and g are its 128-bit hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for tid, text in zip(batch["tid"], batch["text"], strict=True):
                 last = 0
@@ -170,7 +171,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     def encode_owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, _ = tokenizer(path)
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for content, spans in zip(batch["text"], batch["spans"], strict=True):
                 out += [(s["h"], s["g"], np.array(encoder.encode_ordinary(content[s["start"] : s["stop"]]), dtype="<i4").tobytes()) for s in spans]
@@ -184,7 +185,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, widths = tokenizer(path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = []
             for content, given in zip(batch["text"], batch["known"], strict=True):
                 if not content:
@@ -205,7 +206,7 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, _ = tokenizer(path)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pd.DataFrame({"key": batch["key"], "tokens": [len(encoder.encode_ordinary(t)) if t else 0 for t in batch["text"]]})
 
     chosen = documents.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -13,8 +13,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +29,9 @@ _TRAIL = re.compile(r"\s[>»›·|/→]\s")
 _LABEL = re.compile(r"^[^\W\d_][\w-]*(?: [\w-]+)? ?: ")
 _STOP = re.compile(r"[.!?;:,…]")
 
+#: Pages that are Python objects at a time; the rest of a batch stays in Arrow.
+PAGES = 256
+
 FEATURES = (
     "docid long, block_no int, site long, title long, plain long, masked long, path long, place int, chars int, stops int, certain boolean, named boolean"
 )
@@ -107,13 +109,18 @@ def block_features(page_blocks: DataFrame, pages: DataFrame) -> DataFrame:
     grouped = page_blocks.filter("docid IS NOT NULL AND block_no IS NOT NULL").groupBy("docid").agg(F.collect_set(fields).alias("rows"))
     joined = grouped.join(pages.select("docid", "url", F.col("content").alias("page")), "docid", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in FEATURES.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        fields = [x.split() for x in FEATURES.split(", ")]
         for batch in batches:
-            out = [x for d, rows, url, page in zip(batch["docid"], batch["rows"], batch["url"], batch["page"], strict=True) for x in _features(d, list(rows), url, page)]
-            yield pd.DataFrame(out, columns=names).astype({"block_no": np.int32, "place": np.int32, "chars": np.int32, "stops": np.int32})
-
-    return joined.mapInPandas(run, FEATURES).dropDuplicates(["docid", "block_no"])
+            for k in range(0, batch.num_rows, PAGES):
+                part = batch.slice(k, PAGES).to_pylist()
+                out = [x for r in part for x in _features(r["docid"], r["rows"], r["url"], r["page"])]
+                columns = zip(*out, strict=True) if out else [[] for _ in fields]
+                arrays = [pa.array(list(c), kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+    return joined.mapInArrow(run, FEATURES).dropDuplicates(["docid", "block_no"])
 
 
 def repeated_keys(features: DataFrame, site_share: float = 0.02, crawl_share: float = 0.001, least: int = 3) -> DataFrame:

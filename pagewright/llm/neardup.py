@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import pieces
 from pagewright.llm.markup import visible_text
 from pagewright.operators.groups import components, paired
 from pagewright.plans.materialize import materialize
@@ -116,7 +117,7 @@ def signatures(pages: DataFrame, key: str, content: str, width: int, forest: For
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         placed: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for k, text in zip(batch["key"], batch["content"], strict=True):
                 words = WORD.findall((visible_text(text) if html else text).lower())
@@ -143,7 +144,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, pages: DataFrame, key: str, conte
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for cls, text in zip(batch["cls"], batch["content"], strict=True):
                 words = WORD.findall((visible_text(text) if html else text).lower())
@@ -154,7 +155,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, pages: DataFrame, key: str, conte
     sets = materialize(texts.mapInPandas(read, "cls long, found binary").dropDuplicates(["cls"]), "shingle-sets")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for x, y in zip(batch["fa"], batch["fb"], strict=True):
                 p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -198,7 +199,7 @@ def near_duplicates(
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / _SKETCH)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             keep = [sketch_agreement(x, y) >= least for x, y in zip(batch["sa"], batch["sb"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import pieces
 from pagewright.llm.fmindex import FMIndex
 from pagewright.llm.neardup import BROADCAST_ROWS
 from pagewright.operators.groups import paired
@@ -53,7 +54,7 @@ def _least_hashes(text: str, span: int) -> np.ndarray:
 
 def _seeded(texts: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for key, text in zip(batch["key"], batch["text"], strict=True):
                 cls = np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))).astype(np.int64)
@@ -67,7 +68,7 @@ def _regions(texts: DataFrame, wanted: DataFrame, few: bool, span: int) -> DataF
     """``seed, cls, start, region``: the stretches of one text of each class whose runs have a shared seed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for cls, seeds, text in zip(batch["cls"], batch["seeds"], batch["text"], strict=True):
                 least = _least_hashes(text, span).astype(np.int64)
@@ -161,8 +162,8 @@ def shared_shares(members: DataFrame, intervals: DataFrame, key: str = "doc_id")
     """``key, n_chars, shared_chars, share``: how much of each text stands elsewhere; all of it where another row has the same text."""
     ordered = Window.partitionBy("cls").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("b").over(ordered), F.lit(0))
-    pieces = intervals.distinct().withColumn("new", F.greatest(F.lit(0), F.col("b") - F.greatest("a", reached)))
-    covered = pieces.groupBy("cls").agg(F.sum("new").alias("covered"))
+    stretches = intervals.distinct().withColumn("new", F.greatest(F.lit(0), F.col("b") - F.greatest("a", reached)))
+    covered = stretches.groupBy("cls").agg(F.sum("new").alias("covered"))
     copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
     joined = members.join(copies, "cls").join(covered, "cls", "left")
     chars = F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("covered", F.lit(0))).cast("long")
