@@ -26,7 +26,9 @@ def edited(rng, base, edits):
     return " ".join(words)
 
 
-def test_near_duplicates_like_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [neardup.BROADCAST_ROWS, 0])
+def test_near_duplicates_like_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(8)
     rows = []
     for k in range(40):
@@ -87,9 +89,10 @@ def brute_spans(rows, span):
     return pairs, {k: len(v) for k, v in covered.items()}
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_shared_spans_like_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "broadcast_rows"), [(4096, 500_000), (3, 0)])
+def test_shared_spans_like_brute_force(spark, monkeypatch, block, broadcast_rows):
     monkeypatch.setattr(spans, "BLOCK", block)
+    monkeypatch.setattr(spans, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(9)
     bits = [text(rng, 12) for _ in range(6)]
     rows = [(k, " ".join(rng.choice(bits) if rng.random() < 0.35 else text(rng, 9) for _ in range(rng.randrange(1, 6)))) for k in range(60)]
@@ -112,7 +115,9 @@ ODD = ["", None, " ", "\n\n \t x", "<|endoftext|> a<|endoftext|>", "日本語" *
 
 
 @needs_vocabulary
-def test_encoding_is_exact(spark):
+@pytest.mark.parametrize("broadcast_bytes", [encoding.BROADCAST_BYTES, -1])
+def test_encoding_is_exact(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(encoding, "BROADCAST_BYTES", broadcast_bytes)
     rng = random.Random(10)
     shared = [text(rng, 300), "it's  odd;\n\n" * 80, "日本語テキスト" * 100]
     rows = [(k, rng.choice(["", " ", "x"]).join([text(rng, rng.randrange(40)), rng.choice(shared), text(rng, rng.randrange(40))])) for k in range(60)]
