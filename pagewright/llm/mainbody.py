@@ -31,9 +31,11 @@ _STOP = re.compile(r"[.!?;:,…]")
 
 #: Pages that are Python objects at a time; the rest of a batch stays in Arrow.
 PAGES = 256
+#: Words from which a text that is equal but for its numbers is taken for the same text.
+SAME_WORDS = 8
 
 FEATURES = (
-    "docid long, block_no int, site long, title long, plain long, masked long, path long, place int, chars int, stops int, certain boolean, named boolean"
+    "docid long, block_no int, site long, title long, plain long, masked long, path long, place int, chars int, stops int, certain boolean, named boolean, loose boolean"
 )
 
 
@@ -51,6 +53,11 @@ def mask(text: str, host: str) -> str:
     return _WORD.sub(lambda m: "@" if len(m.group()) >= 5 and m.group().lower() in host else m.group(), short)
 
 
+def is_loose(text: str) -> bool:
+    """Whether a text is so short and holds numbers, so that others are equal to it but for theirs by chance."""
+    return bool(_DIGITS.search(text)) and len(_WORD.findall(text)) < SAME_WORDS
+
+
 def is_certain(text: str, links: int, linked: int) -> bool:
     """Whether a block by itself is navigation, a trail, a list of tags or a teaser.
 
@@ -99,7 +106,8 @@ def _features(docid: int, rows: list[dict], url: object, content: object) -> lis
         place = order.setdefault(path, len(order))
         stops = len(_STOP.findall(text))
         certain = not text or is_certain(text, links, at.linked if at else -1)
-        out.append((docid, row["block_no"], _hash(host), _hash(title), _hash(_DIGITS.sub("#", text)), _hash(mask(text, host)), _hash(path), place, len(text), stops, certain, text == title))
+        loose = is_loose(text)
+        out.append((docid, row["block_no"], _hash(host), _hash(title), _hash(_DIGITS.sub("#", text)), _hash(mask(text, host)), _hash(path), place, len(text), stops, certain, text == title, loose))
     return out
 
 
@@ -123,24 +131,35 @@ def block_features(page_blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, FEATURES).dropDuplicates(["docid", "block_no"])
 
 
-def repeated_keys(features: DataFrame, site_share: float = 0.02, crawl_share: float = 0.001, least: int = 3) -> DataFrame:
-    """Text keys that stand under many titles: ``key, rows``.
+def repeated_keys(features: DataFrame, site_share: float = 0.02, crawl_share: float = 0.001, least: int = 3, dense: float = 0.1) -> DataFrame:
+    """Text keys that stand under many titles: ``key, rows, everywhere, sites``.
 
     A key is repeated if, on one site, at least ``least`` titles and ``site_share`` of the site's pages
     have it, or over the whole crawl ``least`` and ``crawl_share``. Copies of a page share its title and
-    so do not make its text repeated.
+    so do not make its text repeated. A loose key (a room and its hour, equal but for the numbers) comes
+    up on pages that have nothing in common; it is repeated only if, of the other pages of a site that has
+    it, ``site_share`` have it too, as text of a frame does, taken over all sites and on more than a
+    single pair of pages; or else only on those ``sites`` where ``least`` titles and ``dense`` of the other pages have it.
     """
     pages = features.select("site", "docid").distinct()
     per_site = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     total = pages.count()
-    keyed = features.select("site", "title", F.explode(F.array_distinct(F.array("plain", "masked"))).alias("key"))
-    counted = keyed.groupBy("site", "title", "key").agg(F.count(F.lit(1)).alias("rows"))
-    here = counted.groupBy("site", "key").agg(F.count(F.lit(1)).alias("titles"), F.sum("rows").alias("rows"))
+    keyed = features.select("site", "title", "loose", F.explode(F.array_distinct(F.array("plain", "masked"))).alias("key"))
+    counted = keyed.groupBy("site", "title", "key").agg(F.count(F.lit(1)).alias("rows"), F.max("loose").alias("loose"))
+    here = counted.groupBy("site", "key").agg(F.count(F.lit(1)).alias("titles"), F.sum("rows").alias("rows"), F.max("loose").alias("loose"))
     local = (F.col("titles") >= least) & (F.col("titles") >= F.col("pages") * site_share)
-    marked = here.join(per_site, "site").withColumn("local", local)
+    more, others = F.col("titles") - 1, F.col("pages") - 1
+    packed = F.col("loose") & (F.col("titles") >= least) & (more >= others * dense)
+    marked = here.join(per_site, "site").withColumns({"local": local, "packed": packed, "met": F.col("titles") * more, "meetable": F.col("titles") * others})
     titles = counted.select("key", "title").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("titles"))
-    keys = marked.groupBy("key").agg(F.max("local").alias("local"), F.sum("rows").alias("rows")).join(titles, "key")
-    return keys.filter(F.col("local") | ((F.col("titles") >= least) & (F.col("titles") >= total * crawl_share))).select("key", "rows")
+    sums = {c: F.sum(c).alias(c) for c in ("rows", "met", "meetable")}
+    sites = F.collect_list(F.when(F.col("packed"), F.col("site"))).alias("sites")
+    keys = marked.groupBy("key").agg(F.max("local").alias("local"), F.max("loose").alias("loose"), *sums.values(), sites).join(titles, "key")
+    many = (F.col("titles") >= least) & (F.col("titles") >= total * crawl_share)
+    together = (F.col("met") > 2) & (F.col("met") >= F.col("meetable") * site_share)
+    judged = keys.withColumn("everywhere", (F.col("local") | many) & (~F.col("loose") | together))
+    kept = judged.filter(F.col("everywhere") | (F.size("sites") > 0))
+    return kept.select("key", "rows", "everywhere", F.when(~F.col("everywhere"), F.col("sites")).alias("sites"))
 
 
 def main_body(page_blocks: DataFrame, pages: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -154,8 +173,9 @@ def main_body(page_blocks: DataFrame, pages: DataFrame, threshold: float = 0.3)
     features = materialize(block_features(page_blocks, pages), "block-features")
     keys = materialize(repeated_keys(features), "repeated-keys")
     total = keys.agg(F.sum("rows")).first()[0] or 0
-    keyed = features.select("docid", "block_no", F.explode(F.array_distinct(F.array("plain", "masked"))).alias("key"))
-    repeated = join_weighted(keyed, keys, "key", "rows", total).select("docid", "block_no").distinct().withColumn("again", F.lit(True))
+    keyed = features.select("docid", "block_no", "site", F.explode(F.array_distinct(F.array("plain", "masked"))).alias("key"))
+    met = join_weighted(keyed, keys, "key", "rows", total).filter(F.col("everywhere") | F.array_contains("sites", F.col("site")))
+    repeated = met.select("docid", "block_no").distinct().withColumn("again", F.lit(True))
     judged = features.join(repeated, ["docid", "block_no"], "left").withColumn("against", F.col("certain") | (F.coalesce("again", F.lit(False)) & ~F.col("named")))
     free = lambda c: F.sum(F.when(~F.col("against"), F.col(c)).otherwise(0))
     paths = judged.groupBy("docid", "site", "path").agg(

@@ -99,3 +99,18 @@ def test_main_body(spark):
     got = {tuple(r) for r in mainbody.main_body(table, source).collect()}
     assert got == want | {(500, 0)}
     assert mainbody.main_body(table.limit(0), source.limit(0)).count() == 0
+
+
+def test_main_body_keeps_short_texts_alike_but_for_numbers(spark):
+    """Rooms on pages of many sites are main body; a line with a number that stands on a site's pages is not."""
+    html = {}
+    for site in range(12):
+        for k in range(6):
+            room = f"<p>Sala {site * 31 + k}, Fri {8 + site % 9}:15</p>" if k == site % 6 else ""
+            seen = f"<p>Visits: {site * 977 + k * 13}</p>" if site < 8 and k < 4 else ""
+            html[site * 10 + k] = (site, f"<html><head><title>Title {site} {NAMES[k]} {sentence()}</title></head><body><main><p>{sentence()} {sentence()}</p>{room}<p>{sentence()} {sentence()}</p>{seen}</main></body></html>")
+    blocks = [(d, n, b.tag, b.links, b.text) for d, (_, c) in html.items() for n, b in enumerate(x for x in markup.blocks(c) if x.tag != "title")]
+    table = spark.createDataFrame(blocks, "docid long, block_no int, tag string, n_links int, content string")
+    source = spark.createDataFrame([(d, f"http://host{s}.test/p{d}", c) for d, (s, c) in html.items()], "docid long, url string, content string")
+    got = {tuple(r) for r in mainbody.main_body(table, source).collect()}
+    assert got == {(d, n) for d, n, _, _, text in blocks if not text.startswith("Visits")}
