@@ -23,8 +23,10 @@ class Recurrence(NamedTuple):
     """How the terms of one page recur.
 
     ``recurring`` is the share of terms that are content words standing again within the lag window;
-    ``regular`` the share of recurrence gaps that lie close to their term's mean gap;
-    ``autocorrelation`` the greatest share, over lags, of content terms equal to the one a lag before;
+    ``regular`` the number of gaps, short or outside running text, that lie close to their term's mean
+    gap, as a share of the terms;
+    ``autocorrelation`` the greatest share, over lags, of content terms equal to the one a lag before,
+    beyond the short lags outside running text only;
     ``function`` the share of function words and ``linked`` that of characters in links.
     """
 
@@ -40,17 +42,71 @@ class Recurrence(NamedTuple):
 NOTHING = Recurrence(0, 0.0, 0.0, 0.0, 0.0, 0.0, False)
 
 
-def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float = 0.3, periodic: float = 0.15, bare: float = 0.03, shortest: int = 60) -> Recurrence:
+def _surely(share: float, n: int, z: float = 4.0) -> float:
+    """The share that so many terms prove: the lower bound of Wilson's interval at ``z`` standard errors."""
+    return (share + z * z / (2 * n) - z * float(np.sqrt(max(share * (1 - share), 0.0) / n + z * z / (4 * n * n)))) / (1 + z * z / n)
+
+
+def _matches(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """For each lag below ``n``, how many of the terms ``ids`` standing ``at`` places equal the one that lag before.
+
+    Frequent terms by Fourier transform, the others pair by pair.
+    """
+    out = np.zeros(n, dtype=np.int64)
+    order = np.argsort(ids, kind="stable")
+    who, where = ids[order], at[order]
+    hot = np.bincount(who) > np.sqrt(32 * n) if len(who) else np.zeros(0, dtype=bool)
+    for k in np.flatnonzero(hot):
+        row = np.zeros(2 * n)
+        row[where[who == k]] = 1.0
+        out += np.rint(np.fft.irfft(np.abs(np.fft.rfft(row)) ** 2, 2 * n)[:n]).astype(np.int64)
+    cold = ~hot[who]
+    who, where = who[cold], where[cold]
+    for m in range(1, len(who)):
+        same = who[m:] == who[:-m]
+        if not same.any():
+            break
+        out += np.bincount((where[m:] - where[:-m])[same], minlength=n)
+    out[0] = 0
+    return out
+
+
+def _listed(units: list[tuple[str, int, int, int, int]], n: int, bare: float) -> bool:
+    """Whether most of the page's terms stand in blocks or paths that no sentence holds together.
+
+    ``units`` has each block's path, terms, words, function words and sentence ends. Function words must be
+    less than ``bare``, and there must be words enough to tell that from chance.
+    """
+
+    def is_list(terms: int, words: int, functions: int, ends: int) -> bool:
+        return functions < bare * words and ends * 40 < terms and words > 0.6 * terms
+
+    paths: dict[str, np.ndarray] = {}
+    for path, *figures in units:
+        paths[path] = paths.get(path, 0) + np.array(figures)
+    whole = {path for path, figures in paths.items() if is_list(*figures)}
+    chosen = [u for u in units if u[0] in whole or (u[1] >= 20 and is_list(*u[1:]))]
+    terms, words, functions = (sum(u[k] for u in chosen) for k in (1, 2, 3))
+    return terms >= 0.5 * n and words > 0 and _surely(1 - functions / words, words) >= 0.85
+
+
+def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float = 0.3, periodic: float = 0.15, bare: float = 0.03, shortest: int = 60, even: float = 0.3) -> Recurrence:
     """Measure one page and flag it if its terms recur like keywords.
 
-    Flagged are pages of ``shortest`` terms or more of which ``least`` recur within ``window`` terms, or
-    ``periodic`` repeat at one lag, or in which function words make up less than ``bare`` of 60 or more
-    words that no sentence holds together. The title, numbers, words of up to two letters, filler text
-    and rows of a table (5 to 40 words, two numbers or more among them) do not count as recurring.
+    Flagged are pages of which ``least`` of the terms recur within ``window`` terms, or ``periodic``
+    repeat at one lag, or ``even`` stand at regular gaps, or of which half stands in blocks or paths in
+    which function words make up less than ``bare`` and that no sentence holds together. Lags and gaps
+    may be as long as the page; beyond ``lags`` and ``window``, text that is running (with 15 % function
+    words) does not count, as copied paragraphs would. The shares must be proven by the number of
+    terms; from ``shortest`` terms on it is enough that they are reached by recurrence, at short lags or
+    by a list that is the whole page. The title, numbers, words of up to two letters, filler text and
+    rows of a table (5 to 40 words, two numbers or more among them) do not count as recurring.
     """
     body = [b for b in page if b.tag != "title"]
     words: list[str] = []
     tabular: list[bool] = []
+    running: list[bool] = []
+    units: list[tuple[str, int, int, int, int]] = []
     ends = 0
     for b in body:
         found = _WORD.findall(b.text.lower())
@@ -60,7 +116,10 @@ def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float
         words += found
         numbers = sum(w[0].isdigit() for w in found)
         tabular += [5 <= len(found) <= 40 and numbers >= 2 and numbers >= 0.15 * len(found)] * len(found)
-        ends += len(_END.findall(b.text))
+        functions, stops = sum(w in lexicon.FUNCTION_WORDS for w in found), len(_END.findall(b.text))
+        running += [functions >= 0.15 * len(found)] * len(found)
+        units.append((b.path, len(found), len(found) - numbers, functions, stops))
+        ends += stops
     n = len(words)
     if not n:
         return NOTHING
@@ -73,11 +132,14 @@ def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float
     order = np.argsort(ids, kind="stable")
     ranked = ids[order]
     gaps = np.diff(order)
+    free = content & ~np.array(running)
+    same = (ranked[1:] == ranked[:-1]) & content[order[1:]] & content[order[:-1]]
     near = (ranked[1:] == ranked[:-1]) & content[order[1:]] & (gaps <= window)
     again = np.zeros(n, dtype=bool)
     again[order[1:][near]] = True
     again[order[:-1][near]] = True
-    chosen, owner = gaps[near], ranked[1:][near]
+    counted = near | (same & free[order[1:]] & free[order[:-1]])
+    chosen, owner = gaps[counted], ranked[1:][counted]
     regular = 0.0
     if len(chosen):
         times = np.bincount(owner, minlength=len(number))
@@ -85,12 +147,15 @@ def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float
         steady = (times[owner] >= 3) & (np.abs(chosen - mean[owner]) <= np.maximum(1, 0.25 * mean[owner]))
         regular = float(steady.sum() / n)
     key = np.where(content, ids, -np.arange(1, n + 1))
-    auto = max((float(np.count_nonzero(key[k:] == key[:-k])) / n for k in range(1, min(lags, n - 1) + 1)), default=0.0)
+    short = max((float(np.count_nonzero(key[k:] == key[:-k])) / n for k in range(1, min(lags, n - 1) + 1)), default=0.0)
+    far = _matches(ids[free], np.flatnonzero(free), n)[lags + 1 :]
+    auto = max(short, float(far.max(initial=0)) / n)
     function = float(functional.sum() / max(alphabetic.sum(), 1))
     linked = sum(b.linked for b in body) / max(sum(len(b.text) for b in body), 1)
     share = float(again.mean())
     listed = n >= 60 and function < bare and ends * 40 < n and alphabetic.mean() > 0.6
-    stuffed = n >= shortest and (share >= least or auto >= periodic or listed)
+    plain = n >= shortest and (share >= least or short >= periodic or listed)
+    stuffed = plain or _surely(share, n) >= least or _surely(auto, n) >= periodic or _surely(min(regular, 1.0), n) >= even or _listed(units, n, bare)
     return Recurrence(n, share, regular, auto, function, min(linked, 1.0), bool(stuffed))
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pagewright.llm import mainbody, markup, residue, stuffing
 
 rng = random.Random(12)
@@ -114,3 +116,29 @@ def test_main_body_keeps_short_texts_alike_but_for_numbers(spark):
     source = spark.createDataFrame([(d, f"http://host{s}.test/p{d}", c) for d, (s, c) in html.items()], "docid long, url string, content string")
     got = {tuple(r) for r in mainbody.main_body(table, source).collect()}
     assert got == {(d, n) for d, n, _, _, text in blocks if not text.startswith("Visits")}
+
+
+def test_stuffed_pages_at_any_distance(spark):
+    r = random.Random(5)
+    cycle = NAMES[:45]
+    frame = "".join(f"<div class=box>{sentence(r)}</div>" for _ in range(3))
+    shuffled = " ".join(w for _ in range(8) for k in range(0, 45, 9) for w in r.sample(cycle[k : k + 9], 9))
+    cases = {
+        1: page(frame + "<p>" + " ".join(cycle * 5) + "</p>"),
+        2: page(frame + "<p>" + shuffled + "</p>"),
+        3: page(frame + "".join(f"<li><a href=/{w}>{w} {w}en</a></li>" for w in NAMES)),
+        4: "<p>" + " ".join(f"cheap {w} lamps" for w in NAMES[:14]) + "</p>",
+    }
+    body = prose(6)
+    clean = {11: page(body + body), 12: page(prose(8)), 13: page(frame + TIMETABLE), 14: "<p>lamps lamps lamps</p>", 15: page("<p>" + " ".join(NAMES[:12]) + "</p>")}
+    got = {r.docid: r for r in stuffing.page_recurrence(pages(spark, [*cases.items(), *clean.items()])).collect()}
+    assert {k for k, v in got.items() if v.stuffed} == set(cases)
+    assert got[1].recurring < 0.3 and got[1].autocorrelation > 0.4 and got[2].regular > 0.3
+
+
+def test_matches_at_all_lags():
+    r = random.Random(6)
+    n = 400
+    ids = np.array([r.choice([0, 0, 0, 0, r.randrange(1, 40)]) for _ in range(n)])
+    want = [0] + [int((ids[k:] == ids[:-k]).sum()) for k in range(1, n)]
+    assert stuffing._matches(ids, np.arange(n), n).tolist() == want
