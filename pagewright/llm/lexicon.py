@@ -17,7 +17,8 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 
-# The vocabulary of filler text: Latin words, Latin-like endings and words typed on the spot.
+# The vocabulary of filler text: Latin words of the standard paragraphs and of common generators,
+# without those frequent in living languages, Latin-like endings and words typed on the spot.
 FILLER_WORDS = frozenset(
     """
     lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua
@@ -25,10 +26,26 @@ FILLER_WORDS = frozenset(
     elementum faucibus faucium fermentum fermo integer integra lacra lacus mattis mattisor nislum nulla nullum nuncia
     ornare portam porta posuere pretium pulvinar pulvis quisat quisque sodales sodis sollicit sollicitudin tempus tellus
     ultor ultrices varia varius velit vestibulum vestra viverra viverrat
+    enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure
+    reprehenderit voluptate esse cillum fugiat pariatur excepteur sint occaecat cupidatat proident sunt culpa
+    officia deserunt mollit anim laborum ut ea consectetuer diam nonummy nibh euismod tincidunt laoreet erat
+    volutpat wisi exerci tation ullamcorper suscipit lobortis nisl autem vel eum iriure hendrerit vulputate molestie
+    illum feugiat facilisis eros accumsan iusto odio dignissim praesent luptatum zzril delenit augue feugait
+    facilisi consetetur sadipscing elitr nonumy eirmod invidunt aliquyam voluptua eos accusam dolores rebum stet
+    clita kasd gubergren takimata sanctus ac aenean aptent arcu auctor bibendum condimentum congue conubia convallis
+    cras cubilia curabitur curae cursus donec dui efficitur eget eleifend etiam fames felis finibus fringilla fusce
+    gravida habitant habitasse himenaeos iaculis imperdiet inceptos interdum lacinia lectus ligula litora luctus
+    maecenas malesuada mauris maximus metus montes morbi nascetur natoque nec netus nostra nullam nunc orci
+    parturient pellentesque penatibus pharetra phasellus placerat platea potenti primis proin purus quam rhoncus
+    ridiculus risus rutrum sagittis sapien scelerisque semper senectus sociosqu suspendisse taciti torquent tortor
+    tristique turpis ultricies urna vehicula venenatis vitae vivamus
     asdf bar baz bla blah foo jkl qwer qwerty test xxx xxxx
     """.split()
 )
 
+# Those of them that also stand alone in ordinary text.
+ORDINARY_FILLER = frozenset("asdf bar baz bla blah foo jkl qwer qwerty test xxx xxxx dictum dolor integra tempus semper varia vitae".split())
+
 # Messages that stand where a page's own text should be. White space and case do not
 # matter; "#" stands for a run of digits.
 ERROR_MESSAGES = (

@@ -33,8 +33,8 @@ COLUMNS = "slots int, filler double, notes double, message double, prose int, re
 class Evidence(NamedTuple):
     """What was found on one page.
 
-    ``slots`` unfilled slots outside code; ``filler`` and ``notes`` the greatest share of a block that
-    is filler words or notes; ``message`` the greatest share of a block that error or script messages
+    ``slots`` unfilled slots outside code; ``filler`` and ``notes`` the greatest share of a block, for
+    ``filler`` also of all short blocks of filler together, that is filler words or notes; ``message`` the greatest share of a block that error or script messages
     cover; ``prose`` words of running text besides them.
     """
 
@@ -86,11 +86,13 @@ def _whole(text: str, start: int, end: int) -> bool:
 def judge(page: list[Block], machine, message_share: float = 0.3, filler_share: float = 0.4, least_prose: int = 120) -> Evidence:
     """Evidence of one page's blocks, and whether it is residue.
 
-    Residue is any unfilled slot; a block of which ``filler_share`` are filler words (12 at least) or
-    notes (two at least); or an error or script message covering ``message_share`` of its block while
-    the page has fewer than ``least_prose`` words of other running text.
+    Residue is any unfilled slot; a block of which ``filler_share`` are filler words (12 at least, in
+    it or in all such blocks of the page together) or notes (two at least); or an error or script message covering ``message_share`` of its block while
+    the page has fewer than ``least_prose`` words of other running text. Where running text names the
+    filler, as a text about it does, blocks with fewer than 12 filler words do not count.
     """
     slots, filler, notes, message, prose = 0, 0.0, 0.0, 0.0, 0
+    pieces, piece_words, subject = 0, 0, False
     for b in page:
         if b.tag in CODE:
             continue
@@ -109,6 +111,10 @@ def judge(page: list[Block], machine, message_share: float = 0.3, filler_share:
         latin = sum(w in lexicon.FILLER_WORDS for w in words)
         share = latin / len(words) if latin >= 12 else 0.0
         filler = max(filler, share)
+        if b.tag != "title" and latin >= filler_share * len(words):
+            distinct = {w for w in words if w in lexicon.FILLER_WORDS}
+            if len(distinct) >= 2 or not distinct <= lexicon.ORDINARY_FILLER:
+                pieces, piece_words = pieces + latin, piece_words + len(words)
         if len(found["note"]) >= 2:
             marked = [len(x) for x in _SENTENCE.split(text) if _is_note(x.strip())]
             notes = max(notes, min(1.0, sum(marked) / len(text)) if len(marked) >= 2 else 0.0)
@@ -122,6 +128,9 @@ def judge(page: list[Block], machine, message_share: float = 0.3, filler_share:
         function = sum(w in lexicon.FUNCTION_WORDS for w in words)
         if cover < message_share and share < filler_share and len(words) >= 12 and function >= 0.18 * len(words) and not b.linked > 0.5 * len(b.text) and b.text[-1:] in ".?!":
             prose += len(words)
+            subject = subject or "lorem" in words or "ipsum" in words
+    if pieces >= 12 and not subject:
+        filler = max(filler, pieces / piece_words)
     residue = slots > 0 or filler >= filler_share or notes >= filler_share or (message >= message_share and prose < least_prose)
     return Evidence(slots, filler, notes, message, prose, residue)
 

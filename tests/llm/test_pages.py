@@ -142,3 +142,24 @@ def test_matches_at_all_lags():
     ids = np.array([r.choice([0, 0, 0, 0, r.randrange(1, 40)]) for _ in range(n)])
     want = [0] + [int((ids[k:] == ids[:-k]).sum()) for k in range(1, n)]
     assert stuffing._matches(ids, np.arange(n), n).tolist() == want
+
+
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+)
+
+
+def test_standard_filler(spark):
+    cases = {k: page(prose(3) + f"<p>{text}</p>") for k, text in enumerate((*LOREM, " ".join(LOREM)))}
+    cases |= {
+        11: page(prose(3) + "<ul>" + "<li>Lorem ipsum</li>" * 8 + "</ul>"),
+        12: page("<p>Lorem <b>ipsum</b> dolor <b>sit</b> amet <i>consetetur</i> sadipscing <b>elitr</b> nonumy <b>eirmod</b> tempor <i>invidunt</i> labore</p>"),
+        13: page("<p>Suspendisse potenti. Maecenas sagittis ligula nec risus tristique, in pharetra urna mattis. Vivamus eget felis.</p>"),
+    }
+    about = page(prose() + f"<p>Printers have used the words lorem and ipsum for centuries. {sentence()}</p>" + "<li>Lorem ipsum</li>" * 8)
+    clean = {21: about, 22: page(prose(2) + "".join(f"<li>Test {k}</li>" for k in range(20))), 23: page(prose(2) + "<li>Lorem ipsum</li>")}
+    got = {r.docid: r.residue for r in residue.page_residue(pages(spark, [*cases.items(), *clean.items()])).collect()}
+    assert {k for k, v in got.items() if v} == set(cases)
