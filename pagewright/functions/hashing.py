@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +31,32 @@ def crc32_table() -> list[int]:
     return out
 
 
-def _signed(n: int) -> int:
-    return n - (1 << 64) if n >> 63 else n
+def crc64_of(words: list[bytes]) -> np.ndarray:
+    """CRC-64/XZ of each word, 0 for empty ones, signed: one table look-up for all words at each place."""
+    table = np.array(crc64_table(), dtype=np.uint64)
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    ranked = lengths[order]
+    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1][order]
+    octets = np.frombuffer(b"".join(words), dtype=np.uint8)
+    crc = np.full(len(words), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for k in range(int(lengths.max(initial=0))):
+        n = int(np.searchsorted(-ranked, -k, side="left"))
+        crc[:n] = crc[:n] >> np.uint64(8) ^ table[((crc[:n] ^ octets[starts[:n] + k]) & np.uint64(255)).astype(np.int64)]
+    out = np.empty(len(words), dtype=np.uint64)
+    out[order] = np.where(ranked > 0, ~crc, np.uint64(0))
+    return out.astype(np.int64)
 
 
 def crc64(word: Column) -> Column:
-    """CRC-64/XZ of a word's UTF-8 bytes, as a signed 64-bit number."""
-    table = F.array(*[F.lit(_signed(x)) for x in crc64_table()])
-    digits = F.hex(F.encode(word, "UTF-8"))
-    places = F.sequence(F.lit(0), F.greatest(F.length(digits) / 2 - 1, F.lit(0)).cast("int"))
-    octets = F.transform(places, lambda k: F.conv(F.substring(digits, k * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    step = lambda acc, b: F.shiftrightunsigned(acc, 8).bitwiseXOR(F.get(table, acc.bitwiseXOR(b).bitwiseAND(F.lit(255)).cast("int")))
-    crc = F.bitwise_not(F.aggregate(octets, F.lit(-1).cast("long"), step))
-    return F.when(F.length(word) > 0, crc).otherwise(F.lit(0).cast("long"))
+    """CRC-64/XZ of a word's UTF-8 bytes, as a signed 64-bit number; null for null. Works on Arrow batches."""
+
+    @F.pandas_udf("long")
+    def run(words: pd.Series) -> pd.Series:
+        crc = pd.Series(crc64_of([w.encode("utf-8", "surrogatepass") if w is not None else b"" for w in words]), index=words.index)
+        return crc.where(words.notna(), None)
+
+    return run(word)
 
 
 def exact_hash(text: Column) -> list[Column]:

@@ -6,17 +6,11 @@ each dialect writes its own way.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 #: White space by Unicode, as a class body.
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Put where a rule parts a token, so that the text's own white space stays known.
 PART = "\x01"
 
-STRIP = (rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 COLLAPSE = (rf"[{SPACE}]+", " ")
 
 HIDDEN = (
@@ -35,6 +29,8 @@ ENTITIES = (
 
 HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 SCHEME = r"\A[a-zA-Z][a-zA-Z0-9+.\-]*:"
+#: A path with dot segments, and one that ends with them.
+DOTS, DOT_END = r"/\.{1,2}(/|\z)", r"/\.{1,2}\z"
 ORIGIN = r"\A([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
 
 _P = PART
@@ -70,6 +66,7 @@ TOKEN = rf"[^{SPACE}\x01]+"
 GAP = rf"[{SPACE}\x01]+"
 #: The spaces beyond ASCII, and the class of a token in text where they have been replaced.
 WIDE_SPACES = "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f" + WIDE_SPACES
 ASCII_TOKEN = r"[^ \t\n\x0b\f\r\x1c-\x1f\x01]+"
 ALPHANUMERIC = r"\A[\p{L}\p{N}]+\z"
 
@@ -90,15 +87,17 @@ def _groups(replacement: str, mark: str) -> str:
     return replacement
 
 
-@functools.cache
-def stopwords() -> tuple[str, ...]:
-    """Spark's English stopwords without seven pieces of contractions, in order."""
-    import pyspark
-
-    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
-    for jars in (os.path.join(home, "jars"), os.path.join(os.path.dirname(pyspark.__file__), "jars")):
-        for jar in sorted(glob.glob(os.path.join(jars, "spark-mllib_*.jar"))):
-            with zipfile.ZipFile(jar) as z:
-                words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-            return tuple(sorted(set(words) - {"can", "don", "just", "now", "s", "t", "will"}))
-    raise FileNotFoundError("spark-mllib jar")
+# English stopwords, contractions included.
+STOPWORDS = tuple(
+    """
+    a about above after again against all am an and any are aren't as at be because been before being below between
+    both but by can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from
+    further had hadn't has hasn't have haven't having he he'd he'll he's her here here's hers herself him himself
+    his how how's i i'd i'll i'm i've if in into is isn't it it's its itself let's me more most mustn't my myself no
+    nor not of off on once only or other ought our ours ourselves out over own same shan't she she'd she'll she's
+    should shouldn't so some such than that that's the their theirs them themselves then there there's these they
+    they'd they'll they're they've this those through to too under until up very was wasn't we we'd we'll we're
+    we've were weren't what what's when when's where where's which while who who's whom why why's with won't would
+    wouldn't you you'd you'll you're you've your yours yourself yourselves
+    """.split()
+)

@@ -18,7 +18,7 @@ def _sub(text: Column, rule: tuple[str, str]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without leading and trailing white space by Unicode."""
-    return _sub(text, rules.STRIP)
+    return F.btrim(text, F.lit(rules.SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -81,6 +81,14 @@ def with_ngrams(df: DataFrame, text: str, n: int, out: str = "ngrams") -> DataFr
     return parted.withColumn(out, runs).drop("_marked", "_words", "_gaps")
 
 
+def with_flat_ngrams(df: DataFrame, text: str, n: int, out: str) -> DataFrame:
+    """Add one list of a text's tokens and, after them, its runs of 2 to ``n`` tokens."""
+    parts = [f"_{k}" for k in range(1, n + 1)]
+    for k, part in enumerate(parts, 1):
+        df = with_ngrams(df, text, k, part)
+    return df.withColumn(out, F.concat(*parts)).drop(*parts)
+
+
 def important_text(page: Column, tag: str) -> Column:
     """Text of all elements of a tag, joined with spaces."""
     found = F.regexp_extract_all(page, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1))
@@ -104,23 +112,30 @@ def defrag(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments taken out, however many there are."""
+    whole = F.when(path.rlike(rules.DOT_END), F.concat(path, F.lit("/"))).otherwise(path)
+    up = lambda acc: F.regexp_replace(acc, r"/[^/]*\z", "")
+    step = lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x))
+    folded = F.aggregate(F.slice(F.split(whole, "/"), 2, 1 << 30), F.lit(""), step)
+    return F.when(folded == "", F.lit("/")).otherwise(folded)
+
+
 def resolved(base: Column, href: Column) -> Column:
     """A link's target against its page's URL by RFC 3986: absolute, ``//host``, ``/path``, ``?query``, ``#fragment`` and relative."""
     origin = F.regexp_extract(base, rules.ORIGIN, 1)
     page = F.regexp_replace(base, r"[?#].*\z", "")
-    folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*\z", ""))
-    joined = (
+    folder = F.when(page == origin, F.lit("/")).otherwise(F.regexp_replace(F.substring(page, F.length(origin) + 1, F.length(page)), r"[^/]*\z", ""))
+    path = F.regexp_replace(href, r"[?#].*\z", "")
+    rest = F.substring(href, F.length(path) + 1, F.length(href))
+    joined = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    return (
         F.when(href.rlike(rules.SCHEME), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, rules.SCHEME, 0), href))
-        .when(href.startswith("/"), F.concat(origin, href))
         .when(href.startswith("?"), F.concat(page, href))
         .when(href.startswith("#"), F.concat(defrag(base), href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(origin, F.when(joined.rlike(rules.DOTS), _without_dots(joined)).otherwise(joined), rest))
     )
-    path = F.regexp_replace(joined, r"/\./", "/")
-    for _ in range(4):
-        path = F.regexp_replace(path, r"([^/:])/[^/?#.][^/?#]*/\.\./", "$1/")
-    return path
 
 
 def stemmed(words: DataFrame, word: str, out: str) -> DataFrame:
@@ -139,7 +154,7 @@ def stemmed(words: DataFrame, word: str, out: str) -> DataFrame:
 
 
 def is_stopword(word: Column) -> Column:
-    return word.isin(*rules.stopwords())
+    return word.isin(*rules.STOPWORDS)
 
 
 def is_alphanumeric(word: Column) -> Column:

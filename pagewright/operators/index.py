@@ -61,6 +61,10 @@ def page_links(pages: DataFrame, params: Params = COMPAT) -> DataFrame:
     return found.select(F.col("docid").alias("src"), target.alias("dst_url")).distinct()
 
 
+#: Tokens that may be broadcast to the postings.
+FEW_WORDS = 100_000
+
+
 @dataclass(frozen=True)
 class Index:
     """``docinfo``: docid, total_tokens, three qualities, url. ``postings``: bid, token, docid, tf,
@@ -79,7 +83,9 @@ def build(pages: DataFrame, params: Params = COMPAT, write: bool = True) -> Inde
     fingerprints, the postings and the document table.
     """
     keep = materialize if write else lambda df, _: df
-    unique = keep(dedup.by_content(dedup.by_url(pages, params)), "unique-pages")
+    delivered = keep(pages.select("docid", "url", "content").withColumns(dedup.exact_keys(pages, "crc", "n_bytes")), "pages")
+    ids = keep(dedup.by_content(dedup.by_url(delivered.drop("content"), params)).select("docid"), "unique-ids")
+    unique = delivered.join(ids, "docid", "left_semi").select("docid", "url", "content")
     counts = keep(token_counts(unique, params), "token-counts")
     vocab = keep(vocabulary(counts), "vocabulary")
     kept = keep(dedup.by_fingerprint(fingerprints(unique, counts, vocab), params), "kept")
@@ -104,10 +110,16 @@ def save(index: Index, folder: str) -> None:
     """Write an index: postings in buckets, sorted by token and docid, the other tables plain.
 
     A bucket's rows go to as many files as its share of tokens warrants: rows are spread by bucket and a
-    hash of the token, so a bucket with most of the rows is not one task.
+    hash of the token, so a bucket with most of the rows is not one task. Postings are cleaned once here;
+    their tokens' frequencies are kept beside them, so opening the index reads no postings.
     """
-    spread = index.postings.repartition(F.col("bid"), F.pmod(F.xxhash64("token"), F.lit(16)))
+    spark = index.postings.sparkSession
+    clean = valid_postings(index.postings).withColumn("bid", text.bucket(F.col("token")))
+    spread = clean.repartition(F.col("bid"), F.pmod(F.xxhash64("token"), F.lit(16)))
     spread.sortWithinPartitions("bid", "token", "docid").write.mode("overwrite").partitionBy("bid").parquet(f"{folder}/postings")
+    written = spark.read.parquet(f"{folder}/postings")
+    counted = written.groupBy("bid", "token").agg(F.count(F.lit(1)).alias("df"))
+    counted.write.mode("overwrite").partitionBy("bid").parquet(f"{folder}/frequencies")
     index.docinfo.write.mode("overwrite").parquet(f"{folder}/docinfo")
     index.doclinks.write.mode("overwrite").parquet(f"{folder}/doclinks")
 
@@ -136,26 +148,58 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def reachable(frequencies: DataFrame, params: Params = COMPAT) -> DataFrame:
-    """Tokens that a lookup finds: all, or in ``compat`` neither the first of a bucket nor those beyond ASCII."""
+def first_tokens(postings: DataFrame) -> DataFrame:
+    """``bid, token``: the first token of each bucket, at most one row for each of its 129 numbers."""
+    return postings.filter("tf > 0 AND token IS NOT NULL AND docid IS NOT NULL").groupBy(text.bucket(F.col("token")).alias("bid")).agg(F.min("token").alias("token"))
+
+
+def reachable(frequencies: DataFrame, params: Params = COMPAT, first: DataFrame | None = None) -> DataFrame:
+    """Tokens that a lookup finds: all, or in ``compat`` neither the first of a bucket nor those beyond ASCII.
+
+    ``first`` has the first token of each bucket where ``frequencies`` are those of some tokens only.
+    """
     if not params.compat:
         return frequencies
     placed = frequencies.withColumn("bid", text.bucket(F.col("token")))
-    first = placed.groupBy("bid").agg(F.min("token").alias("token"))
+    first = placed.groupBy("bid").agg(F.min("token").alias("token")) if first is None else first
     return placed.filter("bid < 128").join(F.broadcast(first), ["bid", "token"], "left_anti").drop("bid")
 
 
 def lookup(postings: DataFrame, words: DataFrame) -> DataFrame:
-    """The postings of a table of tokens; its buckets prune the index's partitions."""
+    """The postings of a table of tokens that nothing else reads much of: cleaned rows, each once.
+
+    The tokens' buckets, at most 129 numbers, become a literal filter, which prunes a saved index's
+    partitions and a table's row groups; the tokens are joined to the scan before repeated rows go, so
+    only postings that are asked for are moved. Beyond ``FEW_WORDS`` tokens the join is shuffled.
+    """
+    wanted = words.select("token").distinct().withColumn("bid", text.bucket(F.col("token")))
+    figures = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set("bid").alias("bids")).first()
+    asked = postings.filter("tf > 0 AND docid IS NOT NULL").filter(F.col("bid").isin(sorted(figures["bids"])))
+    few = F.broadcast(wanted) if figures["n"] <= FEW_WORDS else wanted
+    return asked.join(few, ["bid", "token"], "left_semi").distinct()
+
+
+def known_frequencies(frequencies: DataFrame, words: DataFrame) -> DataFrame:
+    """``token, df`` of a table of tokens, out of a saved index's frequencies ``token, bid, df``."""
     wanted = words.select("token").distinct().withColumn("bid", text.bucket(F.col("token")))
-    return postings.join(wanted, ["bid", "token"])
+    figures = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set("bid").alias("bids")).first()
+    few = F.broadcast(wanted) if figures["n"] <= FEW_WORDS else wanted
+    return frequencies.filter(F.col("bid").isin(sorted(figures["bids"]))).join(few, ["bid", "token"], "left_semi").select("token", "df")
 
 
 def statistics(docinfo: DataFrame, postings: DataFrame) -> DataFrame:
-    """One row: last docid, documents, distinct tokens."""
-    docs = docinfo.agg(F.max("docid").alias("last_docid"), F.countDistinct("docid").alias("n_docs"))
+    """One row: last docid, documents, how many of them have no tokens and how many have, distinct tokens."""
+    empty = F.col("total_tokens").isNull() | (F.col("total_tokens") <= 0)
+    docs = docinfo.groupBy("docid").agg(F.min(empty.cast("int")).alias("empty"))
+    counted = docs.agg(F.max("docid").alias("last_docid"), F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("empty"), F.lit(0)).alias("n_empty"))
     tokens = postings.agg(F.countDistinct("token").alias("n_tokens"))
-    return docs.join(F.broadcast(tokens))
+    return counted.withColumn("n_nonempty", F.col("n_docs") - F.col("n_empty")).join(F.broadcast(tokens))
+
+
+def stored_kilobytes(spark: SparkSession, folder: str) -> float:
+    """The size of a saved index's files in KB."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength() / 1024
 
 
 def documents(docinfo: DataFrame) -> DataFrame:

@@ -7,16 +7,24 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Quantile cuts asked for; bounds what reaches the driver whatever the table's size.
-CUTS = 256
+#: Quantile cuts asked for at least, and at most, which bounds what reaches the driver; rows a cut between.
+CUTS, MOST_CUTS = 256, 8192
+ROWS = 1_000_000
 
 
-def split_points(df: DataFrame, column: str, cuts: int = CUTS) -> tuple[list[float], list[float]]:
+def cuts_for(rows: int) -> int:
+    """How many buckets a table of so many rows is parted into."""
+    return min(MOST_CUTS, max(CUTS, rows // ROWS))
+
+
+def split_points(df: DataFrame, column: str, cuts: int | None = None) -> tuple[list[float], list[float]]:
     """Bucket borders from approximate quantiles, and the heavy values among them.
 
     A value that fills more than one quantile is heavy; it gets a bucket of its own, so every other
-    bucket holds about 1/``cuts`` of the rows. At most ``2 * cuts + 2`` borders are returned.
+    bucket holds about 1/``cuts`` of the rows. At most ``2 * cuts + 2`` borders are returned. ``cuts``
+    goes by the number of rows unless given.
     """
+    cuts = cuts or cuts_for(df.count())
     probs = [i / cuts for i in range(cuts + 1)]
     found = df.select(F.percentile_approx(F.col(column).cast("double"), probs, 10 * cuts)).first()[0]
     if not found:
@@ -39,7 +47,7 @@ def counts_above(df: DataFrame, column: str) -> DataFrame:
 
     ``ties`` is the number of rows with the value, ``above`` that of rows with a strictly greater
     one. Values are counted first, so ties never gather; cumulative sums run in quantile buckets
-    and the buckets' totals, at most ``2 * CUTS + 2``, are summed up by themselves.
+    and the buckets' totals, at most ``2 * MOST_CUTS + 2``, are summed up by themselves.
     """
     values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("ties"))
     borders, _ = split_points(df.filter(F.col(column).isNotNull()), column)
@@ -74,6 +82,24 @@ def global_row_number(df: DataFrame, score: str, tie: str, out: str = "rank") ->
     return numbered.withColumn(out, F.col("_over") + F.col("_in")).drop("_b", "_t", "_n", "_in", "_over")
 
 
+def row_number_within(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """Number the rows of each group from 1 by ``order``, whose columns tell the group's rows apart.
+
+    Equal to ``row_number`` over the group, but rows are ranged by group and order and numbered range by
+    range, so a group with most of the rows is spread over many tasks. The ranges are written, so
+    numbering reads what was ranged.
+    """
+    from pagewright.plans.materialize import materialize
+
+    ranged = materialize(df.repartitionByRange(group, *order).withColumn("_p", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_over"))
+    inside = Window.partitionBy(group, "_p").orderBy(*order)
+    numbered = ranged.withColumn("_in", F.row_number().over(inside)).join(offsets, [group, "_p"])
+    return numbered.withColumn(out, (F.col("_over") + F.col("_in")).cast("long")).drop("_p", "_in", "_over")
+
+
 def row_number_by_text(df: DataFrame, column: str, out: str) -> DataFrame:
     """Number rows from 1 by a distinct text column, each task sorting one range of it.
 

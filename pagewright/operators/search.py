@@ -4,28 +4,65 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text
 from pagewright.operators import index as ix
+from pagewright.operators.ranking import row_number_within
+from pagewright.operators.skew import join_weighted
 from pagewright.params import COMPAT, Params
+from pagewright.plans.materialize import materialize
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """What queries are answered from: cleaned postings, their document frequencies and documents."""
+    """What queries are answered from: postings as stored, the first token of each bucket, documents.
+
+    ``frequencies`` is there for a saved index only; otherwise a batch counts those of its own tokens.
+    """
 
     postings: DataFrame
-    frequencies: DataFrame
+    first: DataFrame
     docs: DataFrame
+    n_docs: int
     params: Params = COMPAT
+    frequencies: DataFrame | None = None
 
 
 def open_index(postings: DataFrame, docinfo: DataFrame, params: Params = COMPAT) -> SearchIndex:
-    """An index over stored tables: repeated and invalid rows out, unusable qualities replaced."""
-    valid = ix.valid_postings(postings)
-    return SearchIndex(valid, ix.reachable(ix.document_frequency(valid), params), ix.documents(docinfo), params)
+    """An index over stored tables, in which repeated and invalid rows and unusable qualities are met."""
+    docs = materialize(ix.documents(docinfo), "documents")
+    return SearchIndex(postings, ix.first_tokens(postings), docs, docs.count(), params)
+
+
+def open_saved(spark: SparkSession, folder: str, params: Params = COMPAT) -> SearchIndex:
+    """A saved index; its frequencies and buckets are read from their own table, no postings are."""
+    stored = ix.load(spark, folder)
+    frequencies = spark.read.parquet(f"{folder}/frequencies")
+    first = materialize(frequencies.groupBy("bid").agg(F.min("token").alias("token")), "first-tokens")
+    docs = materialize(ix.documents(stored.docinfo), "documents")
+    return SearchIndex(stored.postings, first, docs, docs.count(), params, frequencies.select("token", "bid", "df"))
+
+
+@dataclass(frozen=True)
+class Gathered:
+    """A batch's tokens with all that the index has on them: one scan of the postings, written."""
+
+    tokens: DataFrame
+    postings: DataFrame
+    frequencies: DataFrame
+
+
+def gather(tokens: DataFrame, index: SearchIndex) -> Gathered:
+    """Look a batch's tokens up: their postings, each once, and the document frequencies that can be reached."""
+    tokens = materialize(tokens, "query-tokens")
+    found = materialize(ix.lookup(index.postings, tokens).select("token", "docid", "tf", "important"), "found-postings")
+    if index.frequencies is None:
+        counted = ix.document_frequency(found)
+    else:
+        counted = ix.known_frequencies(index.frequencies, tokens)
+    return Gathered(tokens, found, ix.reachable(counted, index.params, index.first))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -59,73 +96,85 @@ def prune(tokens: DataFrame, frequencies: DataFrame, params: Params = COMPAT) ->
     return counted.filter(good & (~F.col("stop") | (F.col("place") <= most))).select("query_id", "token", "qtf", "df")
 
 
-def hits(pruned: DataFrame, postings: DataFrame) -> DataFrame:
-    """Postings of each query's tokens in documents that have all of them."""
-    needed = pruned.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    found = ix.lookup(postings, pruned).join(pruned.select("query_id", "token", "qtf"), "token").join(needed, "query_id")
-    have = F.count(F.lit(1)).over(Window.partitionBy("query_id", "docid"))
-    return found.withColumn("have", have).filter("have = needed").drop("have", "needed")
-
-
 def match(pruned: DataFrame, postings: DataFrame) -> DataFrame:
     """``query_id, docid`` of documents that have all of a query's tokens."""
     needed = pruned.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    found = ix.lookup(postings, pruned).join(pruned.select("query_id", "token"), "token")
-    return found.groupBy("query_id", "docid").agg(F.count(F.lit(1)).alias("have")).join(needed, "query_id").filter("have = needed").select("query_id", "docid")
+    asked = pruned.select("query_id", "token").join(needed, "query_id")
+    found = postings.select("token", "docid").join(_small(asked), "token").groupBy("query_id", "docid")
+    return found.agg(F.count(F.lit(1)).alias("have"), F.max("needed").alias("needed")).filter("have = needed").select("query_id", "docid")
+
 
+def _small(asked: DataFrame) -> DataFrame:
+    """A batch's tokens, broadcast if there are few: the postings of a token that is everywhere stay where they are."""
+    return F.broadcast(asked) if asked.count() <= ix.FEW_WORDS else asked
 
-def _share(value: str) -> Column:
-    """A value over its Euclidean norm in the query's result; 0 where the norm is 0."""
-    norm = F.sqrt(F.sum(F.col(value) * F.col(value)).over(Window.partitionBy("query_id")))
-    return F.coalesce(F.try_divide(F.col(value), norm), F.lit(0.0))
 
+_QUALITIES = ("pr_quality", "hub_quality", "auth_quality")
 
-def scores(pruned: DataFrame, index: SearchIndex) -> DataFrame:
+
+def scores(pruned: DataFrame, index: SearchIndex, postings: DataFrame | None = None) -> DataFrame:
     """All scores of all matches: ``query_id, docid, url, tfidf, cosine, relevance, quality, score``.
 
     One idf a query from its result's size (``compat``) or one a token from the collection; weights of a
     token in a document, their sum and their cosine with the query; both normalised over the result and
-    mixed, unless the cosine misses the gate; the qualities normalised and mixed likewise.
+    mixed, unless the cosine misses the gate; the qualities normalised and mixed likewise. ``postings``
+    are those of the batch's tokens if they have been looked up already. A query's size and norms are one aggregate, joined back to its
+    matches; the row of a query with a large part of all matches is broadcast.
     """
-    p = index.params
-    found = hits(pruned, index.postings).join(index.docs.filter("total_tokens > 0"), "docid")
-    n = index.docs.count()
-    if p.compat:
-        size = found.select("query_id", "docid").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
-        idf = F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("m")))
-    else:
-        size = None
-        idf = F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df")))
-    found = found.join(size, "query_id") if size is not None else found.join(index.frequencies, "token")
-    total = F.sum("qtf").over(Window.partitionBy("query_id", "docid"))
+    p, n = index.params, index.n_docs
+    postings = ix.lookup(index.postings, pruned) if postings is None else postings
+    needed = pruned.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
+    asked = _small(pruned.join(needed, "query_id").select("query_id", "token", "qtf", "df", "needed"))
+    idf = F.lit(1.0) if p.compat else F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df")))
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in p.importance]), F.col("important") + 1)
-    found = found.withColumns({"w": F.col("tf") / F.col("total_tokens") * idf * weight, "wq": F.col("qtf") / total * idf})
-    square = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
-    per_doc = found.groupBy("query_id", "docid").agg(
-        F.sum("w").alias("tfidf"),
-        F.try_divide(F.sum(F.col("w") * F.col("wq")), square("w") * square("wq")).alias("cosine"),
-        *[F.first(c).cast("double").alias(c) for c in ("pr_quality", "hub_quality", "auth_quality")],
-        F.first("url").alias("url"),
-    )
-    per_doc = per_doc.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
-    relevance = p.tfidf_weight * _share("tfidf") + (1 - p.tfidf_weight) * _share("cosine")
-    quality = p.pagerank_weight * _share("pr_quality") + p.hub_weight * _share("hub_quality") + p.authority_weight * _share("auth_quality")
-    out = per_doc.withColumns({"relevance": F.when(F.col("cosine") > p.cosine_gate, relevance).otherwise(0.0), "quality": quality})
-    score = p.relevance_weight * F.col("relevance") + (1 - p.relevance_weight) * F.col("quality")
-    return out.withColumn("score", score).select("query_id", "docid", "url", "tfidf", "cosine", "relevance", "quality", "score")
+    rows = postings.join(asked, "token").withColumns({"w": F.col("tf") * weight * idf, "wq": F.col("qtf") * idf})
+    per_doc = rows.groupBy("query_id", "docid").agg(
+        F.count(F.lit(1)).alias("have"), F.max("needed").alias("needed"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("wq")).alias("both"),
+        F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("wq") * F.col("wq")).alias("qq"),
+    )
+    matched = per_doc.filter("have = needed").join(index.docs.filter("total_tokens > 0"), "docid")
+    cosine = F.coalesce(F.try_divide(F.col("both"), F.sqrt("ww") * F.sqrt("qq")), F.lit(0.0))
+    matched = matched.select("query_id", "docid", "url", (F.col("w") / F.col("total_tokens")).alias("tf_sum"), cosine.alias("cosine"), *[F.col(c).cast("double").alias(c) for c in _QUALITIES])
+    matched = materialize(matched, "matches")
+    norms = {f"_{c}": F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"_{c}") for c in ("tf_sum", "cosine", *_QUALITIES)}
+    per_query = materialize(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), *norms.values()), "query-norms")
+    total = per_query.agg(F.sum("m")).first()[0] or 0
+    scored = join_weighted(matched, per_query, "query_id", "m", total)
+    scale = F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("m"))) if p.compat else F.lit(1.0)
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0))
+    known = lambda value: F.when(scale > 0, value).otherwise(0.0)
+    relevance = p.tfidf_weight * share("tf_sum") + (1 - p.tfidf_weight) * share("cosine")
+    quality = p.pagerank_weight * share("pr_quality") + p.hub_weight * share("hub_quality") + p.authority_weight * share("auth_quality")
+    out = scored.withColumns({"tfidf": F.col("tf_sum") * scale, "quality": quality, "relevance": F.when(known(F.col("cosine")) > p.cosine_gate, relevance).otherwise(0.0)})
+    out = out.withColumns({"cosine": known(F.col("cosine")), "score": p.relevance_weight * F.col("relevance") + (1 - p.relevance_weight) * F.col("quality")})
+    return out.select("query_id", "docid", "url", "tfidf", "cosine", "relevance", "quality", "score")
 
 
 def ranked(scored: DataFrame, k: int | None = None) -> DataFrame:
-    """``query_id, rank, docid, url, score``, best first, ties by docid; the best ``k`` only if given."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "docid")
-    out = scored.withColumn("rank", F.row_number().over(order))
-    out = out.filter(F.col("rank") <= k) if k is not None else out
-    return out.select("query_id", "rank", "docid", "url", "score")
+    """``query_id, rank, docid, url, score``, best first, ties by docid; the best ``k`` only if given.
+
+    With ``k`` each task keeps its own best ``k`` of a query before they are moved. Without, rows are
+    ranged by query, score and docid and numbered range by range, so no task sorts all of a query's.
+    """
+    rounded = scored.select("query_id", "docid", "url", "score", (-F.round("score", 9)).alias("_less"))
+    if k is not None:
+        order = Window.partitionBy("query_id").orderBy("_less", "docid")
+        out = rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    else:
+        out = row_number_within(rounded, "query_id", ["_less", "docid"], "rank")
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "docid", "url", "score")
+
+
+def scored(queries: DataFrame, index: SearchIndex) -> DataFrame:
+    """The scores of all matches of a batch of queries ``query_id, query``."""
+    found = gather(query_tokens(queries), index)
+    pruned = materialize(prune(found.tokens, found.frequencies, index.params), "pruned")
+    return scores(pruned, index, found.postings)
 
 
 def search(queries: DataFrame, index: SearchIndex, k: int | None = None) -> DataFrame:
-    """Answer a batch of queries ``query_id, query`` in one job."""
-    return ranked(scores(prune(query_tokens(queries), index.frequencies, index.params), index), k)
+    """Answer a batch of queries ``query_id, query``: all matches in order, or the best ``k``."""
+    return ranked(scored(queries, index), k)
 
 
 def _url() -> Column:
@@ -163,26 +212,35 @@ def alternative_tokens(queries: DataFrame) -> DataFrame:
     return joined.select("query_id", "token", (shorter / F.length("token")).cast("int").alias("qn"))
 
 
+def format_alternative(results: DataFrame) -> DataFrame:
+    """The alternate scorer's lines: a numbered link with its score."""
+    line = F.format_string('%d. <a href="%s" target="_blank">%s</a> (Score: %.2f)', F.col("rank"), _escaped(_url()), _escaped(_url()), F.col("score"))
+    return results.select("query_id", "rank", line.alias("line"))
+
+
 def alternative_scores(queries: DataFrame, index: SearchIndex) -> DataFrame:
     """The alternate scorer: ``query_id, docid, url, cosine, score``.
 
     Log-weighted counts, important text by 1.2, idf from the collection; words without postings do not
     matter; the score is the cosine plus each quality over its greatest in the result.
     """
-    n = index.docs.count()
-    idf = F.log2((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df")))
-    weighted = alternative_tokens(queries).join(index.frequencies, "token")
+    found = gather(alternative_tokens(queries), index)
+    idf = F.log2((F.lit(1.0) + index.n_docs) / (F.lit(1.0) + F.col("df")))
+    weighted = found.tokens.join(found.frequencies, "token")
     weighted = weighted.withColumn("wq", F.when(F.col("qn") > 0, 1 + F.ln("qn")).otherwise(0.0) * idf)
-    norm = F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(Window.partitionBy("query_id")))
-    weighted = weighted.withColumns({"length": norm, "qtf": F.lit(1)})
-    found = hits(weighted, index.postings).join(weighted.select("query_id", "token", "wq", "length"), ["query_id", "token"]).join(index.docs, "docid")
+    lengths = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("length"), F.count(F.lit(1)).alias("needed"))
+    asked = _small(materialize(weighted.join(lengths, "query_id").select("query_id", "token", "wq", "length", "needed"), "asked"))
     wd = (1 + F.ln("tf")) * F.when(F.col("important") > 0, 1.2).otherwise(1.0)
-    per_doc = found.withColumn("wd", wd).groupBy("query_id", "docid").agg(
-        F.try_divide(F.sum(F.col("wd") * F.col("wq")), F.sqrt(F.sum(F.col("wd") * F.col("wd"))) * F.first("length")).alias("cosine"),
-        *[F.first(c).cast("double").alias(c) for c in ("pr_quality", "hub_quality", "auth_quality")],
-        F.first("url").alias("url"),
-    )
-    over = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(c).over(Window.partitionBy("query_id"))), F.lit(0.0))
+    per_doc = found.postings.join(asked, "token").withColumn("wd", wd).groupBy("query_id", "docid").agg(
+        F.try_divide(F.sum(F.col("wd") * F.col("wq")), F.sqrt(F.sum(F.col("wd") * F.col("wd"))) * F.max("length")).alias("cosine"),
+        F.count(F.lit(1)).alias("have"), F.max("needed").alias("needed"),
+    )
+    docs = index.docs.select("docid", "url", *[F.col(c).cast("double").alias(c) for c in _QUALITIES])
+    matched = materialize(per_doc.filter("have = needed").join(docs, "docid"), "matches")
+    greatest = matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), *[F.max(c).alias(f"_{c}") for c in _QUALITIES])
+    greatest = materialize(greatest, "query-greatest")
+    joined = join_weighted(matched, greatest, "query_id", "m", greatest.agg(F.sum("m")).first()[0] or 0)
+    over = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0))
     cosine = F.coalesce("cosine", F.lit(0.0))
     score = cosine + over("pr_quality") + over("hub_quality") + over("auth_quality")
-    return per_doc.select("query_id", "docid", "url", cosine.alias("cosine"), score.alias("score"))
+    return joined.select("query_id", "docid", "url", cosine.alias("cosine"), score.alias("score"))

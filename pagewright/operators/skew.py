@@ -21,3 +21,8 @@ def join_weighted(rows: DataFrame, dim: DataFrame, key: str, weight: str, total:
     some = rows.join(F.broadcast(heavy), key)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
     return some.unionByName(rest)
+
+
+def keyed_counts(rows: DataFrame, key: str, weight: str) -> DataFrame:
+    """Rows of each non-null key, counted before the shuffle."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(weight))

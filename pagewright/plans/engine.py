@@ -11,9 +11,9 @@ from pagewright.functions import hashing, text
 from pagewright.operators import dedup, graph, search, summary
 from pagewright.operators import index as ix
 from pagewright.params import COMPAT
-from pagewright.plans.materialize import materialize
+from pagewright.plans.materialize import materialize, new_path
 from pagewright.sources import pages as source
-from pagewright.sources.tables import table
+from pagewright.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +25,7 @@ def query(f: Query) -> Query:
 
 
 def _clean(spark: SparkSession, directory: str) -> DataFrame:
-    return source.clean(source.delivered(table(spark, directory, "pages")))
+    return source.clean(source.delivered(spread(spark, directory, "pages")))
 
 
 def _counts(spark: SparkSession, directory: str) -> DataFrame:
@@ -47,13 +47,24 @@ def _open(spark: SparkSession, directory: str) -> search.SearchIndex:
     return search.open_index(table(spark, directory, "postings"), table(spark, directory, "docinfo"))
 
 
-def _pruned(spark: SparkSession, directory: str, index: search.SearchIndex) -> DataFrame:
-    return search.prune(search.query_tokens(table(spark, directory, "queries")), index.frequencies, COMPAT)
+def _gathered(spark: SparkSession, directory: str, index: search.SearchIndex) -> tuple[DataFrame, DataFrame]:
+    """The batch's tokens that count, and their postings."""
+    found = search.gather(search.query_tokens(table(spark, directory, "queries")), index)
+    return materialize(search.prune(found.tokens, found.frequencies, COMPAT), "pruned"), found.postings
 
 
 def _scored(spark: SparkSession, directory: str) -> DataFrame:
     index = _open(spark, directory)
-    return search.scores(_pruned(spark, directory, index), index)
+    pruned, postings = _gathered(spark, directory, index)
+    return search.scores(pruned, index, postings)
+
+
+def _saved(spark: SparkSession, directory: str) -> str:
+    """An index of the stored tables, saved as the engine does it."""
+    folder = new_path(spark, "index")
+    docs = table(spark, directory, "docinfo").select("docid", "total_tokens", "pr_quality", "hub_quality", "auth_quality", "url")
+    ix.save(ix.Index(docs, table(spark, directory, "postings"), table(spark, directory, "doclinks")), folder)
+    return folder
 
 
 def _edges(spark: SparkSession, directory: str) -> DataFrame:
@@ -110,16 +121,24 @@ def url_defrag(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def tokenize(spark: SparkSession, directory: str) -> DataFrame:
-    rows = table(spark, directory, "documents").filter("text IS NOT NULL").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    rows = spread(spark, directory, "documents").filter("text IS NOT NULL").select("doc_id", text.tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", "\n")).alias("tokens_md5"))
 
 
 @query
 def ngrams(spark: SparkSession, directory: str) -> DataFrame:
-    rows = text.with_ngrams(table(spark, directory, "documents").filter("text IS NOT NULL"), "text", 2)
+    rows = text.with_ngrams(spread(spark, directory, "documents").filter("text IS NOT NULL"), "text", 2)
     return rows.select("doc_id", F.size("ngrams").alias("n_bigrams"), F.md5(F.array_join("ngrams", "|")).alias("bigrams_md5"))
 
 
+@query
+def ngrams_flat(spark: SparkSession, directory: str) -> DataFrame:
+    """A text's tokens followed by its runs of two and of three tokens, as one list."""
+    rows = spread(spark, directory, "documents").filter("text IS NOT NULL")
+    flat = text.with_flat_ngrams(rows, "text", 3, "flat")
+    return flat.select("doc_id", F.size("flat").alias("n"), F.md5(F.array_join("flat", "|")).alias("flat_md5"))
+
+
 @query
 def stem_vocab(spark: SparkSession, directory: str) -> DataFrame:
     return text.stemmed(_counts(spark, directory).select("word").distinct(), "word", "token")
@@ -211,8 +230,8 @@ def postings_bucketed(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def lookup_postings(spark: SparkSession, directory: str) -> DataFrame:
-    words = search.query_tokens(table(spark, directory, "queries"))
-    found = ix.lookup(ix.valid_postings(table(spark, directory, "postings")), words)
+    words = materialize(search.query_tokens(table(spark, directory, "queries")), "query-tokens")
+    found = ix.lookup(table(spark, directory, "postings"), words)
     return found.select("token", "docid", "tf", F.col("important").cast("int").alias("important"))
 
 
@@ -268,23 +287,37 @@ def docinfo_quality(spark: SparkSession, directory: str) -> DataFrame:
     return new.select("docid", "total_tokens", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("pr_quality", "hub_quality", "auth_quality")], "url")
 
 
+@query
+def saved_lookup(spark: SparkSession, directory: str) -> DataFrame:
+    """The queries' postings out of a saved index: its buckets are pruned as partitions."""
+    words = materialize(search.query_tokens(table(spark, directory, "queries")), "query-tokens")
+    found = ix.lookup(ix.load(spark, _saved(spark, directory)).postings, words)
+    return found.select("token", "docid", "tf", F.col("important").cast("int").alias("important"))
+
+
+@query
+def saved_search(spark: SparkSession, directory: str) -> DataFrame:
+    """The best five pages of each query out of a saved index."""
+    index = search.open_saved(spark, _saved(spark, directory))
+    return search.search(table(spark, directory, "queries"), index, 5).withColumn("score", F.round("score", 6))
+
+
 @query
 def query_prune(spark: SparkSession, directory: str) -> DataFrame:
-    return _pruned(spark, directory, _open(spark, directory))
+    return _gathered(spark, directory, _open(spark, directory))[0]
 
 
 @query
 def match_conjunctive(spark: SparkSession, directory: str) -> DataFrame:
-    index = _open(spark, directory)
-    return search.match(_pruned(spark, directory, index), index.postings)
+    return search.match(*_gathered(spark, directory, _open(spark, directory)))
 
 
 @query
 def match_intersect(spark: SparkSession, directory: str) -> DataFrame:
     """Queries of two tokens or more: documents that have both the least and the greatest of them."""
-    index = _open(spark, directory)
-    two = _pruned(spark, directory, index).groupBy("query_id").agg(F.min("token").alias("s"), F.max("token").alias("t")).filter("s < t")
-    docs = lambda c: two.select("query_id", F.col(c).alias("token")).join(index.postings, "token").select("query_id", "docid")
+    pruned, postings = _gathered(spark, directory, _open(spark, directory))
+    two = pruned.groupBy("query_id").agg(F.min("token").alias("s"), F.max("token").alias("t")).filter("s < t")
+    docs = lambda c: two.select("query_id", F.col(c).alias("token")).join(postings, "token").select("query_id", "docid")
     return docs("s").intersect(docs("t"))
 
 
@@ -332,6 +365,25 @@ def alt_search(spark: SparkSession, directory: str) -> DataFrame:
     return search.ranked(found, 5).withColumn("score", F.round("score", 6))
 
 
+@query
+def format_alternative(spark: SparkSession, directory: str) -> DataFrame:
+    found = search.alternative_scores(table(spark, directory, "queries"), _open(spark, directory))
+    return search.format_alternative(search.ranked(found, 5))
+
+
+@query
+def summarize(spark: SparkSession, directory: str) -> DataFrame:
+    """Each page's summary by the offline default model."""
+    return summary.summarize(_clean(spark, directory))
+
+
+@query
+def summary_latest(spark: SparkSession, directory: str) -> DataFrame:
+    """Of a store to which summaries of all arrivals of a page were appended, the last one of each page."""
+    rows = table(spark, directory, "pages").filter("docid IS NOT NULL AND ingested_at IS NOT NULL")
+    return summary.latest(rows.select("docid", F.coalesce("url", F.lit("")).alias("summary"), F.struct("ingested_at", F.coalesce("url", F.lit(""))).alias("seq")))
+
+
 @query
 def summary_input(spark: SparkSession, directory: str) -> DataFrame:
     return summary.inputs(_clean(spark, directory))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.sources.compaction import consolidate_store
+from pagewright.sources.compaction import consolidate_store, rewritten_store
+from pagewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +22,12 @@ def p5_consolidated(spark: SparkSession, directory: str) -> DataFrame:
     return consolidate_store(spark, f"{directory}/page_files.parquet")
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_consolidated": p5_consolidated}
+def p5_compacted(spark: SparkSession, directory: str) -> DataFrame:
+    """The crawl store as real small files, one a row, compacted: files in and out, lines and records."""
+    return rewritten_store(table(spark, directory, "page_files"))
+
+
+QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_consolidated": p5_consolidated, "p5_compacted": p5_compacted}
 
 _RECORDS = r"""
 WITH lines AS (
@@ -34,6 +40,10 @@ WITH lines AS (
 """
 
 ORACLE: dict[str, str] = {
+    "p5_compacted": _RECORDS
+    + """SELECT (SELECT count(*) FROM page_files) AS files_in,
+      (SELECT CAST(greatest(1, ceil(sum(octet_length(encode(coalesce(content, ''))) + 1) / 134217728)) AS BIGINT) FROM page_files) AS files_out,
+      (SELECT count(*) FROM lines WHERE regexp_matches(line, '[^ \\t\\n\\f\\r\\v]')) AS lines, (SELECT count(DISTINCT rec_id) FROM ok) AS records""",
     "p5_found": _RECORDS + "SELECT DISTINCT rec_id FROM ok WHERE rec_id IS NOT NULL",
     "p5_consolidated": _RECORDS
     + """SELECT rec_id, v.url AS url, v.content AS content FROM (

@@ -3,26 +3,44 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_ROOTS: dict[str, str] = {}
+
+
+def _remove(jvm, configuration, root: str) -> None:
+    """Delete a session's folder when its driver ends; a JVM that is gone leaves local folders to Python."""
+    with contextlib.suppress(Exception):
+        target = jvm.org.apache.hadoop.fs.Path(root)
+        target.getFileSystem(configuration).delete(target, True)
+    if root.startswith("file:"):
+        shutil.rmtree(root.removeprefix("file://"), ignore_errors=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="pagewright-")
-        atexit.register(shutil.rmtree, _LOCAL[app], True)
-        spark.sparkContext.setCheckpointDir(f"file://{_LOCAL[app]}")
-    return f"file://{_LOCAL[app]}"
+    """This session's own folder below ``spark.checkpoint.dir``, deleted when the driver ends.
+
+    Where that is unset, a local master (as in tests) gets a temporary folder; any other one raises, as
+    a folder of one machine would not outlive an executor.
+    """
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _ROOTS:
+        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if configured:
+            root = f"{configured.rstrip('/')}/pagewright-{app}"
+        elif context.master.startswith("local"):
+            root = f"file://{tempfile.mkdtemp(prefix='pagewright-')}"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        _ROOTS[app] = root
+        atexit.register(_remove, context._jvm, context._jsc.hadoopConfiguration(), root)
+    return _ROOTS[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -39,7 +57,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in frames:
+        delete_path(df.sparkSession, df._written_at)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -17,7 +17,7 @@ def _sub(value: str, rule: tuple[str, str]) -> str:
 
 
 def _strip(value: str) -> str:
-    return _sub(value, rules.STRIP)
+    return f"trim({value}, {_q(rules.SPACES)})"
 
 
 def _collapse(value: str) -> str:
@@ -60,21 +60,26 @@ def _element(value: str, tag: str) -> str:
     return f"regexp_replace({value}, {_q(rf'(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>')}, '', 'g')"
 
 
+def _without_dots(path: str) -> str:
+    whole = f"CASE WHEN regexp_matches({path}, {_q(rules.DOT_END)}) THEN {path} || '/' ELSE {path} END"
+    step = "lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*\\z', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END"
+    return f"coalesce(nullif(list_reduce(string_split({whole}, '/')[2:], {step}, ''), ''), '/')"
+
+
 def _resolved(base: str, href: str) -> str:
     origin = f"regexp_extract({base}, {_q(rules.ORIGIN)}, 1)"
     page = f"regexp_replace({base}, '[?#].*\\z', '')"
-    folder = f"CASE WHEN {page} = {origin} THEN {origin} || '/' ELSE regexp_replace({page}, '[^/]*\\z', '') END"
-    joined = f"""CASE WHEN regexp_matches({href}, {_q(rules.SCHEME)}) THEN {href}
+    folder = f"CASE WHEN {page} = {origin} THEN '/' ELSE regexp_replace(substr({page}, length({origin}) + 1), '[^/]*\\z', '') END"
+    path = f"regexp_replace({href}, '[?#].*\\z', '')"
+    joined = f"(CASE WHEN starts_with({path}, '/') THEN {path} ELSE {folder} || {path} END)"
+    plain = f"CASE WHEN regexp_matches({joined}, {_q(rules.DOTS)}) THEN {_without_dots(joined)} ELSE {joined} END"
+    return f"""CASE WHEN regexp_matches({href}, {_q(rules.SCHEME)}) THEN {href}
       WHEN starts_with({href}, '//') THEN regexp_extract({base}, {_q(rules.SCHEME)}) || {href}
-      WHEN starts_with({href}, '/') THEN {origin} || {href} WHEN starts_with({href}, '?') THEN {page} || {href}
-      WHEN starts_with({href}, '#') THEN split_part({base}, '#', 1) || {href} ELSE {folder} || {href} END"""
-    path = f"regexp_replace({joined}, '/\\./', '/', 'g')"
-    for _ in range(4):
-        path = f"regexp_replace({path}, '([^/:])/[^/?#.][^/?#]*/\\.\\./', '\\1/', 'g')"
-    return path
+      WHEN starts_with({href}, '?') THEN {page} || {href} WHEN starts_with({href}, '#') THEN split_part({base}, '#', 1) || {href}
+      ELSE {origin} || {plain} || substr({href}, length({path}) + 1) END"""
 
 
-_STOPWORDS = "(" + ", ".join(_q(w) for w in rules.stopwords()) + ")"
+_STOPWORDS = "(" + ", ".join(_q(w) for w in rules.STOPWORDS) + ")"
 _ALNUM = f"regexp_matches(token, {_q(rules.ALPHANUMERIC)})"
 
 PAGES = """d AS MATERIALIZED (SELECT docid, coalesce(url, '') AS url, coalesce(content, '') AS content FROM (
@@ -136,8 +141,17 @@ def _important() -> str:
 
 
 _GAPS = f"regexp_replace({_marked('text')}, {_q(chr(92) + 'A' + rules.GAP)}, '', 'g')"
-_BIGRAMS = f"""SELECT doc_id, CASE WHEN len(w) >= 2 THEN [{_lower(f"w[i] || replace(g[i], {_q(rules.PART)}, '') || w[i + 1]")} for i in range(1, len(w))] ELSE [] END AS n
-FROM (SELECT doc_id, regexp_extract_all(m, {_q(rules.TOKEN)}) AS w, regexp_extract_all(m, {_q(rules.GAP)}) AS g FROM (SELECT doc_id, {_GAPS} AS m FROM documents WHERE text IS NOT NULL))"""
+
+
+def _runs(n: int) -> str:
+    """All runs of ``n`` tokens of ``w``, with the gaps ``g`` between them."""
+    gaps = [f"replace(g[i + {k}], {_q(rules.PART)}, '') || w[i + {k + 1}]" for k in range(n - 1)]
+    return f"CASE WHEN len(w) >= {n} THEN [{_lower(' || '.join(['w[i]', *gaps]))} for i in range(1, len(w) - {n - 2})] ELSE [] END"
+
+
+_PARTED = f"(SELECT doc_id, regexp_extract_all(m, {_q(rules.TOKEN)}) AS w, regexp_extract_all(m, {_q(rules.GAP)}) AS g FROM (SELECT doc_id, {_GAPS} AS m FROM documents WHERE text IS NOT NULL))"
+_BIGRAMS = f"SELECT doc_id, {_runs(2)} AS n FROM {_PARTED}"
+_FLAT = f"SELECT doc_id, {_runs(1)} || {_runs(2)} || {_runs(3)} AS n FROM {_PARTED}"
 
 _QUALITIES = ("pr_quality", "hub_quality", "auth_quality")
 DOCS = "docs AS MATERIALIZED (SELECT docid, max(total_tokens) AS total_tokens, " + ", ".join(f"coalesce(max(CASE WHEN {c} >= 0 THEN {c} END), 1.0::FLOAT) AS {c}" for c in _QUALITIES) + ", max(url) AS url FROM docinfo WHERE docid IS NOT NULL GROUP BY docid)"
@@ -235,6 +249,7 @@ ORACLE: dict[str, str] = {
     "url_defrag": f"WITH {PAGES} SELECT docid, split_part(url, '#', 1) AS base, CASE WHEN contains(url, '#') THEN substr(url, instr(url, '#') + 1) ELSE '' END AS fragment FROM d",
     "tokenize": f"SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, md5(array_to_string(t, chr(10))) AS tokens_md5 FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents WHERE text IS NOT NULL)",
     "ngrams": f"SELECT doc_id, CAST(len(n) AS INT) AS n_bigrams, md5(coalesce(array_to_string(n, '|'), '')) AS bigrams_md5 FROM ({_BIGRAMS})",
+    "ngrams_flat": f"SELECT doc_id, CAST(len(n) AS INT) AS n, md5(coalesce(array_to_string(n, '|'), '')) AS flat_md5 FROM ({_FLAT})",
     "stem_vocab": f"WITH {CLEAN}, {_counts('c')}, {_VOCAB} SELECT word, token FROM v",
     "stopword_flag": f"WITH {CLEAN}, {_counts('c')}, {_VOCAB} SELECT DISTINCT token, token IN {_STOPWORDS} AS stopword FROM v",
     "word_count": f"WITH {CLEAN}, {_counts('c')}, {_VOCAB}, {_BAGS} SELECT docid, token, tf FROM b",
@@ -253,7 +268,9 @@ ORACLE: dict[str, str] = {
     "doclinks": "SELECT DISTINCT src, dst_url FROM doclinks WHERE src IS NOT NULL AND dst_url IS NOT NULL",
     "postings_bucketed": f"WITH {POSTINGS} SELECT {_BUCKET} AS bid, count(*) AS n, count(DISTINCT token) AS n_tokens, min(token) AS first, max(token) AS last FROM p GROUP BY 1",
     "lookup_postings": f"WITH {POSTINGS}, {QTOKENS} SELECT token, docid, tf, CAST(important AS INT) AS important FROM p WHERE token IN (SELECT token FROM qt) AND bid = {_BUCKET}",
-    "index_stats": f"WITH {DOCS}, {POSTINGS} SELECT max(docid) AS last_docid, count(*) AS n_docs, (SELECT count(DISTINCT token) FROM p) AS n_tokens FROM docs",
+    "index_stats": f"WITH {DOCS}, {POSTINGS} SELECT max(docid) AS last_docid, count(*) AS n_docs, CAST(coalesce(sum(CAST(coalesce(total_tokens, 0) <= 0 AS INT)), 0) AS BIGINT) AS n_empty, CAST(count(*) FILTER (total_tokens > 0) AS BIGINT) AS n_nonempty, (SELECT count(DISTINCT token) FROM p) AS n_tokens FROM docs",
+    "saved_lookup": f"WITH {POSTINGS}, {QTOKENS} SELECT token, docid, tf, CAST(important AS INT) AS important FROM p WHERE token IN (SELECT token FROM qt)",
+    "saved_search": f"WITH {SCORED} SELECT query_id, rank, docid, url, round(score, 6) AS score FROM ({RANKED}) WHERE rank <= 5",
     "index_append": f"WITH {CLEAN}, {_counts('c')}, {_VOCAB}, {_BAGS} SELECT token, count(*) AS df FROM b GROUP BY token",
     "link_graph": f"WITH {DOCS}, {EDGES} SELECT src, dst FROM edges",
     "out_degree": f"WITH {DOCS}, {EDGES}, {DEGREE} SELECT src, degree FROM deg",
@@ -271,6 +288,9 @@ ORACLE: dict[str, str] = {
       {_escaped("CASE WHEN length(text) > 0 THEN text ELSE 'Summary not found' END")}) AS line FROM ({RANKED}) LEFT JOIN ({_SUMMARY}) USING (docid) WHERE rank <= 5""",
     "alt_score": f"WITH {ALT} SELECT query_id, docid, round(cosine, 6) AS cosine, round(score, 6) AS score FROM s",
     "alt_search": f"WITH {ALT} SELECT query_id, rank, docid, url, round(score, 6) AS score FROM ({RANKED}) WHERE rank <= 5",
+    "format_alternative": f"""WITH {ALT} SELECT query_id, rank, printf('%d. <a href="%s" target="_blank">%s</a> (Score: %.2f)', rank, {_escaped(_URL)}, {_escaped(_URL)}, score) AS line FROM ({RANKED}) WHERE rank <= 5""",
+    "summarize": f"WITH {CLEAN} SELECT docid, array_to_string(regexp_split_to_array(text, ' +')[:60], ' ') AS summary FROM (SELECT docid, trim(text, ' ') AS text FROM ({_SUMMARY})) WHERE length(text) > 0",
+    "summary_latest": "SELECT docid, arg_max(coalesce(url, ''), {'a': ingested_at, 'b': coalesce(url, '')}) AS summary FROM pages WHERE docid IS NOT NULL AND ingested_at IS NOT NULL GROUP BY docid",
     "summary_input": f"WITH {CLEAN} {_SUMMARY}",
     "summary_lookup": f"WITH {CLEAN} SELECT docid, CASE WHEN length(text) > 0 THEN text ELSE 'Summary not found' END AS summary FROM (SELECT DISTINCT docid FROM pages) LEFT JOIN ({_SUMMARY}) USING (docid)",
 }

@@ -77,11 +77,11 @@ def split_settings(spark: SparkSession, plan: SplitPlan) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def listing(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Number of files and bytes below a path, from the file system's own summary."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    summary = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target)
-    return summary.getFileCount(), summary.getLength()
+def listing(spark: SparkSession, path: str, glob: str = "*") -> tuple[int, int]:
+    """Number of files and bytes below a path, those with hidden names left out; nothing of them is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    found = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
+    return found["n"], found["bytes"] or 0
 
 
 def _fingerprint(columns: list[str]) -> Column:
@@ -177,11 +177,46 @@ def consolidate_store(
 
     Returns the consolidated records ``rec_id, url, content``, each complete record exactly once,
     as read back from the verified output at ``target`` (a new folder in the shared folder if
-    none is given). An empty store gives an empty output.
+    none is given). An empty store gives an empty output. Splits are planned from the number and bytes
+    of the files that the rows stand for; all complete records are packed by coalescing splits, written
+    and verified. Then only ids are grouped: records that stand once are taken over as they lie, those
+    that stand several times, or differ, are moved and reduced to one.
     """
-    n_files, total = listing(spark, store)
-    plan = plan_splits(n_files, total, target_bytes, spark.sparkContext.defaultParallelism, growth=2.0)
+    size = F.sum(F.coalesce(F.octet_length(content), F.lit(0)))
+    listed = spark.read.parquet(store).agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
+    slots = spark.sparkContext.defaultParallelism
+    plan = plan_splits(listed["n"], listed["bytes"] or 0, target_bytes, slots)
+    packed_at = new_path(spark, "packed")
     with split_settings(spark, plan):
-        files = spark.read.parquet(store).select(content)
-        rows = unique_records(complete_records(files, content))
-        return publish(rows.coalesce(plan.partitions), target or new_path(spark, "consolidated"))
+        records = complete_records(spark.read.parquet(store).select(content), content)
+        packed = publish(records.coalesce(max(plan.partitions, slots)), packed_at)
+        several = packed.groupBy("rec_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("rec_id")
+        once = packed.join(several, "rec_id", "left_anti")
+        rows = once.unionByName(unique_records(packed.join(several, "rec_id", "left_semi"))).select("rec_id", "url", "content")
+        out = publish(rows.coalesce(plan.partitions), target or new_path(spark, "consolidated"))
+    delete_path(spark, packed_at)
+    return out
+
+
+def write_small_files(files: DataFrame, folder: str, content: str = "content") -> None:
+    """Write each row's content as a text file of its own, a null one as an empty file."""
+    rows = files.select(F.coalesce(F.col(content), F.lit("")).alias("value"))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+
+
+def rewritten_store(files: DataFrame, content: str = "content", target_bytes: int = 128 << 20) -> DataFrame:
+    """Lay a store out as real small files, compact their folder, and say what came of it.
+
+    One row: ``files_in, files_out, lines, records``; ``lines`` counts the lines that are not blank.
+    """
+    spark = files.sparkSession
+    small, large = new_path(spark, "small-files"), new_path(spark, "compacted")
+    write_small_files(files, small, content)
+    before = listing(spark, small, "*.txt")[0]
+    packed = compact_files(spark, small, large, target_bytes=target_bytes)
+    after = listing(spark, large, "*.parquet")[0]
+    delete_path(spark, small)
+    lines = packed.filter(r"value RLIKE '[^\\s]'").agg(F.count(F.lit(1)).alias("lines"))
+    records = complete_records(packed.withColumnRenamed("value", "content")).agg(F.countDistinct("rec_id").alias("records"))
+    figures = [F.lit(before).cast("long").alias("files_in"), F.lit(after).cast("long").alias("files_out")]
+    return lines.join(F.broadcast(records)).select(*figures, "lines", "records")

@@ -28,11 +28,15 @@ def scan_json(spark: SparkSession, folder: str) -> DataFrame:
 def delivered(pages: DataFrame) -> DataFrame:
     """One row a docid of a page table in which pages were delivered again: the first arrival.
 
-    Ties and null times go by url and content; rows with a null docid are left out.
+    Ties and null times go by url and content; rows with a null docid are left out. Only the ids are
+    grouped over the whole table; contents are moved and sorted for pages that came more than once.
     """
+    rows = pages.filter("docid IS NOT NULL")
+    several = rows.groupBy("docid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("docid")
     order = [F.col("ingested_at").asc_nulls_last()] if "ingested_at" in pages.columns else []
     first = Window.partitionBy("docid").orderBy(*order, "url", "content")
-    once = pages.filter("docid IS NOT NULL").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    again = rows.join(several, "docid", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    once = rows.join(several, "docid", "left_anti").unionByName(again)
     return once.select("docid", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("content", F.lit("")).alias("content"))
 
 

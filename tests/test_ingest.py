@@ -69,7 +69,16 @@ def test_parser(spark):
     assert got[0].text == "T & Ubold lend" and got[0].important[0].rank == 1 and got[1].text == ""
 
 
-def test_cli(spark, tmp_path, capsys):
+def _lines(lines):
+    def read(_):
+        for line in lines:
+            return line
+        raise EOFError
+
+    return read
+
+
+def test_cli(spark, tmp_path, capsys, monkeypatch):
     folder = tmp_path / "pages"
     folder.mkdir()
     for k, (_, url, content) in enumerate(rows()[:6]):
@@ -78,4 +87,12 @@ def test_cli(spark, tmp_path, capsys):
     cli.main(["rank", str(tmp_path / "ix")])
     cli.main(["search", str(tmp_path / "ix"), "garden1"])
     assert "Rank 1: http://h.test/" in capsys.readouterr().out
+    asked = iter(["", "garden1", "nosuchwordanywhere"])
+    monkeypatch.setattr("builtins.input", _lines(asked))
+    cli.main(["search", str(tmp_path / "ix")])
+    out = capsys.readouterr().out
+    assert out.count("Number of results:") == 2 and "Number of results: 0" in out and "Query time:" in out
+    cli.main(["stats", str(tmp_path / "ix")])
+    out = capsys.readouterr().out
+    assert "Number of documents: 6 (0 empty, 6 not)" in out and "KB" in out
     assert spark.read.parquet(str(tmp_path / "ix" / "docinfo.ranked")).count() == 6

@@ -1,11 +1,14 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.operators import dedup, graph
 from pagewright.operators.groups import components, paired
-from pagewright.operators.ranking import counts_above, global_row_number, row_number_by_text
+from pagewright.operators.ranking import counts_above, global_row_number, row_number_by_text, row_number_within
 from pagewright.operators.skew import join_weighted
+from pagewright.params import COMPAT
 from pagewright.plans.materialize import materialize
 from pagewright.sources import compaction, pages
 
@@ -46,6 +49,59 @@ def test_paired_in_blocks(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_hot_group_is_spread(spark):
+    """Half of all rows in one group: every pair once, and no task with more than its part of them."""
+    rows = [("hot", k) for k in range(1200)] + [(f"g{k // 2}", k) for k in range(1200)]
+    pairs = paired(materialize(spark.createDataFrame(rows, "group string, item long"), "rows"), "group", "item", block=64)
+    assert pairs.count() == 1200 * 1199 // 2 + 600 and pairs.distinct().count() == pairs.count()
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_row_number_within_a_hot_group(spark):
+    rng = random.Random(4)
+    rows = [(0 if k % 2 else k, rng.randrange(50), k) for k in range(2000)]
+    got = {(r.g, r.k): r.n for r in row_number_within(spark.createDataFrame(rows, "g long, s long, k long"), "g", ["s", "k"], "n").collect()}
+    want = {}
+    for g, _, k in sorted(rows):
+        want[g, k] = 1 + sum(1 for h, _ in want if h == g)
+    assert got == want
+
+
+def test_fingerprints_in_ranges_like_one_pass(spark):
+    rng = random.Random(5)
+    params = replace(COMPAT, window=20)
+    rows = [(k * 3, rng.choice([rng.getrandbits(32), 7, 1 << 31, 255]) ^ (1 << rng.randrange(32))) for k in range(700)]
+    kept, want = [], []
+    for docid, fp in rows:
+        if all((fp ^ f).bit_count() > 3 for f in kept[-20:]):
+            kept.append(fp)
+            want.append(docid)
+    table = spark.createDataFrame(rows, "docid long, fp long").repartition(5)
+    for ranges in (1, 4, 9):
+        assert sorted(r.docid for r in dedup.by_fingerprint(table, params, ranges).collect()) == want
+    assert dedup.by_fingerprint(table.limit(0), params).count() == 0
+
+
+def test_hot_links(spark, monkeypatch):
+    """A url with half of all links, and hot keys in the steps, give what plain joins give."""
+    monkeypatch.setattr(graph, "HOT", 2)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, f"u{k}") for k in range(60)], "docid long, url string")
+    links = [(rng.randrange(60), "u1") for _ in range(400)] + [(rng.randrange(60), f"u{rng.randrange(70)}") for _ in range(400)]
+    edges = materialize(graph.link_graph(spark.createDataFrame(links, "src long, dst_url string"), docs), "edges")
+    assert {tuple(r) for r in edges.collect()} == {(s, int(u[1:])) for s, u in links if int(u[1:]) < 60}
+    params = replace(COMPAT, iterations=6)
+    got = [(r.docid, r.hub, r.auth) for hot in (2, 4096) for r in _with(monkeypatch, hot, graph.hits, edges, docs, params)]
+    half = len(got) // 2
+    assert sorted(got[:half]) == [(d, pytest.approx(h), pytest.approx(a)) for d, h, a in sorted(got[half:])]
+
+
+def _with(monkeypatch, hot, f, edges, docs, params):
+    monkeypatch.setattr(graph, "HOT", hot)
+    return f(edges, docs.select("docid"), params).collect()
+
+
 def test_components_like_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(500, 540)]
@@ -100,6 +156,13 @@ def test_compact_files_keeps_every_line(spark, tmp_path):
     assert out.count() == 360 and len(list((tmp_path / "out").glob("*.parquet"))) == 1
 
 
+def test_rewritten_store(spark):
+    files = spark.createDataFrame([(c, 1) for c in STORE * 5], "content string, n_bytes int")
+    got = compaction.rewritten_store(files.repartition(3)).collect()
+    assert [tuple(r) for r in got] == [(30, 1, 40, 2)]
+    assert compaction.rewritten_store(files.limit(0)).first().records == 0
+
+
 def test_plan_splits():
     plan = compaction.plan_splits(1_000_000, 1_000_000 * 2048, 128 << 20, 64)
     assert plan.open_cost_bytes == 4096 and plan.partitions == 16 and plan.max_partition_bytes <= 128 << 20

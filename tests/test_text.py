@@ -41,7 +41,7 @@ def test_stems(spark):
 
 
 def test_stopwords_are_the_known_set():
-    assert len(rules.stopwords()) == 174 and "the" in rules.stopwords() and "will" not in rules.stopwords()
+    assert len(rules.STOPWORDS) == 174 and "the" in rules.STOPWORDS and "will" not in rules.STOPWORDS
 
 
 def test_html_text_glues_cells_and_hides_scripts(spark):
