@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def distinctive_terms(postings: DataFrame, record: str = "docid", term: str = "t
 
     Log-odds ratio of the record versus all other records, with a Dirichlet prior proportional to
     the collection's counts, divided by its standard error. Columns: ``record, term, tf, n`` (the
-    record's total), ``df`` (records with the term), ``records`` (records in all), ``z``. ``prior``
+    record's total), ``df`` (records with the term), ``records`` (records in all), ``all_tf`` (the term's
+    count in all records), ``z``. ``prior``
     is the prior's total weight, by default the mean record length. A collection of one record or
     one term, where no odds exist, has null ``z``. An empty table gives no rows.
     """
@@ -64,11 +67,41 @@ def distinctive_terms(postings: DataFrame, record: str = "docid", term: str = "t
     there = F.try_divide(rest + a, F.lit(float(everything)) - n + a0 - rest - a)
     error = F.sqrt(F.lit(1.0) / (y + a) + F.lit(1.0) / (rest + a))
     odds = F.when((here > 0) & (there > 0), (F.ln(here) - F.ln(there)) / error)
-    return joined.select("record", "term", "tf", "n", "df", F.lit(records).cast("long").alias("records"), odds.alias("z"))
+    return joined.select("record", "term", "tf", "n", "df", F.lit(records).cast("long").alias("records"), "all_tf", odds.alias("z"))
+
+
+def least_z(share: float, heaviest: int, largest: int, everything: int, prior: float) -> float:
+    """A bound that no term falls below that makes up ``share`` of its record and stands in others too.
+
+    ``heaviest`` is the greatest count of such a term in all records, ``largest`` the greatest total of a
+    record. A term's smoothed share of its record is least where one occurrence just makes up the share;
+    that of the rest is at most the heaviest term's. Both counts are 1 at least, which bounds the error.
+    """
+    here = 1 / (1 / share + prior)
+    weight = heaviest * (1 + prior / everything)
+    there = weight / (everything - largest + prior)
+    if there >= 1:
+        return -math.inf
+    gap = math.log(here / (1 - here)) - math.log(there / (1 - there))
+    return gap / math.sqrt(2) if gap >= 0 else gap / math.sqrt(2 / weight)
 
 
 def found(scored: DataFrame, share_percent: int = 3, least_df: int = 2, most_df: int = 12, df_percent: int = 5) -> DataFrame:
-    """Terms that fill a record and are rare in the collection, as ``docid, token``."""
-    fills = F.col("tf") * 100 >= F.col("n") * share_percent
+    """Terms that fill a record and are rare in the collection, as ``docid, token``.
+
+    Terms are candidates by their z-score: it must reach the bound that the criterion implies for this
+    collection (:func:`least_z`). Shares and numbers of records are then checked exactly. ``scored`` must
+    have been made with the default prior.
+    """
+    if least_df < 2:
+        raise ValueError("a term of one record has no rest to be compared with")
+    scored = materialize(scored, "scored")
     rare = F.col("df").between(least_df, most_df) & (F.col("df") * 100 <= F.col("records") * df_percent)
-    return scored.filter(fills & rare).select(F.col("record").alias("docid"), F.col("term").alias("token"))
+    stats = scored.agg(F.sum("tf").alias("everything"), F.max("n").alias("largest"), F.max("records").alias("records"), F.max(F.when(rare, F.col("all_tf"))).alias("heaviest")).first()
+    bound = -math.inf
+    if stats["heaviest"]:
+        everything = int(stats["everything"])
+        bound = least_z(share_percent / 100, int(stats["heaviest"]), int(stats["largest"]), everything, everything / stats["records"])
+    likely = scored.filter(F.col("z") >= bound - 1e-9)
+    fills = F.col("tf") * 100 >= F.col("n") * share_percent
+    return likely.filter(fills & rare).select(F.col("record").alias("docid"), F.col("term").alias("token"))

@@ -39,7 +39,7 @@ def score_standings(items: DataFrame, key: str, scores: list[str]) -> DataFrame:
     """Where each item stands by each score.
 
     Returns ``key`` and, for each score ``s``: ``s_above`` (items with a strictly greater value),
-    ``s_valid`` and ``s_pct``, the empirical percentile with averaged ties, (N - above - ties/2) / N.
+    ``s_ties`` (items with the same one), ``s_valid`` and ``s_pct``, the empirical percentile with averaged ties, (N - above - ties/2) / N.
     A null, NaN or negative value is below all others; such values tie with each other. Repeated rows
     count once; of several different rows with one key the greatest value of each score stays. Rows
     with a null key are left out. An empty table gives no rows.
@@ -55,29 +55,48 @@ def score_standings(items: DataFrame, key: str, scores: list[str]) -> DataFrame:
         bottom = out.filter(F.col(s).isNull()).withColumns({f"{s}_ties": F.lit(n - present).cast("long"), f"{s}_above": F.lit(present).cast("long")})
         both = placed.unionByName(bottom)
         pct = (F.lit(float(n)) - F.col(f"{s}_above") - F.col(f"{s}_ties") / 2) / F.lit(float(max(n, 1)))
-        out = both.withColumns({f"{s}_valid": F.col(s).isNotNull(), f"{s}_pct": pct}).drop(f"{s}_ties")
+        out = both.withColumns({f"{s}_valid": F.col(s).isNotNull(), f"{s}_pct": pct})
         if s != scores[-1]:
             out = materialize(out, "standings")
-    columns = [c for s in scores for c in (f"{s}_above", f"{s}_valid", f"{s}_pct")]
+    columns = [c for s in scores for c in (f"{s}_above", f"{s}_ties", f"{s}_valid", f"{s}_pct")]
     return out.select(F.col("_key").alias(key), F.lit(n).cast("long").alias("items"), *columns)
 
 
+def _mean(values: list[Column], weights: list[float]) -> Column:
+    return reduce(lambda a, b: a + b, [v * w for v, w in zip(values, weights, strict=True)]) / sum(weights)
+
+
+def _weights(scores: list[str], weights: list[float] | None) -> list[float]:
+    out = weights or [1.0] * len(scores)
+    if len(out) != len(scores) or min(out) < 0 or sum(out) <= 0:
+        raise ValueError("one weight for each score, none negative, with a positive sum")
+    return out
+
+
+def fused_scores(standings: DataFrame, scores: list[str], weights: list[float] | None = None) -> DataFrame:
+    """Add ``score``, the weighted mean of the standings' normal quantiles."""
+    return standings.withColumn("score", F.round(_mean([inverse_normal(F.col(f"{s}_pct")) for s in scores], _weights(scores, weights)), 9))
+
+
 def fused_ranking(items: DataFrame, key: str, scores: list[str], weights: list[float] | None = None) -> DataFrame:
     """Rank items by the weighted mean of their scores' normal quantiles: ``key, score, rank``.
 
     Only order counts within a score, so no score prevails through its range. Ties in the fused
     score go by ``key``. See :func:`score_standings` for missing values and repeated rows.
     """
-    w = weights or [1.0] * len(scores)
-    if len(w) != len(scores) or sum(w) <= 0:
-        raise ValueError("one weight for each score, with a positive sum")
-    standings = score_standings(items, key, scores)
-    mean = reduce(lambda a, b: a + b, [inverse_normal(F.col(f"{s}_pct")) * x for s, x in zip(scores, w, strict=True)]) / sum(w)
-    fused = materialize(standings.select(key, F.round(mean, 9).alias("score")), "fused")
+    _weights(scores, weights)
+    fused = materialize(fused_scores(score_standings(items, key, scores), scores, weights).select(key, "score"), "fused")
     return global_row_number(fused, "score", key).select(key, "score", "rank")
 
 
 def best_by_all(standings: DataFrame, key: str, scores: list[str], percent: int = 10) -> DataFrame:
-    """Items of which fewer than ``percent`` % are greater by each of the scores."""
+    """Items of which fewer than ``percent`` % are greater by each of the scores.
+
+    Candidates go by the fused score. An item with so few above it by a score stands, with ties averaged,
+    at least half its ties below the percentile in question; so its fused score is at least the mean of
+    the normal quantiles there. Whoever reaches that is checked score by score, exactly.
+    """
+    lowest = [inverse_normal(F.greatest(F.lit(1 - percent / 100) - F.col(f"{s}_ties") / 2 / F.col("items"), F.lit(1e-12))) for s in scores]
+    likely = materialize(fused_scores(standings, scores), "fused").filter(F.col("score") >= _mean(lowest, [1.0] * len(scores)) - 1e-6)
     best = reduce(lambda a, b: a & b, [F.col(f"{s}_valid") & (F.col(f"{s}_above") * 100 < F.col("items") * percent) for s in scores])
-    return standings.filter(best).select(key)
+    return likely.filter(best).select(key)

@@ -1,4 +1,13 @@
-"""Near-duplicate pages: a MinHash LSH forest for candidates, then exact verification."""
+"""Near-duplicate pages: a MinHash LSH forest for candidates, then exact verification.
+
+Each text has a label in every tree of the forest: its MinHash symbols, as many as a trie is deep. Texts
+with a common prefix stand under one node. Prefixes start at the depth at which all trees together reach
+the recall at the threshold. There, most nodes hold one text or a few; those are settled. Under a dense
+node (a site's template) a text goes down to the first node that is small enough, which costs it some
+recall; how small a text's nodes must be is relaxed, its matched prefixes shortened again, until its trees
+reach the recall together. So texts in sparse parts are compared at the base depth, those in dense ones as
+deep as the recall allows.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +18,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.batches import pieces
 from pagewright.llm.markup import visible_text
-from pagewright.operators.groups import components, paired
-from pagewright.plans.materialize import materialize
+from pagewright.operators.groups import BLOCK, components, paired
+from pagewright.operators.skew import HOT, join_weighted
+from pagewright.plans.materialize import discard, materialize
 
 WORD = re.compile(r"\w+")
 #: Rows of an id table that may be broadcast (16 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 500_000
-_SKETCH = 128
+#: Bits of a text's sketch.
+SKETCH = 512
+#: Texts under a node that is not dense; how often that bound is made four times as large before it falls.
+FEW, BOUNDS = 4, 8
 
 
 def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -50,7 +64,7 @@ def shingles(words: list[str], width: int, known: dict[str, int]) -> np.ndarray:
 
 
 def prefix_depth(threshold: float, trees: int, recall: float, deepest: int) -> int:
-    """How far prefixes must be shortened: the deepest level at which pairs at the threshold meet with the recall."""
+    """The deepest level at which pairs at the threshold meet with the recall if all trees stop there."""
     for depth in range(deepest, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
@@ -58,15 +72,17 @@ def prefix_depth(threshold: float, trees: int, recall: float, deepest: int) -> i
 
 
 class Forest:
-    """Hash functions of ``trees`` prefix tries of ``deepest`` symbols, and of the sketches."""
+    """Hash functions of ``trees`` prefix tries, ``deepest`` symbols deep; a label is 64 bits.
+
+    The first ``SKETCH`` functions also give one bit each to a text's sketch.
+    """
 
     def __init__(self, trees: int, deepest: int, seed: int = 20240229):
         rng = np.random.default_rng(seed)
-        self.trees, self.deepest = trees, deepest
-        count = trees * deepest + _SKETCH
-        self.a = rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1)
-        self.b = rng.integers(0, 1 << 32, count, dtype=np.uint32)
-        self.salt = rng.integers(0, 1 << 63, trees, dtype=np.uint64)
+        self.trees, self.deepest, self.width = trees, deepest, 64 // deepest
+        self.count = max(trees * deepest, SKETCH)
+        self.a = rng.integers(0, 1 << 32, self.count, dtype=np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, self.count, dtype=np.uint32)
         self.room: np.ndarray | None = None
 
     def minima(self, shingled: np.ndarray) -> np.ndarray:
@@ -74,49 +90,44 @@ class Forest:
         x = (shingled ^ (shingled >> np.uint64(31))).astype(np.uint32)
         least = np.full(len(self.a), np.uint32(0xFFFFFFFF))
         if self.room is None:
-            self.room = np.empty((64, len(self.a)), dtype=np.uint32)
-        for k in range(0, len(x), 64):
-            some = x[k : k + 64, None]
+            self.room = np.empty((32, len(self.a)), dtype=np.uint32)
+        for k in range(0, len(x), 32):
+            some = x[k : k + 32, None]
             room = self.room[: len(some)]
             np.multiply(some, self.a, out=room)
             np.add(room, self.b, out=room)
             np.minimum(least, room.min(axis=0), out=least)
         return least
 
-    def place(self, shingled: np.ndarray, depth: int) -> tuple[np.ndarray, bytes]:
-        """The prefix of each tree as a signed 64-bit node key, and a sketch of 4-bit symbols."""
+    def place(self, shingled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A text's label in each tree, the first symbol in front, and its sketch, both as signed 64-bit numbers."""
         least = self.minima(shingled)
-        symbols = (least ^ (least >> np.uint32(16))).astype(np.uint64) & np.uint64(0xFFFF)
-        paths = symbols[: self.trees * self.deepest].reshape(self.trees, self.deepest)
-        key = self.salt.copy()
-        for k in range(depth):
-            key = (key ^ paths[:, k]) * np.uint64(0xD6E8FEB86659FD93)
-            key ^= key >> np.uint64(32)
-        nibbles = (symbols[self.trees * self.deepest :] & np.uint64(15)).astype(np.uint8)
-        return key.astype(np.int64), (nibbles[0::2] << 4 | nibbles[1::2]).tobytes()
-
-
-def sketch_agreement(a: bytes, b: bytes) -> float:
-    """Share of equal 4-bit symbols, corrected for chance: an estimate of the similarity."""
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    same = np.count_nonzero((x >> 4) == (y >> 4)) + np.count_nonzero((x & 15) == (y & 15))
-    return (same / (2 * len(x)) - 1 / 16) / (15 / 16)
+        mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        mixed ^= mixed >> np.uint32(13)
+        symbols = (mixed[: self.trees * self.deepest] & np.uint32((1 << self.width) - 1)).astype(np.uint64).reshape(self.trees, self.deepest)
+        labels = np.zeros(self.trees, dtype=np.uint64)
+        for k in range(self.deepest):
+            labels |= symbols[:, k] << np.uint64(64 - self.width * (k + 1))
+        bits = np.packbits((mixed[:SKETCH] >> np.uint32(31)).astype(np.uint8)).view(np.int64)
+        return labels.astype(np.int64), bits
 
 
 def _signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
-def signatures(pages: DataFrame, key: str, content: str, width: int, forest: Forest, depth: int, html: bool) -> DataFrame:
-    """``key, cls, nodes, sketch`` of each row with at least ``width`` words; ``cls`` is the text's hash.
+def signatures(pages: DataFrame, key: str, content: str, width: int, forest: Forest, html: bool) -> DataFrame:
+    """``key, cls, at, labels, bits`` of each row with at least ``width`` words; ``cls`` is the text's hash.
 
-    Only the first row of a text in a task carries nodes and a sketch, so an often copied text is placed
-    once a task.
+    Only the first row of a text in a task carries labels and a sketch, so an often copied text is placed
+    once a task; ``at`` tells the rows apart.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         placed: set[int] = set()
+        task = TaskContext.get()
+        at = (task.partitionId() if task else 0) << 40
         for batch in pieces(batches):
             rows = []
             for k, text in zip(batch["key"], batch["content"], strict=True):
@@ -124,14 +135,117 @@ def signatures(pages: DataFrame, key: str, content: str, width: int, forest: For
                 if len(words) < width:
                     continue
                 cls = _signed(xxhash.xxh3_64_intdigest(" ".join(words)))
-                nodes, sketch = (None, None) if cls in placed else forest.place(shingles(words, width, known), depth)
+                labels, bits = (None, None) if cls in placed else forest.place(shingles(words, width, known))
                 placed.add(cls)
-                rows.append((k, cls, nodes, sketch))
-            yield pd.DataFrame(rows, columns=["key", "cls", "nodes", "sketch"])
+                rows.append((k, cls, at, labels, bits))
+                at += 1
+            yield pd.DataFrame(rows, columns=["key", "cls", "at", "labels", "bits"])
 
     kind = pages.schema[key].dataType.simpleString()
     chosen = pages.filter(F.col(key).isNotNull() & F.col(content).isNotNull()).select(F.col(key).alias("key"), F.col(content).alias("content"))
-    return chosen.mapInPandas(run, f"key {kind}, cls long, nodes array<long>, sketch binary")
+    return chosen.mapInPandas(run, f"key {kind}, cls long, at long, labels array<long>, bits array<long>")
+
+
+def _once(signed: DataFrame) -> DataFrame:
+    """One placed row of each text; the texts that several tasks placed are found by their numbers only."""
+    placed = signed.filter("labels IS NOT NULL")
+    several = materialize(placed.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).filter("n > 1").select("cls", "first"), "placed-again")
+    n = several.count()
+    if not n:
+        return placed
+    joined = placed.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, "cls", "left")
+    return joined.filter("first IS NULL OR at = first").drop("first")
+
+
+def _node(depth: int | Column, width: int) -> Column:
+    """The name of the node that a label's prefix leads to in its tree."""
+    prefix = F.shiftrightunsigned("label", 64 - width * depth) if isinstance(depth, int) else F.expr(f"shiftrightunsigned(label, 64 - {width} * depth)")
+    return F.xxhash64(F.lit(depth) if isinstance(depth, int) else depth, F.col("tree"), prefix)
+
+
+def _with_sizes(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the number ``n`` of them under their ``node``, those that are alone left out; hot nodes' sizes are broadcast."""
+    sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node-sizes")
+    hot = not sizes.filter(F.col("n") * HOT >= total).filter(F.col("n") > HOT).isEmpty()
+    return join_weighted(rows, sizes, "node", "n", total) if hot else rows.join(sizes, "node")
+
+
+def _pairs_of_few(rows: DataFrame) -> DataFrame:
+    """All pairs under nodes of a bounded number of texts."""
+    held = rows.groupBy("node").agg(F.collect_list("cls").alias("held"))
+    one = held.select("held", F.posexplode("held").alias("i", "x"))
+    other = one.select("x", F.explode(F.expr("slice(held, i + 2, size(held))")).alias("y"))
+    return other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _pairs_met(queries: DataFrame, members: DataFrame) -> DataFrame:
+    """Each query text with all members of its node. Large nodes are salted on both sides, so a key has about BLOCK squared pairs at most."""
+    salts = F.ceil(F.col("n") / BLOCK).cast("int")
+    every = F.explode(F.sequence(F.lit(0), salts - 1))
+    left = queries.select("node", F.col("cls").alias("x"), F.pmod(F.xxhash64("cls"), salts).alias("i"), every.alias("j"))
+    right = members.select("node", F.col("cls").alias("y"), every.alias("i"), F.pmod(F.xxhash64("cls"), salts).alias("j"))
+    met = left.join(right, ["node", "i", "j"]).filter("x != y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def forest_candidates(labels: DataFrame, forest: Forest, threshold: float, recall: float, few: int = FEW) -> DataFrame:
+    """Pairs ``a, b`` that share a node, out of ``cls, labels`` (an array with a label a tree).
+
+    All pairs of nodes of at most ``few`` texts at the base depth are given. In trees where its node there
+    is larger, a text goes down until its node has at most ``few`` texts, or until as many of the node's
+    other texts as the threshold says would go the same way down: those are near-duplicates, not a
+    template's pages, and going on would part them. Nodes at the full depth are always compared. A text's
+    recall is that of a pair at the threshold over its trees, 1 - product of (1 - t ** depth); where it is
+    too low, the bound on its nodes is made 4, 16, 64 ... times as large until it is reached, and without
+    any bound, at the base depth, it always is.
+    """
+    base = prefix_depth(threshold, forest.trees, recall, forest.deepest)
+    gain = [-math.log(1 - threshold**d) for d in range(base, forest.deepest + 1)]
+    need = -math.log(1 - recall)
+    total = labels.count() * forest.trees
+    rows = labels.select("cls", F.posexplode("labels").alias("tree", "label"))
+    shared = materialize(_with_sizes(rows.withColumn("node", _node(base, forest.width)), total), "shared-nodes")
+    sparse = _pairs_of_few(shared.filter(F.col("n") <= few).select("node", "cls"))
+    dense = shared.filter(F.col("n") > few).select("cls", "tree", "label")
+    held = dense.count()
+    if not held:
+        out = materialize(sparse.distinct(), "candidates")
+        discard(shared)
+        return out
+    depths = F.explode(F.sequence(F.lit(base), F.lit(forest.deepest)))
+    lower = materialize(dense.select("cls", "tree", "label", depths.alias("depth")).withColumn("node", _node(F.col("depth"), forest.width)).drop("label"), "lower-nodes")
+    sizes = materialize(lower.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "lower-sizes")
+    placed = materialize(join_weighted(lower, sizes, "node", "n", held * len(gain)), "placed")
+    discard(lower)
+    ways = placed.groupBy("cls", "tree").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "n"))).alias("way"))
+    alike = f"way[i + 1].n - 1 >= {threshold} * (x.n - 1)"
+    stop = lambda most: f"element_at(filter(way, (x, i) -> x.n <= {most} OR i + 1 = size(way) OR {alike}), 1)"
+    stops = F.expr(f"array({', '.join([*[stop(few * 4**k) for k in range(BOUNDS)], 'way[0]'])})")
+    ways = materialize(ways.select("cls", stops.alias("stops")), "ways")
+    gained = F.array(*[F.lit(g) for g in gain])
+    reached = [F.sum(F.element_at(gained, F.get("stops", F.lit(k))["depth"] - (base - 1))).alias(f"g{k}") for k in range(BOUNDS)]
+    missing = F.lit(need) - (F.lit(forest.trees) - F.col("trees")) * gain[0]
+    bound = F.coalesce(*[F.when(F.col(f"g{k}") >= missing, F.lit(k)) for k in range(BOUNDS)], F.lit(BOUNDS)).alias("bound")
+    allowed = ways.groupBy("cls").agg(F.count(F.lit(1)).alias("trees"), *reached).select("cls", bound)
+    queries = ways.join(allowed, "cls").select("cls", F.get("stops", F.col("bound")).alias("f")).select("cls", "f.node", "f.n").filter("n > 1")
+    queries = materialize(queries, "forest-queries")
+    asked = queries.select("node").distinct()
+    crowded = _pairs_met(queries, placed.join(asked, "node", "left_semi"))
+    out = materialize(sparse.union(crowded).distinct(), "candidates")
+    discard(shared, sizes, placed, ways, queries)
+    return out
+
+
+def likely_pairs(candidates: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Candidates whose sketches do not put them far (five standard errors) below the threshold.
+
+    A bit of two sketches is equal with a probability of (1 + similarity) / 2.
+    """
+    equal = (1 + threshold) / 2
+    most = SKETCH - math.ceil(SKETCH * (equal - 5 * math.sqrt(equal * (1 - equal) / SKETCH)))
+    left, right = (sketches.select(F.col("cls").alias(c), F.col("bits").alias(f"s{c}")) for c in "ab")
+    apart = [F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))).cast("int") for k in range(SKETCH // 64)]
+    return candidates.join(left, "a").join(right, "b").filter(sum(apart[1:], apart[0]) <= most).select("a", "b")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, pages: DataFrame, key: str, content: str, width: int, threshold: float, html: bool) -> DataFrame:
@@ -173,44 +287,35 @@ def near_duplicates(
     content: str = "content",
     width: int = 5,
     threshold: float = 0.8,
-    trees: int = 96,
-    recall: float = 0.997,
+    trees: int = 128,
+    recall: float = 0.998,
     deepest: int = 8,
     html: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Texts whose distinct ``width``-word runs have a Jaccard similarity of ``threshold`` or more.
 
     Returns ``(members, links)``: ``key, cls`` of every row, rows of equal words sharing a class, and
-    ``a, b, similarity`` of classes of different texts, a < b. Candidates share a node of the LSH forest
-    at the depth that ``recall`` allows; 4-bit sketches discard those far below the threshold (five
-    standard errors), the rest are compared exactly. Rows with a null key, null content or fewer than
-    ``width`` words are in no class. Repeated rows count once. Texts are read whole.
+    ``a, b, similarity`` of classes of different texts, a < b. Candidates come from the forest
+    (:func:`forest_candidates`); sketches discard those far below the threshold, the rest are compared
+    exactly. Rows with a null key, null content or fewer than ``width`` words are in no class. Repeated
+    rows count once. Texts are read whole.
     """
-    depth = prefix_depth(threshold, trees, recall, deepest)
-    forest = Forest(trees, depth)
-    signed = materialize(signatures(pages, key, content, width, forest, depth, html), "signatures")
-    members = signed.select(F.col("key").alias(key), "cls").distinct()
-    reps = signed.groupBy("cls").agg(F.min("key").alias("rep"))
-    sketches = signed.filter("sketch IS NOT NULL").dropDuplicates(["cls"]).select("cls", "sketch")
-    nodes = signed.select(F.explode("nodes").alias("node"), "cls").repartition("node")
-    several = nodes.groupBy("node").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).filter("p < q").select("node")
-    shared = materialize(nodes.join(several.hint("shuffle_hash"), "node", "left_semi").distinct(), "shared-nodes")
-    candidates = materialize(paired(shared, "node", "cls").select("a", "b").distinct(), "candidates")
-    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / _SKETCH)
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in pieces(batches):
-            keep = [sketch_agreement(x, y) >= least for x, y in zip(batch["sa"], batch["sb"], strict=True)]
-            yield batch.loc[keep, ["a", "b"]]
-
-    left, right = (sketches.select(F.col("cls").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    likely = materialize(candidates.join(left, "a").join(right, "b").mapInPandas(near, "a long, b long"), "likely")
-    return members, materialize(_verify(likely, reps, pages, key, content, width, threshold, html), "links")
+    forest = Forest(trees, deepest)
+    signed = materialize(signatures(pages, key, content, width, forest, html), "signatures")
+    members = materialize(signed.select(F.col("key").alias(key), "cls").distinct(), "members")
+    reps = materialize(signed.groupBy("cls").agg(F.min("key").alias("rep")), "representatives")
+    once = _once(signed)
+    candidates = forest_candidates(once.select("cls", "labels"), forest, threshold, recall)
+    likely = materialize(likely_pairs(candidates, once.select("cls", "bits"), threshold), "likely")
+    discard(signed, candidates)
+    links = materialize(_verify(likely, reps, pages, key, content, width, threshold, html), "links")
+    discard(likely, reps)
+    return members, links
 
 
 def all_pairs(members: DataFrame, links: DataFrame, key: str = "docid") -> DataFrame:
     """Every pair of different keys, smaller first: within a class, and across linked classes."""
-    copies = paired(members, "cls", key).select("a", "b")
+    copies = paired(members.select("cls", key), "cls", key).select("a", "b")
     left, right = (members.select(F.col("cls").alias(c), F.col(key).alias(f"k{c}")) for c in "ab")
     across = links.select("a", "b").join(left, "a").join(right, "b").filter("ka != kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     return copies.union(across).distinct().select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import distinctive, encoding, fusion, mainbody, neardup, packing, residue, spans, stuffing
-from pagewright.sources.tables import table
+from pagewright.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SCORES = ["pr_quality", "hub_quality", "auth_quality"]
@@ -16,12 +16,12 @@ SCORES = ["pr_quality", "hub_quality", "auth_quality"]
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     """Blocks of the pages' main bodies."""
-    return mainbody.main_body(table(spark, directory, "page_blocks"), table(spark, directory, "pages"))
+    return mainbody.main_body(table(spark, directory, "page_blocks"), spread(spark, directory, "pages"))
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pages that are mainly repeated keywords or bare links."""
-    return stuffing.page_recurrence(table(spark, directory, "pages")).filter("stuffed").select("docid")
+    return stuffing.page_recurrence(spread(spark, directory, "pages")).filter("stuffed").select("docid")
 
 
 def p2_link_profile(spark: SparkSession, directory: str) -> DataFrame:
@@ -32,19 +32,19 @@ def p2_link_profile(spark: SparkSession, directory: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of pages that share at least half of their three-word sequences."""
-    members, links = neardup.near_duplicates(table(spark, directory, "pages"), width=3, threshold=0.5)
+    members, links = neardup.near_duplicates(spread(spark, directory, "pages"), width=3, threshold=0.5)
     return neardup.all_pairs(members, links)
 
 
 def p3_groups(spark: SparkSession, directory: str) -> DataFrame:
     """Each page's class of equal texts, its links to other classes and its group."""
-    members, links = neardup.near_duplicates(table(spark, directory, "pages"), width=3, threshold=0.5)
+    members, links = neardup.near_duplicates(spread(spark, directory, "pages"), width=3, threshold=0.5)
     return neardup.duplicate_groups(members, links)
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pages that show template residue, filler, errors or a demand for scripts."""
-    return residue.page_residue(table(spark, directory, "pages")).filter("residue").select("docid")
+    return residue.page_residue(spread(spark, directory, "pages")).filter("residue").select("docid")
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -77,29 +77,29 @@ def p7_ranking(spark: SparkSession, directory: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
-    return encoding.encode_corpus(table(spark, directory, "documents"))
+    return encoding.encode_corpus(spread(spark, directory, "documents"))
 
 
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents that alone are larger than a container and so were split."""
-    packed = packing.pack(encoding.token_counts(table(spark, directory, "documents")))
+    packed = packing.pack(encoding.token_counts(spread(spark, directory, "documents")))
     return packed.filter("pieces > 1").select("doc_id").distinct()
 
 
 def p9_containers(spark: SparkSession, directory: str) -> DataFrame:
     """Which container each document, or each piece of a split one, is in."""
-    return packing.pack(encoding.token_counts(table(spark, directory, "documents")))
+    return packing.pack(encoding.token_counts(spread(spark, directory, "documents")))
 
 
 def p10_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of documents with a run of 200 characters in common."""
-    members, _, sets = spans.shared_spans(table(spark, directory, "documents"))
+    members, _, sets = spans.shared_spans(spread(spark, directory, "documents"))
     return spans.sharing_pairs(members, sets)
 
 
 def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
     """How much of each document stands word for word in others."""
-    members, intervals, _ = spans.shared_spans(table(spark, directory, "documents"))
+    members, intervals, _ = spans.shared_spans(spread(spark, directory, "documents"))
     return spans.shared_shares(members, intervals)
 
 

@@ -60,6 +60,24 @@ def test_found_terms(spark):
     assert got == {(1, "rare"), (2, "rare")}
 
 
+def test_found_terms_like_the_criterion(spark):
+    """The bound on z loses no term, also where one record holds most of the counts."""
+    rng = random.Random(8)
+    for heavy in (1, 4000):
+        rows = list({(f"t{rng.randrange(300)}", d): rng.randrange(1, 6) for d in range(120) for _ in range(rng.randrange(1, 30))}.items())
+        rows = [(t, d, n * heavy if d == 0 else n) for (t, d), n in rows]
+        size, df = {}, {}
+        for t, d, n in rows:
+            size[d] = size.get(d, 0) + n
+            df[t] = df.get(t, 0) + 1
+        want = {(d, t) for t, d, n in rows if n * 100 >= 3 * size[d] and 2 <= df[t] <= 12 and df[t] * 100 <= 5 * len(size)}
+        scored = distinctive.distinctive_terms(postings(spark, rows))
+        assert {tuple(r) for r in distinctive.found(scored).collect()} == want and want
+    total, largest = sum(n for *_, n in rows), max(size.values())
+    bound = distinctive.least_z(0.03, max(sum(n for u, _, n in rows if u == t) for t in df), largest, total, total / len(size))
+    assert min(r.z for r in scored.collect() if r.tf * 100 >= 3 * r.n and r.df > 1) >= bound - 1e-9
+
+
 SCORES = ["p", "q"]
 
 
@@ -102,6 +120,15 @@ def test_best_by_all(spark):
     assert sorted(r.id for r in best.collect()) == [36, 37, 38, 39]
 
 
+def test_best_by_all_with_ties_like_the_criterion(spark):
+    rng = random.Random(9)
+    for kinds in (3, 400):
+        rows = [(k, float(rng.randrange(kinds)), rng.choice([None, float(rng.randrange(kinds))])) for k in range(300)]
+        best = fusion.best_by_all(fusion.score_standings(items(spark, rows), "id", SCORES), "id", SCORES)
+        few = lambda i, v: v is not None and sum((r[i] or -1) > v for r in rows) * 10 < len(rows)
+        assert sorted(r.id for r in best.collect()) == [r[0] for r in rows if few(1, r[1]) and few(2, r[2])]
+
+
 def brute_fill(counts, room):
     sums = {0}
     for length, n in counts.items():

@@ -45,6 +45,23 @@ def test_near_duplicates_like_brute_force(spark, monkeypatch, broadcast_rows):
     assert all(groups[a] == groups[b] for a, b in want) and len(set(groups.values())) > 30
 
 
+def test_versions_inside_a_template_are_all_found(spark):
+    """Half of all texts share a frame, dense nodes in every tree; among them are texts with many versions."""
+    rng = random.Random(14)
+    frame = text(rng, 40)
+    rows = [(k, frame + " " + text(rng, 70)) for k in range(150)]
+    for k in range(3):
+        base = text(rng, 90)
+        rows += [(1000 + 100 * k + j, frame + " " + edited(rng, base, 7)) for j in range(30)]
+    rows += [(2000 + k, text(rng, 100)) for k in range(150)]
+    table = spark.createDataFrame(rows, "docid long, content string")
+    members, links = neardup.near_duplicates(table, width=3, threshold=0.5, html=False)
+    got = {tuple(r) for r in neardup.all_pairs(members, links).collect()}
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in rows if (w := t.split())}
+    want = {(a, b) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert got <= want and len(got) >= 0.997 * len(want) > 1000
+
+
 def test_near_duplicates_of_nothing(spark):
     members, links = neardup.near_duplicates(spark.createDataFrame([], "docid long, content string"))
     assert members.count() == 0 and neardup.all_pairs(members, links).count() == 0 and neardup.duplicate_groups(members, links).count() == 0
