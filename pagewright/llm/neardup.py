@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.batches import pieces
@@ -37,24 +37,24 @@ SKETCH = 512
 FEW, BOUNDS = 4, 8
 
 
-def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of words; ``known`` remembers them between calls."""
-    if len(known) > 1_000_000:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+class WordHashes(dict):
+    """64-bit hashes of words, remembered between calls."""
 
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
-def shingles(words: list[str], width: int, known: dict[str, int]) -> np.ndarray:
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 1_000_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def shingles(words: list[str], width: int, known: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``width`` words."""
     if len(words) < width:
         return np.empty(0, dtype=np.uint64)
-    h = word_hashes(words, known)
+    h = known.of(words)
     n = len(h) - width + 1
     out = np.zeros(n, dtype=np.uint64)
     for k in range(width):
@@ -72,30 +72,28 @@ def prefix_depth(threshold: float, trees: int, recall: float, deepest: int) -> i
 
 
 class Forest:
-    """Hash functions of ``trees`` prefix tries, ``deepest`` symbols deep; a label is 64 bits.
+    """Hash functions of ``trees`` prefix tries, ``deepest`` symbols deep; a label is 64 bits at most.
 
-    The first ``SKETCH`` functions also give one bit each to a text's sketch.
+    The first ``SKETCH`` functions also give one bit each to a text's sketch. A function multiplies the
+    shingles' mixed hashes by an odd number, modulo 2 ** 32.
     """
 
     def __init__(self, trees: int, deepest: int, seed: int = 20240229):
-        rng = np.random.default_rng(seed)
         self.trees, self.deepest, self.width = trees, deepest, 64 // deepest
         self.count = max(trees * deepest, SKETCH)
-        self.a = rng.integers(0, 1 << 32, self.count, dtype=np.uint32) | np.uint32(1)
-        self.b = rng.integers(0, 1 << 32, self.count, dtype=np.uint32)
+        self.a = np.random.default_rng(seed).integers(0, 1 << 32, self.count, dtype=np.uint32) | np.uint32(1)
         self.room: np.ndarray | None = None
 
     def minima(self, shingled: np.ndarray) -> np.ndarray:
-        """The least hash of each function; the table of a few shingles at a time stays in the cache."""
-        x = (shingled ^ (shingled >> np.uint64(31))).astype(np.uint32)
-        least = np.full(len(self.a), np.uint32(0xFFFFFFFF))
+        """The least hash of each function; the table of some shingles at a time stays in the cache."""
+        x = ((shingled ^ (shingled >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+        least = np.full(self.count, np.uint32(0xFFFFFFFF))
         if self.room is None:
-            self.room = np.empty((32, len(self.a)), dtype=np.uint32)
-        for k in range(0, len(x), 32):
-            some = x[k : k + 32, None]
+            self.room = np.empty((128, self.count), dtype=np.uint32)
+        for k in range(0, len(x), 128):
+            some = x[k : k + 128, None]
             room = self.room[: len(some)]
             np.multiply(some, self.a, out=room)
-            np.add(room, self.b, out=room)
             np.minimum(least, room.min(axis=0), out=least)
         return least
 
@@ -124,7 +122,7 @@ def signatures(pages: DataFrame, key: str, content: str, width: int, forest: For
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = WordHashes()
         placed: set[int] = set()
         task = TaskContext.get()
         at = (task.partitionId() if task else 0) << 40
@@ -157,22 +155,25 @@ def _once(signed: DataFrame) -> DataFrame:
     return joined.filter("first IS NULL OR at = first").drop("first")
 
 
-def _node(depth: int | Column, width: int) -> Column:
-    """The name of the node that a label's prefix leads to in its tree."""
-    prefix = F.shiftrightunsigned("label", 64 - width * depth) if isinstance(depth, int) else F.expr(f"shiftrightunsigned(label, 64 - {width} * depth)")
-    return F.xxhash64(F.lit(depth) if isinstance(depth, int) else depth, F.col("tree"), prefix)
-
+def _hot_nodes(rows: DataFrame, total: int) -> DataFrame | None:
+    """Nodes with at least ``total / HOT`` rows, of which there can be no more than ``HOT``; None if there are none.
 
-def _with_sizes(rows: DataFrame, total: int) -> DataFrame:
-    """``rows`` with the number ``n`` of them under their ``node``, those that are alone left out; hot nodes' sizes are broadcast."""
-    sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "node-sizes")
-    hot = not sizes.filter(F.col("n") * HOT >= total).filter(F.col("n") > HOT).isEmpty()
-    return join_weighted(rows, sizes, "node", "n", total) if hot else rows.join(sizes, "node")
+    Rows are counted by a part of their node's name first, so only few numbers are moved; nodes are counted
+    by themselves under names that are that frequent only.
+    """
+    least = max(total // HOT, HOT)
+    part = F.pmod("node", F.lit(1 << 16))
+    crowded = materialize(rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "crowded")
+    if crowded.isEmpty():
+        return None
+    named = rows.withColumn("part", part).join(F.broadcast(crowded.select("part")), "part", "left_semi")
+    hot = materialize(named.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "hot-nodes")
+    return None if hot.isEmpty() else hot
 
 
 def _pairs_of_few(rows: DataFrame) -> DataFrame:
     """All pairs under nodes of a bounded number of texts."""
-    held = rows.groupBy("node").agg(F.collect_list("cls").alias("held"))
+    held = rows.groupBy("node").agg(F.collect_list("at").alias("held"))
     one = held.select("held", F.posexplode("held").alias("i", "x"))
     other = one.select("x", F.explode(F.expr("slice(held, i + 2, size(held))")).alias("y"))
     return other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -182,14 +183,41 @@ def _pairs_met(queries: DataFrame, members: DataFrame) -> DataFrame:
     """Each query text with all members of its node. Large nodes are salted on both sides, so a key has about BLOCK squared pairs at most."""
     salts = F.ceil(F.col("n") / BLOCK).cast("int")
     every = F.explode(F.sequence(F.lit(0), salts - 1))
-    left = queries.select("node", F.col("cls").alias("x"), F.pmod(F.xxhash64("cls"), salts).alias("i"), every.alias("j"))
-    right = members.select("node", F.col("cls").alias("y"), every.alias("i"), F.pmod(F.xxhash64("cls"), salts).alias("j"))
+    left = queries.select("node", F.col("at").alias("x"), F.pmod(F.xxhash64("at"), salts).alias("i"), every.alias("j"))
+    right = members.select("node", F.col("at").alias("y"), every.alias("i"), F.pmod(F.xxhash64("at"), salts).alias("j"))
     met = left.join(right, ["node", "i", "j"]).filter("x != y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _below(depth: int, base: int, forest: Forest) -> Column:
+    """The name of the node at a depth below a text's base node."""
+    if depth == base:
+        return F.col("node")
+    return F.xxhash64("node", F.lit(depth), F.shiftrightunsigned("rest", forest.width * (forest.deepest - depth)))
+
+
+def _ways(dense: DataFrame, base: int, forest: Forest) -> DataFrame:
+    """``at, node, way``: the nodes from the base to the full depth that a text leads through, each with its depth and size."""
+    depths = range(base, forest.deepest + 1)
+    levels = F.array(*[F.struct(F.lit(d).alias("depth"), _below(d, base, forest).alias("node")) for d in depths])
+    cold = dense.filter("NOT hot").repartition("node").withColumn("levels", levels)
+    for k, d in enumerate(depths):
+        cold = cold.withColumn(f"n{d}", F.count(F.lit(1)).over(Window.partitionBy("node", F.get("levels", F.lit(k))["node"])))
+    sized = F.array(*[F.struct(F.lit(d).alias("depth"), F.get("levels", F.lit(k))["node"].alias("node"), F.col(f"n{d}").alias("n")) for k, d in enumerate(depths)])
+    cold = cold.select("at", "node", sized.alias("way"))
+    hot = dense.filter("hot")
+    held = hot.count()
+    if not held:
+        return cold
+    lower = materialize(hot.select("at", "node", F.explode(levels).alias("l")).select("at", F.col("node").alias("top"), "l.depth", "l.node"), "lower-nodes")
+    sizes = materialize(lower.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "lower-sizes")
+    met = join_weighted(lower, sizes, "node", "n", held * len(depths))
+    whole = met.groupBy("at", F.col("top").alias("node")).agg(F.sort_array(F.collect_list(F.struct("depth", F.col("node").alias("node"), "n"))).alias("way"))
+    return cold.unionByName(whole)
+
+
 def forest_candidates(labels: DataFrame, forest: Forest, threshold: float, recall: float, few: int = FEW) -> DataFrame:
-    """Pairs ``a, b`` that share a node, out of ``cls, labels`` (an array with a label a tree).
+    """Pairs ``a, b`` of numbers that share a node, out of ``at, labels`` (a text's number, its label in each tree).
 
     All pairs of nodes of at most ``few`` texts at the base depth are given. In trees where its node there
     is larger, a text goes down until its node has at most ``few`` texts, or until as many of the node's
@@ -197,55 +225,61 @@ def forest_candidates(labels: DataFrame, forest: Forest, threshold: float, recal
     template's pages, and going on would part them. Nodes at the full depth are always compared. A text's
     recall is that of a pair at the threshold over its trees, 1 - product of (1 - t ** depth); where it is
     too low, the bound on its nodes is made 4, 16, 64 ... times as large until it is reached, and without
-    any bound, at the base depth, it always is.
+    any bound, at the base depth, it always is. Rows are moved by their base node once, but for those of
+    hot nodes, which are counted before they are moved.
     """
     base = prefix_depth(threshold, forest.trees, recall, forest.deepest)
     gain = [-math.log(1 - threshold**d) for d in range(base, forest.deepest + 1)]
     need = -math.log(1 - recall)
     total = labels.count() * forest.trees
-    rows = labels.select("cls", F.posexplode("labels").alias("tree", "label"))
-    shared = materialize(_with_sizes(rows.withColumn("node", _node(base, forest.width)), total), "shared-nodes")
-    sparse = _pairs_of_few(shared.filter(F.col("n") <= few).select("node", "cls"))
-    dense = shared.filter(F.col("n") > few).select("cls", "tree", "label")
-    held = dense.count()
-    if not held:
+    cut, used = forest.width * base, forest.width * forest.deepest
+    rows = labels.select("at", F.posexplode("labels").alias("tree", "label"))
+    top = F.xxhash64("tree", F.shiftrightunsigned("label", 64 - cut))
+    rest = F.shiftrightunsigned("label", 64 - used).bitwiseAND(F.lit((1 << (used - cut)) - 1))
+    rows = rows.select(top.alias("node"), "at", rest.alias("rest"))
+    hot = _hot_nodes(rows, total)
+    cold = rows if hot is None else rows.join(F.broadcast(hot.select("node")), "node", "left_anti")
+    parted = cold.repartition("node")
+    sizes = parted.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = parted.join(sizes.hint("shuffle_hash"), "node").withColumn("hot", F.lit(False))
+    if hot is not None:
+        shared = shared.unionByName(rows.join(F.broadcast(hot), "node").withColumn("hot", F.lit(True)))
+    shared = materialize(shared, "shared-nodes")
+    sparse = _pairs_of_few(shared.filter(F.col("n") <= few))
+    dense = shared.filter(F.col("n") > few)
+    if dense.isEmpty():
         out = materialize(sparse.distinct(), "candidates")
         discard(shared)
         return out
-    depths = F.explode(F.sequence(F.lit(base), F.lit(forest.deepest)))
-    lower = materialize(dense.select("cls", "tree", "label", depths.alias("depth")).withColumn("node", _node(F.col("depth"), forest.width)).drop("label"), "lower-nodes")
-    sizes = materialize(lower.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "lower-sizes")
-    placed = materialize(join_weighted(lower, sizes, "node", "n", held * len(gain)), "placed")
-    discard(lower)
-    ways = placed.groupBy("cls", "tree").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "n"))).alias("way"))
     alike = f"way[i + 1].n - 1 >= {threshold} * (x.n - 1)"
     stop = lambda most: f"element_at(filter(way, (x, i) -> x.n <= {most} OR i + 1 = size(way) OR {alike}), 1)"
     stops = F.expr(f"array({', '.join([*[stop(few * 4**k) for k in range(BOUNDS)], 'way[0]'])})")
-    ways = materialize(ways.select("cls", stops.alias("stops")), "ways")
+    ways = materialize(_ways(dense, base, forest).select("at", "way", stops.alias("stops")), "ways")
     gained = F.array(*[F.lit(g) for g in gain])
     reached = [F.sum(F.element_at(gained, F.get("stops", F.lit(k))["depth"] - (base - 1))).alias(f"g{k}") for k in range(BOUNDS)]
     missing = F.lit(need) - (F.lit(forest.trees) - F.col("trees")) * gain[0]
     bound = F.coalesce(*[F.when(F.col(f"g{k}") >= missing, F.lit(k)) for k in range(BOUNDS)], F.lit(BOUNDS)).alias("bound")
-    allowed = ways.groupBy("cls").agg(F.count(F.lit(1)).alias("trees"), *reached).select("cls", bound)
-    queries = ways.join(allowed, "cls").select("cls", F.get("stops", F.col("bound")).alias("f")).select("cls", "f.node", "f.n").filter("n > 1")
+    allowed = ways.groupBy("at").agg(F.count(F.lit(1)).alias("trees"), *reached).select("at", bound)
+    queries = ways.join(allowed, "at").select("at", F.get("stops", F.col("bound")).alias("f")).select("at", "f.node", "f.n").filter("n > 1")
     queries = materialize(queries, "forest-queries")
-    asked = queries.select("node").distinct()
-    crowded = _pairs_met(queries, placed.join(asked, "node", "left_semi"))
+    members = ways.select("at", F.explode("way").alias("w")).select("at", "w.node", "w.n").filter("n > 1")
+    crowded = _pairs_met(queries, members.join(queries.select("node").distinct(), "node", "left_semi"))
     out = materialize(sparse.union(crowded).distinct(), "candidates")
-    discard(shared, sizes, placed, ways, queries)
+    discard(shared, ways, queries)
     return out
 
 
 def likely_pairs(candidates: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Candidates whose sketches do not put them far (five standard errors) below the threshold.
+    """Classes ``a, b`` of the candidates whose sketches do not put them far (five standard errors) below the threshold.
 
-    A bit of two sketches is equal with a probability of (1 + similarity) / 2.
+    ``sketches`` has ``at, cls, bits``. A bit of two sketches is equal with a probability of (1 + similarity) / 2.
     """
     equal = (1 + threshold) / 2
     most = SKETCH - math.ceil(SKETCH * (equal - 5 * math.sqrt(equal * (1 - equal) / SKETCH)))
-    left, right = (sketches.select(F.col("cls").alias(c), F.col("bits").alias(f"s{c}")) for c in "ab")
+    left, right = (sketches.select(F.col("at").alias(c), F.col("cls").alias(f"c{c}"), F.col("bits").alias(f"s{c}")) for c in "ab")
     apart = [F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))).cast("int") for k in range(SKETCH // 64)]
-    return candidates.join(left, "a").join(right, "b").filter(sum(apart[1:], apart[0]) <= most).select("a", "b")
+    met = candidates.join(left, "a").join(right, "b").filter(sum(apart[1:], apart[0]) <= most)
+    return met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, pages: DataFrame, key: str, content: str, width: int, threshold: float, html: bool) -> DataFrame:
@@ -257,7 +291,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, pages: DataFrame, key: str, conte
     texts = pages.filter(F.col(content).isNotNull()).select(F.col(key).alias("key"), F.col(content).alias("content")).join(small, "key")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = WordHashes()
         for batch in pieces(batches):
             rows = []
             for cls, text in zip(batch["cls"], batch["content"], strict=True):
@@ -289,7 +323,7 @@ def near_duplicates(
     threshold: float = 0.8,
     trees: int = 128,
     recall: float = 0.998,
-    deepest: int = 8,
+    deepest: int = 7,
     html: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Texts whose distinct ``width``-word runs have a Jaccard similarity of ``threshold`` or more.
@@ -305,8 +339,8 @@ def near_duplicates(
     members = materialize(signed.select(F.col("key").alias(key), "cls").distinct(), "members")
     reps = materialize(signed.groupBy("cls").agg(F.min("key").alias("rep")), "representatives")
     once = _once(signed)
-    candidates = forest_candidates(once.select("cls", "labels"), forest, threshold, recall)
-    likely = materialize(likely_pairs(candidates, once.select("cls", "bits"), threshold), "likely")
+    candidates = forest_candidates(once.select("at", "labels"), forest, threshold, recall)
+    likely = materialize(likely_pairs(candidates, once.select("at", "cls", "bits"), threshold), "likely")
     discard(signed, candidates)
     links = materialize(_verify(likely, reps, pages, key, content, width, threshold, html), "links")
     discard(likely, reps)
