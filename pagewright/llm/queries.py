@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pages that are mainly repeated keywords or bare links."""
-    return stuffing.page_recurrence(spread(spark, directory, "pages")).filter("stuffed").select("docid")
+    return stuffing.stuffed_pages(spread(spark, directory, "pages"), table(spark, directory, "doclinks")).filter("stuffed").select("docid")
 
 
 def p2_link_profile(spark: SparkSession, directory: str) -> DataFrame:
@@ -103,6 +103,12 @@ def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
     return spans.shared_shares(members, intervals)
 
 
+def p10_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """Each document's class of equal texts, its links to other classes and its group."""
+    members, _, sets = spans.shared_spans(spread(spark, directory, "documents"))
+    return spans.sharing_groups(members, sets)
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "p9_containers": p9_containers,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
+    "p10_groups": p10_groups,
 }
 
 _P6 = """

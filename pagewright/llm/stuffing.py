@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import lexicon
 from pagewright.llm.markup import Block, blocks
+from pagewright.llm.residue import filler_words
 
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _END = re.compile(r"[.!?](?:\s|$)")
 COLUMNS = "terms int, recurring double, regular double, autocorrelation double, function double, linked double, stuffed boolean"
 
 
+#: Terms from which shares count as they are.
+MANY = 60
+
+
 class Recurrence(NamedTuple):
     """How the terms of one page recur.
 
@@ -90,16 +95,20 @@ def _listed(units: list[tuple[str, int, int, int, int]], n: int, bare: float) ->
     return terms >= 0.5 * n and words > 0 and _surely(1 - functions / words, words) >= 0.85
 
 
-def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float = 0.3, periodic: float = 0.15, bare: float = 0.03, shortest: int = 60, even: float = 0.3) -> Recurrence:
+def _least(share: float, n: int) -> float:
+    """The share that ``n`` terms must reach: ``share`` for :data:`MANY` terms or more, the more for fewer."""
+    return share * max(1.0, MANY / n) ** 1.5
+
+
+def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float = 0.3, periodic: float = 0.15, bare: float = 0.03, even: float = 0.3) -> Recurrence:
     """Measure one page and flag it if its terms recur like keywords.
 
     Flagged are pages of which ``least`` of the terms recur within ``window`` terms, or ``periodic``
     repeat at one lag, or ``even`` stand at regular gaps, or of which half stands in blocks or paths in
     which function words make up less than ``bare`` and that no sentence holds together. Lags and gaps
     may be as long as the page; beyond ``lags`` and ``window``, text that is running (with 15 % function
-    words) does not count, as copied paragraphs would. The shares must be proven by the number of
-    terms; from ``shortest`` terms on it is enough that they are reached by recurrence, at short lags or
-    by a list that is the whole page. The title, numbers, words of up to two letters, filler text and
+    words) does not count, as copied paragraphs would. Shares must be larger the fewer the terms
+    (:func:`_least`), or proven by their number. The title, numbers, words of up to two letters, filler text and
     rows of a table (5 to 40 words, two numbers or more among them) do not count as recurring.
     """
     body = [b for b in page if b.tag != "title"]
@@ -110,8 +119,7 @@ def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float
     ends = 0
     for b in body:
         found = _WORD.findall(b.text.lower())
-        latin = sum(w in lexicon.FILLER_WORDS for w in found)
-        if found and latin >= 0.3 * len(found) and latin >= 5:
+        if filler_words(found) >= 5:
             continue
         words += found
         numbers = sum(w[0].isdigit() for w in found)
@@ -153,8 +161,8 @@ def recurrence(page: list[Block], window: int = 40, lags: int = 24, least: float
     function = float(functional.sum() / max(alphabetic.sum(), 1))
     linked = sum(b.linked for b in body) / max(sum(len(b.text) for b in body), 1)
     share = float(again.mean())
-    listed = n >= 60 and function < bare and ends * 40 < n and alphabetic.mean() > 0.6
-    plain = n >= shortest and (share >= least or short >= periodic or listed)
+    listed = function < bare and _surely(1 - function, n) >= 0.75 and ends * 40 < n and alphabetic.mean() > 0.6
+    plain = share >= _least(least, n) or short >= _least(periodic, n) or listed
     stuffed = plain or _surely(share, n) >= least or _surely(auto, n) >= periodic or _surely(min(regular, 1.0), n) >= even or _listed(units, n, bare)
     return Recurrence(n, share, regular, auto, function, min(linked, 1.0), bool(stuffed))
 
@@ -189,3 +197,16 @@ def link_profile(links: DataFrame, source: str = "src", target: str = "dst_url")
     per_host = edges.groupBy(source, host.alias("host")).agg(F.count(F.lit(1)).alias("n"))
     out = per_host.groupBy(source).agg(F.sum("n").alias("links"), F.count(F.lit(1)).alias("hosts"), F.max("n").alias("top"))
     return out.select(source, "links", "hosts", (F.col("top") / F.col("links")).alias("top_share"))
+
+
+def stuffed_pages(pages: DataFrame, links: DataFrame, key: str = "docid", content: str = "content", linked: float = 0.5, targets: float = 0.2, bare: float = 0.06) -> DataFrame:
+    """The figures of :func:`page_recurrence` and :func:`link_profile`, and ``stuffed`` by either.
+
+    By its links a page is stuffed if ``linked`` of its characters stand in links, it has at least
+    ``targets`` different targets a term, and fewer function words than ``bare``: a heap of links that no
+    sentence annotates. Pages without links, and links without a page, are as in the two functions.
+    """
+    profile = link_profile(links).withColumnRenamed("src", key)
+    joined = page_recurrence(pages, key, content).join(profile, key, "left")
+    heaped = (F.col("linked") >= linked) & (F.col("links") >= F.col("terms") * targets) & (F.col("function") < bare)
+    return joined.withColumn("stuffed", F.col("stuffed") | F.coalesce(heaped, F.lit(False)))

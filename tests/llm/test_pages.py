@@ -52,6 +52,20 @@ def test_link_profile(spark):
     assert got == [(1, 3, 2, 2 / 3)]
 
 
+def test_links_decide(spark):
+    """A few names, all of them links to as many targets, are a link list; without the links they prove nothing."""
+    body = "<body><p>" + " ".join(f"<a href=/{w}>{w}</a>" for w in NAMES[:12]) + "</p></body>"
+    links = [(1, f"http://h.test/{w}") for w in NAMES[:12]] + [(2, "http://h.test/x"), (9, "http://h.test/y")]
+    found = stuffing.stuffed_pages(pages(spark, [(1, body), (2, body), (3, page(prose()))]), spark.createDataFrame(links, "src long, dst_url string"))
+    assert {r.docid: r.stuffed for r in found.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_fifty_keywords_are_enough(spark):
+    words = [f"{m} {n} lamps" for k in range(9) for m in ("cheap", "buy") for n in ("zorva",)]
+    got = stuffing.recurrence(markup.blocks("<p>" + " ".join(words)[:280] + "</p>"))
+    assert got.terms < 60 and got.stuffed
+
+
 def test_residue(spark):
     cases = {
         1: page(prose(3) + "<p>Dear {{first_name}}, the ${room} is open.</p>"),
