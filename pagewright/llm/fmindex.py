@@ -54,104 +54,109 @@ def _ahead(values: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def suffix_order(codes: np.ndarray, depth: int, bits: int) -> np.ndarray:
-    """Positions ordered by their first ``depth`` codes at least, by prefix doubling."""
+def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their keys, and each position's rank from 1, equal for equal keys."""
+    order = np.argsort(key, kind="stable" if len(key) < 64 else None)
+    ranked = key[order]
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.concatenate([[1], 1 + np.cumsum(ranked[1:] != ranked[:-1])])
+    return order, rank
+
+
+def suffix_order(codes: np.ndarray, span: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ordered by their first ``span + 1`` codes at least, and which of them begin a new run of ``span`` codes.
+
+    By prefix doubling, whose ranks are exact. What the first ``span`` codes are is told by the ranks of two
+    overlapping stretches of the longest doubled length below that.
+    """
     n = len(codes)
-    first = max(1, 62 // bits)
+    length = max(1, min(62 // bits, span))
     key = np.zeros(n, dtype=np.int64)
-    for k in range(first):
+    for k in range(length):
         key = key << bits | _ahead(codes, k)
-    length = first
+    order, rank = _ranks(key)
+    equal = None
     while True:
-        order = np.argsort(key, kind="stable" if n < 64 else None)
-        ranked = key[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.concatenate([[1], 1 + np.cumsum(ranked[1:] != ranked[:-1])])
-        if length >= depth or rank[order[-1]] == n:
-            return order
-        key = rank << 31 | _ahead(rank, length)
+        if equal is None and 2 * length >= span:
+            equal = _ranks(rank << 31 | _ahead(rank, span - length))[1]
+        if length > span:
+            break
+        order, rank = _ranks(rank << 31 | _ahead(rank, length))
         length *= 2
+    told = equal[order]
+    return order, np.concatenate([[True], told[1:] != told[:-1]])
 
 
 class FMIndex:
     """Index of texts, joined with separators, for patterns of up to ``span`` code points.
 
     Suffixes are ordered by ``span + 1`` code points, which is as far as such patterns can tell them
-    apart. ``starts`` has each text's place in the joined sequence.
+    apart. Kept are the wavelet matrix of the characters before them, a bit vector of the places at which
+    their first ``span`` code points change, and the alphabet: about 1.5 bits a level and 1.5 bits a
+    character. What building needs besides is dropped.
     """
 
     def __init__(self, texts: list[str], span: int):
         self.span = span
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
         joined = "\x00".join(texts) + "\x00"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths[:-1] + 1)]).astype(np.int64)
-        symbols, codes = np.unique(points, return_inverse=True)
-        self.codes = codes.astype(np.int64) + 2
-        ends = self.starts + self.lengths
-        self.codes[ends] = 1
-        self.sigma = len(symbols) + 2
-        self.order = suffix_order(self.codes, span + 1, int(self.sigma - 1).bit_length())
-        before = self.codes[self.order - 1]
-        self.matrix = WaveletMatrix(before, self.sigma)
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.symbols, codes = np.unique(points, return_inverse=True)
+        codes = codes.astype(np.int64) + 2
+        codes[np.cumsum(lengths + 1) - 1] = 1
+        self.sigma, self.n = len(self.symbols) + 2, len(codes)
+        order, new = suffix_order(codes, span, int(self.sigma - 1).bit_length())
+        self.matrix = WaveletMatrix(codes[order - 1], self.sigma)
+        self.new = BitVector(new)
         alphabet = np.arange(self.sigma)
-        smaller = np.concatenate([[0], np.cumsum(np.bincount(self.codes, minlength=self.sigma))[:-1]])
+        smaller = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=self.sigma))[:-1]])
         self.shift = smaller - self.matrix.walk(alphabet, np.zeros(self.sigma, dtype=np.int64))
-        self._intervals()
-
-    def _intervals(self) -> None:
-        """The interval of each suffix's first ``span`` code points: its number, begin and end."""
-        n, h = len(self.codes), self.codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        power, total, done, width = h, np.zeros(n, dtype=np.uint64), 0, 1
-        left = self.span
-        while left:
-            if left & 1:
-                total = (total * np.uint64(0xD6E8FEB86659FD93)) ^ _ahead(power, done)
-                total ^= total >> np.uint64(32)
-                total *= np.uint64(0xC2B2AE3D27D4EB4F)
-                done += width
-            ahead = _ahead(power, width)
-            power = power * np.uint64(0xBF58476D1CE4E5B9) + (ahead ^ (ahead >> np.uint64(31)))
-            width *= 2
-            left >>= 1
-        seen = total[self.order]
-        new = np.concatenate([[True], seen[1:] != seen[:-1]])
-        begins = np.flatnonzero(new)
-        self.number = (np.cumsum(new) - 1).astype(np.int64)
-        self.begins = begins
-        self.ends = np.concatenate([begins[1:], [n]])
+
+    def size(self) -> int:
+        """Bytes of the index."""
+        held = [*self.matrix.levels, self.new]
+        return sum(v.words.nbytes + v.before.nbytes for v in held) + self.symbols.nbytes + self.shift.nbytes
 
     def extend(self, symbols: np.ndarray, i: np.ndarray) -> np.ndarray:
         """One backward step of interval ends: the suffixes that a symbol before them gives."""
         return self.shift[symbols] + self.matrix.walk(symbols, i)
 
-    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stream all texts through the index from their ends, by backward search in step.
+    def _codes(self, texts: list[str]) -> np.ndarray:
+        """The joined code points of indexed texts as symbols."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return (np.searchsorted(self.symbols, points) + 2).astype(np.int32)
+
+    def matching_statistics(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stream indexed texts through the index from their ends, by backward search in step.
 
-        Statistics are capped at ``span``: whenever the match has grown to it, the interval of all
-        suffixes with the same ``span`` code points is reported and the match goes on from there.
-        Returns, for each such place, the text's number, the offset in it and the interval's number.
+        Statistics are capped at ``span``: whenever a match has grown to it, the interval of all suffixes
+        with the same ``span`` code points, whose bounds are the nearest places at which these change, is
+        reported and the match goes on from there. Returns, for each such place, the text's number, the
+        offset in it and the interval's number.
         """
-        count = len(self.lengths)
-        active = np.argsort(-self.lengths, kind="stable")
-        lo, hi = np.zeros(count, dtype=np.int64), np.full(count, len(self.codes), dtype=np.int64)
-        ends = self.starts + self.lengths
-        texts, offsets, intervals = [], [], []
-        for step in range(1, int(self.lengths.max(initial=0)) + 1):
-            active = active[: np.searchsorted(-self.lengths[active], -step, side="right")]
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        ends = np.cumsum(lengths)
+        codes = self._codes(texts)
+        bits = np.unpackbits(self.new.words.view(np.uint8), bitorder="little")[: self.n]
+        begins = np.append(np.flatnonzero(bits), self.n).astype(np.int64)
+        active = np.argsort(-lengths, kind="stable")
+        ranked = -lengths[active]
+        lo, hi = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), self.n, dtype=np.int64)
+        which, offsets, intervals = [], [], []
+        for step in range(1, int(lengths.max(initial=0)) + 1):
+            active = active[: np.searchsorted(ranked[: len(active)], -step, side="right")]
             at = ends[active] - step
-            symbols = self.codes[at]
+            symbols = codes[at]
             both = self.extend(np.concatenate([symbols, symbols]), np.concatenate([lo[active], hi[active]]))
             low, high = both[: len(active)], both[len(active) :]
             if step >= self.span:
-                interval = self.number[low]
-                low, high = self.begins[interval], self.ends[interval]
-                texts.append(active)
-                offsets.append(at - self.starts[active])
-                intervals.append(interval)
+                number = (self.new.rank1(low + 1) - 1).astype(np.int64)
+                low, high = begins[number], begins[number + 1]
+                which.append(active)
+                offsets.append(at - (ends - lengths)[active])
+                intervals.append(number)
             lo[active], hi[active] = low, high
-        if not texts:
+        if not which:
             nothing = np.empty(0, dtype=np.int64)
             return nothing, nothing, nothing
-        return np.concatenate(texts), np.concatenate(offsets), np.concatenate(intervals)
+        return np.concatenate(which), np.concatenate(offsets), np.concatenate(intervals)

@@ -2,13 +2,14 @@
 
 Documents are cut into regions around sampled seeds: every run of ``span`` characters has exactly one
 seed, the least hash of its shorter runs, so documents that share a run also share its seed and put the
-run into a region of that seed. Regions of seeds that only one text has are dropped; the others go to
-shards by seed. Each shard's regions are indexed and streamed through the index.
+run into a region of that seed. Regions of seeds that only one text has are dropped. A region that several
+texts have stands once, its owners apart from it; the different ones go to shards by seed. Each shard's
+regions are indexed once and streamed through the index; only a seed with more of them than a block holds
+is cut into blocks, every two of which are a shard.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from pagewright.llm.batches import pieces
 from pagewright.llm.fmindex import FMIndex
 from pagewright.llm.neardup import BROADCAST_ROWS
-from pagewright.operators.groups import paired
-from pagewright.plans.materialize import materialize
+from pagewright.operators.groups import components, paired
+from pagewright.operators.skew import HOT, join_weighted
+from pagewright.plans.materialize import discard, materialize
 
 #: Regions in a block of a shard; a shard's cell indexes at most two blocks.
 BLOCK = 4096
@@ -65,7 +67,7 @@ def _seeded(texts: DataFrame, span: int) -> DataFrame:
 
 
 def _regions(texts: DataFrame, wanted: DataFrame, few: bool, span: int) -> DataFrame:
-    """``seed, cls, start, region``: the stretches of one text of each class whose runs have a shared seed."""
+    """``rid, seed, cls, start, region``: the stretches of one text of each class whose runs have a shared seed; ``rid`` is the region's hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in pieces(batches):
@@ -75,49 +77,64 @@ def _regions(texts: DataFrame, wanted: DataFrame, few: bool, span: int) -> DataF
                 cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]])
                 keep = np.isin(least[cuts[:-1]], seeds)
                 for a, b in zip(cuts[:-1][keep], cuts[1:][keep], strict=True):
-                    rows += [(least[a], cls, k, text[k : min(k + _LONGEST, b) + span - 1]) for k in range(a, b, _LONGEST)]
-            yield pd.DataFrame(rows, columns=["seed", "cls", "start", "region"])
+                    for k in range(a, b, _LONGEST):
+                        region = text[k : min(k + _LONGEST, b) + span - 1]
+                        rid = np.uint64(xxhash.xxh3_64_intdigest(region.encode("utf-8", "surrogatepass"))).astype(np.int64)
+                        rows.append((rid, least[a], cls, k, region))
+            yield pd.DataFrame(rows, columns=["rid", "seed", "cls", "start", "region"])
 
     joined = texts.join(F.broadcast(wanted) if few else wanted, "key")
-    return joined.mapInPandas(run, "seed long, cls long, start int, region string")
+    return joined.mapInPandas(run, "rid long, seed long, cls long, start int, region string")
 
 
 def _search(span: int):
-    """The search of one cell: rows of kind 0 are intervals of a text, rows of kind 1 members of a set of texts."""
+    """The search of one shard: rows of kind 0 are stretches of a region, rows of kind 1 members of a set of regions.
+
+    A place counts if the regions in its interval belong to more than one text: ``only`` is a region's one
+    text, or null where several texts have it.
+    """
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        owners: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for cls, start, region in zip(cell["cls"], cell["start"], cell["region"], strict=True):
-            owners[region].append((cls, start))
-        texts = sorted(owners)
-        which, offset, interval = FMIndex(texts, span).matching_statistics()
-        size = np.array([len(owners[t]) for t in texts])
-        flat = np.array([x for t in texts for x in owners[t]], dtype=np.int64).reshape(-1, 2)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        times = size[which]
-        row = np.repeat(first[which], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        hit = pd.DataFrame({"cls": flat[row, 0], "at": flat[row, 1] + np.repeat(offset, times), "set": np.repeat(interval, times)}).drop_duplicates()
-        kinds = hit[["set", "cls"]].drop_duplicates()
-        kinds = kinds[kinds.groupby("set")["cls"].transform("size") > 1]
+        held = cell.drop_duplicates("rid").sort_values("rid")
+        texts, rids = held["region"].tolist(), held["rid"].to_numpy(dtype=np.int64)
+        several = held["only"].isna().to_numpy()
+        only = np.where(several, rids, held["only"].fillna(0).to_numpy(dtype=np.int64))
+        which, offset, interval = FMIndex(texts, span).matching_statistics(texts)
+        hit = pd.DataFrame({"region": which, "at": offset, "set": interval})
+        kinds = hit[["set", "region"]].drop_duplicates()
+        owner = pd.Series(only[kinds["region"]], index=kinds.index)
+        by_set = owner.groupby(kinds["set"])
+        shared = (by_set.transform("min") != by_set.transform("max")) | pd.Series(several[kinds["region"]], index=kinds.index).groupby(kinds["set"]).transform("any")
+        kinds = kinds[shared]
         if kinds.empty:
-            return pd.DataFrame({"kind": [], "cls": [], "a": [], "b": [], "grp": []})
-        mixed = kinds["cls"].to_numpy().astype(np.uint64)
+            return pd.DataFrame({"kind": [], "rid": [], "a": [], "b": [], "grp": []})
+        mixed = rids[kinds["region"]].astype(np.uint64)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-        kinds = kinds.assign(name=mixed)
-        name = kinds.groupby("set")["name"].sum().astype(np.uint64).astype(np.int64)
+        name = pd.Series(mixed, index=kinds.index).groupby(kinds["set"]).sum().astype(np.uint64).astype(np.int64)
         one = name.drop_duplicates().index
         sets = kinds[kinds["set"].isin(one)]
-        members = pd.DataFrame({"kind": 1, "cls": sets["cls"], "a": 0, "b": 0, "grp": sets["set"].map(name)})
-        covered = hit[hit["set"].isin(name.index)].sort_values(["cls", "at"], kind="stable")
-        new = (covered["cls"].diff() != 0) | (covered["at"].diff() > 1)
-        runs = covered.groupby(new.cumsum()).agg(cls=("cls", "first"), a=("at", "min"), b=("at", "max"))
-        runs = pd.DataFrame({"kind": 0, "cls": runs["cls"], "a": runs["a"], "b": runs["b"] + span, "grp": 0})
+        members = pd.DataFrame({"kind": 1, "rid": rids[sets["region"]], "a": 0, "b": 0, "grp": sets["set"].map(name)})
+        covered = hit[hit["set"].isin(name.index)].sort_values(["region", "at"], kind="stable")
+        new = (covered["region"].diff() != 0) | (covered["at"].diff() > 1)
+        runs = covered.groupby(new.cumsum()).agg(region=("region", "first"), a=("at", "min"), b=("at", "max"))
+        runs = pd.DataFrame({"kind": 0, "rid": rids[runs["region"]], "a": runs["a"], "b": runs["b"] + span, "grp": 0})
         return pd.concat([members, runs])
 
     return run
 
 
+def _owned(owners: DataFrame, rows: DataFrame, weights: DataFrame, total: int) -> DataFrame:
+    """``rows`` of regions with the texts that own them. Of a region with a large part of all owners, the rows,
+    at most so many as it has places, are broadcast."""
+    hot = weights.filter(F.col("n") * HOT >= total).filter(F.col("n") > HOT).select("rid")
+    if hot.isEmpty():
+        return owners.join(rows, "rid")
+    some = F.broadcast(hot)
+    heavy = owners.join(F.broadcast(rows.join(some, "rid", "left_semi")), "rid")
+    return heavy.unionByName(owners.join(some, "rid", "left_anti").join(rows, "rid"))
+
+
 def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Find all runs of ``span`` or more characters that several different texts have.
 
@@ -128,25 +145,37 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = documents.filter(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key).alias("key"), F.col(text).alias("text"))
     seeded = materialize(_seeded(rows, span), "seeded")
-    members = seeded.select(F.col("key").alias(key), "cls", "n").distinct()
-    seeds = seeded.select(F.explode("seeds").alias("seed"), "cls").repartition("seed").dropDuplicates(["seed", "cls"])
-    often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    shared = materialize(seeds.join(often.hint("shuffle_hash"), "seed", "left_semi"), "shared-seeds")
-    count = shared.count()
+    members = materialize(seeded.select(F.col("key").alias(key), "cls", "n").distinct(), "members")
     reps = seeded.groupBy("cls").agg(F.min("key").alias("key"))
+    seeds = seeded.select(F.explode("seeds").alias("seed"), "cls").dropDuplicates(["seed", "cls"])
+    several = materialize(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several-seeds")
+    figures = several.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    count = figures["total"] or 0
+    hot = (figures["most"] or 0) > HOT and figures["most"] * HOT >= count
+    shared = join_weighted(seeds, several, "seed", "n", count) if hot else seeds.join(several, "seed")
     wanted = materialize(shared.groupBy("cls").agg(F.collect_list("seed").alias("seeds")).join(reps, "cls"), "wanted")
-    regions = _regions(rows, wanted, count <= BROADCAST_ROWS, span).dropDuplicates(["cls", "start", "seed"])
-    buckets = max(1, -(-count * 4 // (3 * BLOCK)))
-    placed = regions.withColumn("bucket", F.pmod(F.xxhash64("seed"), F.lit(buckets)))
-    placed = placed.withColumn("blk", ((F.row_number().over(Window.partitionBy("bucket").orderBy("seed", "cls", "start")) - 1) / BLOCK).cast("int"))
-    placed = materialize(placed.drop("seed"), "regions")
-    last = placed.groupBy("bucket").agg(F.max("blk").alias("last"))
-    cells = F.transform(F.sequence(F.lit(0), "last"), lambda k: F.struct(F.least("blk", k).alias("i"), F.greatest("blk", k).alias("j")))
-    spread = placed.join(last, "bucket").select("bucket", "cls", "start", "region", F.explode(cells).alias("c"))
-    spread = spread.filter("c.i < c.j OR last = 0").select("bucket", "cls", "start", "region", "c.i", "c.j")
-    found = spread.groupBy("bucket", "i", "j").applyInPandas(_search(span), "kind int, cls long, a int, b int, grp long")
+    regions = materialize(_regions(rows, wanted, count <= BROADCAST_ROWS, span).dropDuplicates(["cls", "start", "seed"]), "regions")
+    discard(several, wanted, seeded)
+    owners = regions.select("rid", "cls", "start", F.length("region").alias("length"))
+    kinds = regions.groupBy("rid").agg(F.first("region").alias("region"), F.min("seed").alias("seed"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n"))
+    kinds = materialize(kinds, "different-regions")
+    weights, total = kinds.select("rid", "n"), owners.count()
+    buckets = max(1, -(-kinds.count() * 4 // (3 * BLOCK)))
+    placed = kinds.select("rid", "region", F.when(F.col("low") == F.col("high"), F.col("low")).alias("only"), F.pmod(F.xxhash64("seed"), F.lit(buckets)).alias("bucket"))
+    blocks = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(blocks, "bucket").withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("blk", k).alias("i"), F.greatest("blk", k).alias("j")))
+    spread = placed.select("bucket", "rid", "region", "only", "blocks", F.explode(cells).alias("c"))
+    spread = spread.filter("c.i < c.j OR blocks = 1").select("bucket", "rid", "region", "only", "c.i", "c.j")
+    found = spread.groupBy("bucket", "i", "j").applyInPandas(_search(span), "kind int, rid long, a int, b int, grp long")
     found = materialize(found, "spans")
-    return members, found.filter("kind = 0").select("cls", "a", "b"), found.filter("kind = 1").select("grp", "cls").distinct()
+    alike = kinds.filter("low != high")
+    whole = alike.select("rid", F.lit(0).alias("a"), F.length("region").alias("b"))
+    stretches = found.filter("kind = 0").select("rid", "a", "b").unionByName(whole)
+    intervals = _owned(owners, stretches, weights, total).select("cls", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    named = found.filter("kind = 1").select("grp", "rid").unionByName(alike.select(F.col("rid").alias("grp"), "rid"))
+    sets = materialize(_owned(owners.select("rid", "cls"), named.distinct(), weights, total).select("grp", "cls").distinct(), "span-sets")
+    return members, intervals, sets
 
 
 def sharing_pairs(members: DataFrame, sets: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -168,3 +197,15 @@ def shared_shares(members: DataFrame, intervals: DataFrame, key: str = "doc_id")
     joined = members.join(copies, "cls").join(covered, "cls", "left")
     chars = F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("covered", F.lit(0))).cast("long")
     return joined.select(key, F.col("n").cast("long").alias("n_chars"), chars.alias("shared_chars"), F.round(chars / F.col("n"), 6).alias("share"))
+
+
+def sharing_groups(members: DataFrame, sets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row a key: ``key, cls, links, grp``; ``links`` counts other texts that have a run in common with it,
+    ``grp`` names the connected group. Groups come from each set's links to its least member only."""
+    pairs = materialize(paired(sets, "grp", "cls").select("a", "b").distinct(), "span-links")
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+    counted = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    least = sets.groupBy("grp").agg(F.min("cls").alias("a"))
+    joined = components(sets.join(least, "grp").select("a", F.col("cls").alias("b"))).withColumnsRenamed({"item": "cls", "component": "grp"})
+    out = members.select(key, "cls").join(counted, "cls", "left").join(joined, "cls", "left")
+    return out.select(key, "cls", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("grp", "cls").alias("grp"))

@@ -45,8 +45,10 @@ def test_near_duplicates_like_brute_force(spark, monkeypatch, broadcast_rows):
     assert all(groups[a] == groups[b] for a, b in want) and len(set(groups.values())) > 30
 
 
-def test_versions_inside_a_template_are_all_found(spark):
+@pytest.mark.parametrize("hot", [neardup.HOT, 40])
+def test_versions_inside_a_template_are_all_found(spark, monkeypatch, hot):
     """Half of all texts share a frame, dense nodes in every tree; among them are texts with many versions."""
+    monkeypatch.setattr(neardup, "HOT", hot)
     rng = random.Random(14)
     frame = text(rng, 40)
     rows = [(k, frame + " " + text(rng, 70)) for k in range(150)]
@@ -77,7 +79,8 @@ def test_prefixes_shorten_to_the_recall():
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab\x00é𝒳", min_size=1, max_size=30), min_size=1, max_size=6, unique=True), st.integers(1, 9))
 def test_matching_statistics_like_brute_force(texts, span):
-    which, offset, interval = FMIndex(texts, span).matching_statistics()
+    index = FMIndex(texts, span)
+    which, offset, interval = index.matching_statistics(texts)
     by_interval: dict[int, set] = {}
     seen = {}
     for w, o, i in zip(which.tolist(), offset.tolist(), interval.tolist(), strict=True):
@@ -120,6 +123,30 @@ def test_shared_spans_like_brute_force(spark, monkeypatch, block, broadcast_rows
     assert {tuple(r) for r in spans.sharing_pairs(members, sets).collect()} == pairs and pairs
     shares = {r.doc_id: r.shared_chars for r in spans.shared_shares(members, intervals).collect()}
     assert shares == {k: covered.get(k, 0) for k, t in rows if t and len(t) >= 40}
+    groups = {r.doc_id: r for r in spans.sharing_groups(members, sets).collect()}
+    text_of = dict(rows)
+    for k in groups:
+        linked = {text_of[b if a == k else a] for a, b in pairs if k in (a, b)} - {text_of[k]}
+        assert groups[k].links == len(linked) and all(groups[a].grp == groups[b].grp for a, b in pairs if k in (a, b))
+
+
+def test_passage_that_half_of_all_documents_have(spark, monkeypatch):
+    """A hot region stands once; repeated passages inside one document are not shared."""
+    monkeypatch.setattr(spans, "HOT", 8)
+    rng = random.Random(15)
+    passage, own = text(rng, 30), text(rng, 20)
+    rows = [(k, text(rng, 10) + " " + (passage if k % 2 else text(rng, 30)) + " " + text(rng, 10)) for k in range(80)] + [(90, own + " " + own + " " + own)]
+    members, intervals, sets = spans.shared_spans(spark.createDataFrame(rows, "doc_id long, text string"), span=60)
+    pairs, covered = brute_spans(rows, 60)
+    assert {tuple(r) for r in spans.sharing_pairs(members, sets).collect()} == pairs and len(pairs) >= 780
+    shares = {r.doc_id: r.shared_chars for r in spans.shared_shares(members, intervals).collect()}
+    assert shares == {k: covered.get(k, 0) for k, _ in rows}
+
+
+def test_index_is_small():
+    rng = random.Random(16)
+    texts = [text(rng, 300) for _ in range(40)]
+    assert FMIndex(texts, 200).size() < 1.6 * sum(map(len, texts))
 
 
 def test_shared_spans_of_nothing(spark):
