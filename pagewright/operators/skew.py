@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 HOT = 4096
 
 
-def join_weighted(rows: DataFrame, dim: DataFrame, key: str, weight: str, total: int, hot: int = HOT) -> DataFrame:
+def join_weighted(rows: DataFrame, dim: DataFrame, key: str | list[str], weight: str, total: int, hot: int = HOT) -> DataFrame:
     """Inner join of ``rows`` with ``dim``, one row a ``key``, whose ``weight`` counts the key's rows.
 
     ``total`` is the sum of the weights. Keys with at least ``total / hot`` rows are at most ``hot``
