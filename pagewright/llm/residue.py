@@ -113,7 +113,7 @@ def filler_words(words: list[str]) -> int:
     """
     n = len(words)
     if n < 2:
-        return 0
+        return sum(w in lexicon.FILLER_WORDS and w not in lexicon.ORDINARY_FILLER for w in words)
     held = [w for w in words if w in lexicon.FILLER_WORDS]
     kinds = set(held)
     living = sum(w in _LIVING for w in words)
@@ -140,7 +140,7 @@ def _slots(text: str, found: bool, subject: bool) -> tuple[int, int]:
         parts = _PART.split(name)
         if not any(p in lexicon.FIELD_NAMES for p in parts):
             continue
-        if len(parts) > 1 or m.group(0)[0] in "{_" or m.group(0).startswith("${"):
+        if len(parts) > 1 or m.group(0)[0] in "{_$":
             sure += 1
         else:
             weak += 1
