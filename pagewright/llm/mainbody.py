@@ -31,6 +31,8 @@ _STOP = re.compile(r"[.!?;:,…]")
 
 #: Pages that are Python objects at a time; the rest of a batch stays in Arrow.
 PAGES = 256
+#: Sites whose figures may be broadcast.
+FEW_SITES = 500_000
 #: Words from which a text that is equal but for its numbers is taken for the same text.
 SAME_WORDS = 8
 
@@ -150,7 +152,8 @@ def repeated_keys(features: DataFrame, site_share: float = 0.02, crawl_share: fl
     local = (F.col("titles") >= least) & (F.col("titles") >= F.col("pages") * site_share)
     more, others = F.col("titles") - 1, F.col("pages") - 1
     packed = F.col("loose") & (F.col("titles") >= least) & (more >= others * dense)
-    marked = here.join(per_site, "site").withColumns({"local": local, "packed": packed, "met": F.col("titles") * more, "meetable": F.col("titles") * others})
+    many_sites = per_site.count() > FEW_SITES
+    marked = here.join(per_site if many_sites else F.broadcast(per_site), "site").withColumns({"local": local, "packed": packed, "met": F.col("titles") * more, "meetable": F.col("titles") * others})
     titles = counted.select("key", "title").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("titles"))
     sums = {c: F.sum(c).alias(c) for c in ("rows", "met", "meetable")}
     sites = F.collect_list(F.when(F.col("packed"), F.col("site"))).alias("sites")
@@ -181,8 +184,9 @@ def main_body(page_blocks: DataFrame, pages: DataFrame, threshold: float = 0.3)
     paths = judged.groupBy("docid", "site", "path").agg(
         F.min("place").alias("place"), F.count(F.lit(1)).alias("nodes"), F.sum("chars").alias("chars"), free("chars").alias("free"), free("stops").alias("stops")
     )
-    over_site = paths.groupBy("site", "path").agg(F.sum("chars").alias("s_chars"), F.sum("free").alias("s_free"))
-    paths = paths.join(over_site, ["site", "path"])
+    paths = materialize(paths, "paths")
+    over_site = paths.groupBy("site", "path").agg(F.sum("chars").alias("s_chars"), F.sum("free").alias("s_free"), F.count(F.lit(1)).alias("pages"))
+    paths = join_weighted(paths, materialize(over_site, "site-paths"), ["site", "path"], "pages", paths.count())
     whole = Window.partitionBy("docid")
     near = whole.orderBy("place").rowsBetween(-1, 1)
     purity = (F.col("free") / F.greatest("chars", F.lit(1)) + F.col("s_free") / F.greatest("s_chars", F.lit(1))) / 2
@@ -192,3 +196,31 @@ def main_body(page_blocks: DataFrame, pages: DataFrame, threshold: float = 0.3)
     fused = F.col("pure") * (0.5 + 0.5 * F.sqrt((F.col("length") / most["length"]) * (F.col("marks") / most["marks"])))
     kept = paths.withColumn("ratio", fused).filter(F.col("ratio") >= threshold).select("docid", "path")
     return judged.filter("NOT against").join(kept, ["docid", "path"], "left_semi").select("docid", "block_no")
+
+
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """``docid, block_no, tag, n_links, content`` of every page's visible blocks, for pages that come without such a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["docid", "block_no", "tag", "n_links", "content"], [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        for batch in batches:
+            for k in range(0, batch.num_rows, PAGES):
+                part = batch.slice(k, PAGES).to_pylist()
+                out = [(r["docid"], n, b.tag, b.links, b.text) for r in part for n, b in enumerate(x for x in blocks(r["content"]) if x.tag != "title")]
+                columns = zip(*out, strict=True) if out else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names)
+
+    chosen = pages.filter("docid IS NOT NULL").select("docid", "content")
+    return chosen.mapInArrow(run, "docid long, block_no int, tag string, n_links int, content string")
+
+
+def bodies(pages: DataFrame) -> DataFrame:
+    """``docid, body``: the main body of every page ``docid, url, content``, out of its HTML alone.
+
+    Its blocks are joined by line ends in page order; of pages that came several times the blocks of
+    each number are taken once. Pages without a main body have no row.
+    """
+    cut = materialize(html_blocks(pages).dropDuplicates(["docid", "block_no"]), "html-blocks")
+    kept = cut.join(main_body(cut, pages), ["docid", "block_no"], "left_semi")
+    ordered = F.sort_array(F.collect_list(F.struct("block_no", "content")))
+    return kept.groupBy("docid").agg(F.array_join(F.transform(ordered, lambda b: b["content"]), "\n").alias("body"))

@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return mainbody.main_body(table(spark, directory, "page_blocks"), spread(spark, directory, "pages"))
 
 
+def p1_bodies(spark: SparkSession, directory: str) -> DataFrame:
+    """The main body of every page, from its HTML alone."""
+    return mainbody.bodies(spread(spark, directory, "pages"))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pages that are mainly repeated keywords or bare links."""
     return stuffing.stuffed_pages(spread(spark, directory, "pages"), table(spark, directory, "doclinks")).filter("stuffed").select("docid")
@@ -111,6 +116,7 @@ def p10_groups(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
+    "p1_bodies": p1_bodies,
     "p2_found": p2_found,
     "p2_link_profile": p2_link_profile,
     "p3_found": p3_found,

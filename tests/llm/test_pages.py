@@ -117,6 +117,13 @@ def test_main_body(spark):
     assert mainbody.main_body(table.limit(0), source.limit(0)).count() == 0
 
 
+def test_bodies_from_html_alone(spark):
+    html = {k: site_page(k) for k in range(12)}
+    source = spark.createDataFrame([(k, f"http://host{k % 2}.test/p{k}", c) for k, c in html.items()] + [(0, "http://host0.test/p0", html[0]), (50, "http://host0.test/x", None)], "docid long, url string, content string")
+    got = {r.docid: r.body.split("\n") for r in mainbody.bodies(source).collect()}
+    assert got == {k: [b.text for b in markup.blocks(c) if "post" in b.path] for k, c in html.items()}
+
+
 def test_main_body_keeps_short_texts_alike_but_for_numbers(spark):
     """Rooms on pages of many sites are main body; a line with a number that stands on a site's pages is not."""
     html = {}
