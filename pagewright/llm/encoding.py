@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.batches import pieces
-from pagewright.plans.materialize import materialize
+from pagewright.operators.skew import HOT, join_weighted
+from pagewright.plans.materialize import discard, materialize
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which the vocabulary's texts are first parted.
@@ -30,6 +31,9 @@ _WINDOW = 16
 #: Bytes of spliced ids up to which they are broadcast to the texts; more are shuffled.
 BROADCAST_BYTES = 64 << 20
 
+#: Encoded texts that a task remembers for their copies.
+COPIES = 256
+
 _LOADED: dict[str, tuple] = {}
 
 
@@ -132,13 +136,32 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
-def shared_chunks(texts: DataFrame) -> DataFrame:
-    """``h, g, tid, start, stop`` of every chunk that several places have; h and g are its 128-bit hash."""
+def _by_chunk(rows: DataFrame, dim: DataFrame, times: DataFrame) -> DataFrame:
+    """``rows`` of chunks joined with ``dim``, one row a chunk; a chunk in a large part of all rows has its row broadcast.
+
+    ``times`` has how often each chunk stands in ``rows``.
+    """
+    figures = times.agg(F.sum("times").alias("total"), F.max("times").alias("most")).first()
+    total, most = figures["total"] or 0, figures["most"] or 0
+    if most <= HOT or most * HOT < total:
+        return rows.join(dim, ["h", "g"])
+    return join_weighted(rows, dim.join(times, ["h", "g"]), ["h", "g"], "times", total).drop("times")
+
+
+def shared_chunks(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``h, g, tid, start, stop`` of every chunk that several places have, and ``h, g, times``; h and g are its 128-bit hash.
+
+    A text that a task has met before is not cut again.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[str] = set()
         for batch in pieces(batches):
             rows = []
             for tid, text in zip(batch["tid"], batch["text"], strict=True):
+                if tid in met:
+                    continue
+                met.add(tid)
                 last = 0
                 for end in chunk_ends(text):
                     d = xxhash.xxh3_128_intdigest(text[last:end].encode("utf-8", "surrogatepass"))
@@ -147,8 +170,10 @@ def shared_chunks(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["h", "g", "tid", "start", "stop"])
 
     chunks = materialize(texts.mapInPandas(run, "h long, g long, tid string, start int, stop int"), "chunks")
-    often = chunks.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h", "g")
-    return materialize(chunks.join(often, ["h", "g"]), "shared-chunks")
+    often = materialize(chunks.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "often")
+    shared = materialize(_by_chunk(chunks, often.select("h", "g"), often), "shared-chunks")
+    discard(chunks)
+    return shared, often
 
 
 def _with_text(texts: DataFrame, lists: DataFrame, how: str, size: int) -> DataFrame:
@@ -163,7 +188,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.md5(F.col(text)).alias("tid"))
     filled = rows.filter(F.length("text") > 0)
-    shared = shared_chunks(filled.select("tid", "text"))
+    shared, often = shared_chunks(filled.select("tid", "text"))
     owner = F.min(F.struct("tid", "start", "stop")).alias("o")
     owners = shared.groupBy("h", "g").agg(owner).groupBy("o.tid").agg(F.collect_list(F.struct("h", "g", "o.start", "o.stop")).alias("spans"))
     owners = materialize(owners, "owners")
@@ -179,25 +204,31 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     encoded = _with_text(filled, owners, "inner", owned).mapInPandas(encode_owned, "h long, g long, ids binary")
     encoded = materialize(encoded.dropDuplicates(["h", "g"]), "encoded-chunks")
-    places = shared.select("h", "g", "tid", "start", "stop").distinct().join(encoded, ["h", "g"])
+    places = _by_chunk(shared.select("h", "g", "tid", "start", "stop"), encoded, often).dropDuplicates(["tid", "start"])
     known = materialize(places.groupBy("tid").agg(F.collect_list(F.struct("start", "stop", "ids")).alias("known")), "known")
     weight = known.agg(F.sum(F.aggregate("known", F.lit(0).cast("long"), lambda acc, k: acc + F.length(k["ids"]) + 24))).first()[0] or 0
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, widths = tokenizer(path)
+        done: dict[str, list[int]] = {}
         for batch in pieces(batches):
             ids = []
-            for content, given in zip(batch["text"], batch["known"], strict=True):
+            for tid, content, given in zip(batch["tid"], batch["text"], batch["known"], strict=True):
                 if not content:
                     ids.append([])
+                elif tid in done:
+                    ids.append(done[tid])
                 elif given is None:
                     ids.append(encoder.encode_ordinary(content))
                 else:
                     ids.append(encode_spliced(content, [(k["start"], k["stop"], np.frombuffer(k["ids"], dtype="<i4")) for k in given], encoder, widths))
+                    if len(done) >= COPIES:
+                        done.clear()
+                    done[tid] = ids[-1]
             yield pd.DataFrame({"key": batch["key"], "ids": ids})
 
     kind = documents.schema[key].dataType.simpleString()
-    out = _with_text(rows, known, "left", weight).select("key", "text", "known").mapInPandas(encode, f"key {kind}, ids array<int>")
+    out = _with_text(rows, known, "left", weight).select("key", "tid", "text", "known").mapInPandas(encode, f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)
 
 
