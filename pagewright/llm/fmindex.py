@@ -54,34 +54,53 @@ def _ahead(values: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their keys, and each position's rank from 1, equal for equal keys."""
-    order = np.argsort(key, kind="stable" if len(key) < 64 else None)
-    ranked = key[order]
-    rank = np.empty(len(key), dtype=np.int64)
-    rank[order] = np.concatenate([[1], 1 + np.cumsum(ranked[1:] != ranked[:-1])])
-    return order, rank
+def _starts(ranked: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For sorted keys whose places in the order are ``at``, the place at which each one's run of equal keys starts."""
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    return at[np.flatnonzero(new)[np.cumsum(new) - 1]]
 
 
 def suffix_order(codes: np.ndarray, span: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions ordered by their first ``span + 1`` codes at least, and which of them begin a new run of ``span`` codes.
 
-    By prefix doubling, whose ranks are exact. What the first ``span`` codes are is told by the ranks of two
-    overlapping stretches of the longest doubled length below that.
+    By prefix doubling, whose ranks (the place at which a run of equal prefixes starts) are exact; positions
+    that are alone under their rank are not sorted again. What the first ``span`` codes are is told by the
+    ranks of two overlapping stretches of the longest doubled length below that.
     """
     n = len(codes)
     length = max(1, min(62 // bits, span))
     key = np.zeros(n, dtype=np.int64)
     for k in range(length):
         key = key << bits | _ahead(codes, k)
-    order, rank = _ranks(key)
+    order = np.argsort(key)
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = _starts(key[order], np.arange(n)) + 1
+
+    def refined(by: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the order that are not alone, their positions sorted by the rank ``by`` places on too, and their new ranks."""
+        ranked = rank[order]
+        same = ranked[1:] == ranked[:-1]
+        at = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        places = order[at]
+        ahead = places + by
+        keys = rank[places] << 31 | np.where(ahead < n, rank[np.minimum(ahead, n - 1)], 0)
+        chosen = np.argsort(keys)
+        return at, places[chosen], (_starts(keys[chosen], at) + 1 if len(at) else at)
+
     equal = None
     while True:
         if equal is None and 2 * length >= span:
-            equal = _ranks(rank << 31 | _ahead(rank, span - length))[1]
+            equal = rank.copy()
+            _, places, ranks = refined(span - length)
+            equal[places] = ranks
         if length > span:
             break
-        order, rank = _ranks(rank << 31 | _ahead(rank, length))
+        at, places, ranks = refined(length)
+        if not len(at):
+            equal = rank if equal is None else equal
+            break
+        order[at] = places
+        rank[places] = ranks
         length *= 2
     told = equal[order]
     return order, np.concatenate([[True], told[1:] != told[:-1]])
