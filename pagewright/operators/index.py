@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import hashing, text
+from pagewright.functions.html_parser import parsed
 from pagewright.operators import dedup
 from pagewright.params import COMPAT, IMPORTANT_TAGS, Params
 from pagewright.plans.materialize import materialize
@@ -16,7 +17,8 @@ from pagewright.plans.materialize import materialize
 def token_counts(pages: DataFrame, params: Params = COMPAT) -> DataFrame:
     """``docid, word, tf``: how often each unstemmed token stands in a page; ``compat`` glues the text of
     adjacent elements together."""
-    visible = text.html_text(F.col("content"), "" if params.compat else " ")
+    gap = "" if params.compat else " "
+    visible = parsed(F.col("content"), F.col("url"), gap)["text"] if params.parser else text.html_text(F.col("content"), gap)
     words = pages.select("docid", F.explode(text.tokens(visible)).alias("word"))
     return words.groupBy("docid", "word").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
@@ -40,15 +42,16 @@ def stemmed_counts(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return joined.groupBy("docid", "token").agg(F.sum("tf").cast("int").alias("tf"))
 
 
-def important_ranks(pages: DataFrame) -> DataFrame:
+def important_ranks(pages: DataFrame, params: Params = COMPAT) -> DataFrame:
     """``docid, token, important``: the least tag rank under which a stem stands, an element's text
     belonging to the first of the tags only."""
-    content = text.without_hidden(F.col("content"))
-    parts = pages.select("docid", content.alias("content"))
-    found = []
-    for rank, tag in enumerate(IMPORTANT_TAGS, 1):
-        found.append(F.struct(F.lit(rank).cast("tinyint").alias("rank"), text.important_text(F.col("content"), tag).alias("part")))
-    rows = parts.select("docid", F.explode(F.array(*found)).alias("p")).select("docid", "p.rank", F.explode(text.tokens(F.col("p.part"))).alias("word"))
+    if params.parser:
+        parts = pages.select("docid", F.explode(parsed(F.col("content"), F.col("url"), " ")["important"]).alias("p")).select("docid", "p.rank", F.col("p.text").alias("part"))
+    else:
+        shown = pages.select("docid", text.without_hidden(F.col("content")).alias("content"))
+        found = [F.struct(F.lit(rank).cast("tinyint").alias("rank"), text.important_text(F.col("content"), tag).alias("part")) for rank, tag in enumerate(IMPORTANT_TAGS, 1)]
+        parts = shown.select("docid", F.explode(F.array(*found)).alias("p")).select("docid", "p.rank", "p.part")
+    rows = parts.select("docid", "rank", F.explode(text.tokens(F.col("part"))).alias("word"))
     ranked = rows.groupBy("docid", "word").agg(F.min("rank").alias("rank"))
     stems = text.stemmed(ranked.select("word").distinct(), "word", "token")
     return ranked.join(stems, "word").groupBy("docid", "token").agg(F.min("rank").alias("important"))
@@ -56,6 +59,8 @@ def important_ranks(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame, params: Params = COMPAT) -> DataFrame:
     """Distinct ``src, dst_url`` of the pages' links, resolved and without fragment."""
+    if params.parser:
+        return pages.select(F.col("docid").alias("src"), F.explode(parsed(F.col("content"), F.col("url"))["links"]).alias("dst_url")).distinct()
     found = pages.select("docid", "url", F.explode(text.hrefs(F.col("content"), keep_important=not params.compat)).alias("href"))
     target = text.defrag(text.resolved(F.col("url"), text.decoded(F.col("href"))))
     return found.select(F.col("docid").alias("src"), target.alias("dst_url")).distinct()
@@ -95,7 +100,7 @@ def build(pages: DataFrame, params: Params = COMPAT, write: bool = True) -> Inde
     if params.compat:
         postings = bags.withColumn("important", important)
     else:
-        postings = bags.join(important_ranks(kept_pages), ["docid", "token"], "left").withColumn("important", F.coalesce("important", important))
+        postings = bags.join(important_ranks(kept_pages, params), ["docid", "token"], "left").withColumn("important", F.coalesce("important", important))
     postings = postings.select(text.bucket(F.col("token")).alias("bid"), "token", "docid", "tf", "important")
     totals = bags.groupBy("docid").agg(F.count(F.lit(1)).cast("int").alias("total_tokens"))
     one = F.lit(1.0).cast("float")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that count as hot; as their weights add up to the total, no more than this many can be.
@@ -26,3 +26,8 @@ def join_weighted(rows: DataFrame, dim: DataFrame, key: str | list[str], weight:
 def keyed_counts(rows: DataFrame, key: str, weight: str) -> DataFrame:
     """Rows of each non-null key, counted before the shuffle."""
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(weight))
+
+
+def partitions_for(spark: SparkSession, rows: int, each: int = 2_000_000) -> int:
+    """How many partitions so many small rows are shuffled to by hand: the session's number, or more where each would hold too many."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Multiplier of a posting by the rank of its tag (0 untagged, 1 title, 2-5 h1-h4, 6 b,
 # 7 strong, 8 mark).
@@ -35,7 +35,8 @@ class Params:
     tolerance: float = 1e-6
     hamming: int = 3
     window: int = 200
-    extras: dict = field(default_factory=dict, compare=False)
+    #: Read HTML with the full parser instead of regular expressions.
+    parser: bool = False
 
     def __post_init__(self) -> None:
         if self.profile not in ("compat", "intended"):

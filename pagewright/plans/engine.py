@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import hashing, text
-from pagewright.operators import dedup, graph, search, summary
+from pagewright.operators import dedup, graph, incremental, search, summary
 from pagewright.operators import index as ix
 from pagewright.params import COMPAT
 from pagewright.plans.materialize import materialize, new_path
@@ -85,6 +85,15 @@ def scan_pages(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("docid", "url", F.octet_length("content").alias("n_bytes"))
 
 
+@query
+def scan_json(spark: SparkSession, directory: str) -> DataFrame:
+    """The pages as a folder of JSON files, one a page, scanned again: docids count the files by path."""
+    folder = new_path(spark, "json-pages")
+    rows = source.delivered(table(spark, directory, "pages")).select("url", "content")
+    rows.write.option("maxRecordsPerFile", 1).json(folder)
+    return source.scan_json(spark, folder).select("url", F.md5("content").alias("content_md5"))
+
+
 @query
 def clean_pages(spark: SparkSession, directory: str) -> DataFrame:
     return _clean(spark, directory).select("docid", "url", "content")
@@ -212,6 +221,28 @@ def built_postings(spark: SparkSession, directory: str) -> DataFrame:
     return ix.build(_clean(spark, directory)).postings.withColumn("important", F.col("important").cast("int"))
 
 
+def _in_batches(spark: SparkSession, directory: str) -> str:
+    """An index folder to which the earlier half of all pages was appended, then all of them, of which the half is skipped."""
+    pages, folder = materialize(_clean(spark, directory), "pages"), new_path(spark, "batches")
+    middle = (pages.agg(F.max("docid")).first()[0] or 0) // 2
+    incremental.append(pages.filter(F.col("docid") <= middle), folder, 0)
+    incremental.append(pages, folder, 1)
+    return folder
+
+
+@query
+def batched_postings(spark: SparkSession, directory: str) -> DataFrame:
+    """The postings of an index built in two batches: those of one build."""
+    stored = incremental.load(spark, _in_batches(spark, directory)).postings
+    return stored.select("bid", "token", "docid", "tf", F.col("important").cast("int").alias("important"))
+
+
+@query
+def resume_point(spark: SparkSession, directory: str) -> DataFrame:
+    """Where indexing goes on after the batches so far."""
+    return spark.createDataFrame([(incremental.last_docid(spark, _in_batches(spark, directory)),)], "last_docid long")
+
+
 @query
 def docinfo_dense(spark: SparkSession, directory: str) -> DataFrame:
     return ix.dense(ix.documents(table(spark, directory, "docinfo")))

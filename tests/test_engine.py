@@ -183,3 +183,53 @@ def test_same_result_for_any_number_of_partitions(spark):
         out.append([tuple(r) for r in search.ranked(search.scores(pruned_, opened)).select("rank", "docid", F.round("score", 9)).orderBy("rank").collect()])
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1]
+
+
+PAGES = [
+    (1, "http://h.test/1", "<title>Ferry times</title><p>The ferry leaves at noon. <a href='/2'>More</a></p>"),
+    (2, "http://h.test/2", "<h1>Harbour</h1><p>A harbour with a ferry &amp; boats, zebra of zinc</p><a href='../1#x'>back</a>"),
+    (3, "http://h.test/3", "<b>Ferry</b><p>the ferry again; <i>harbour</i> lights of zebra</p>"),
+]
+
+
+def built(spark, params):
+    return index.build(spark.createDataFrame(PAGES, "docid long, url string, content string"), params)
+
+
+@pytest.mark.parametrize("parser", [False, True])
+def test_saved_index_answers_like_tables(spark, tmp_path, parser):
+    """Saved buckets are pruned, frequencies come from their own table; both ways of reading HTML find the same."""
+    params = Params(profile="intended", parser=parser)
+    made, folder = built(spark, params), str(tmp_path / "ix")
+    index.save(made, folder)
+    asked = spark.createDataFrame([(1, "ferry harbour"), (2, "zebra"), (3, "nothing here"), (4, None)], "query_id long, query string")
+    rows = lambda opened: sorted(tuple(r) for r in search.search(asked, opened, 5).collect())
+    saved = rows(search.open_saved(spark, folder, params))
+    assert saved == rows(search.open_index(made.postings, made.docinfo, params))
+    assert {r[0] for r in saved} == {1, 2} and sorted(r[2] for r in saved if r[0] == 1) == [2, 3]
+    important = {(r.token, r.docid): r.important for r in made.postings.filter("important > 0").collect()}
+    assert important["ferri", 1] == 1 and important["harbour", 2] == 2 and important["ferri", 3] == 6
+    assert {tuple(r) for r in made.doclinks.collect()} == {(1, "http://h.test/2"), (2, "http://h.test/1")}
+    plan = index.lookup(index.load(spark, folder).postings, spark.createDataFrame([("zebra",)], "token string"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bid" in plan or "bid#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert index.stored_kilobytes(spark, folder) > 1
+
+
+def test_statistics_count_empty_documents(spark):
+    docs = spark.createDataFrame([(1, 5), (2, 0), (4, None), (4, None)], "docid long, total_tokens int")
+    postings = spark.createDataFrame([("a", 1), ("b", 1), ("a", 4)], "token string, docid long")
+    row = index.statistics(docs, postings).first()
+    assert (row.last_docid, row.n_docs, row.n_empty, row.n_nonempty, row.n_tokens) == (4, 3, 2, 1, 2)
+
+
+def test_one_query_with_most_matches(spark):
+    """Full rankings are numbered range by range; they agree with one window."""
+    rows = [(1 if k % 3 else 2, k, f"u{k}", round((k * 37 % 11) / 10, 2)) for k in range(600)]
+    scored = spark.createDataFrame(rows, "query_id long, docid long, url string, score double")
+    got = {(r.query_id, r.docid): r["rank"] for r in search.ranked(scored).collect()}
+    want = {}
+    for q in (1, 2):
+        for n, (_, d, *_) in enumerate(sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1])), 1):
+            want[q, d] = n
+    assert got == want
+    assert {k: v for k, v in want.items() if v <= 4} == {(r.query_id, r.docid): r["rank"] for r in search.ranked(scored, 4).collect()}

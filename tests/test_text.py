@@ -97,3 +97,17 @@ def test_tokens_do_not_depend_on_white_space_around(spark, parts):
     rows = df.select(text.tokens(F.col("x")).alias("a"), text.tokens(F.concat(F.lit(" \n"), F.col("x"))).alias("b")).collect()
     quoteless = [r for r, p in zip(rows, parts, strict=True) if "'" not in p]
     assert all(r.a == r.b for r in quoteless)
+
+
+def test_any_number_of_dot_segments(spark):
+    bases = ["http://h.test/a/b/c/d/e/f/g.html", "http://h.test", "http://h.test/x/?q=/../y"]
+    hrefs = ["../" * k + end for k in range(9) for end in ("", "z", "z/./y", "z/../..", ".")] + ["/a/../../b", "/./..", "a/b/../c?x=../y", "..", "//n.test/a/../b", "a//../b"]
+    rows = [(b, h) for b in bases for h in hrefs if h]
+    got = {(r.b, r.h): r.u for r in spark.createDataFrame(rows, "b string, h string").select("b", "h", text.resolved(F.col("b"), F.col("h")).alias("u")).collect()}
+    assert got == {(b, h): urllib.parse.urljoin(b, h) for b, h in rows}
+
+
+def test_flat_ngrams(spark):
+    rows = spark.createDataFrame([(1, "One two, three"), (2, "x"), (3, "")], "k int, t string")
+    got = {r.k: r.f for r in text.with_flat_ngrams(rows, "t", 3, "f").collect()}
+    assert got == {1: ["one", "two", ",", "three", "one two", "two,", ", three", "one two,", "two, three"], 2: ["x"], 3: []}
