@@ -7,12 +7,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from pagewright.functions import hashing
 from pagewright.operators import dedup, index
 from pagewright.params import COMPAT, Params
-from pagewright.plans.materialize import materialize
+from pagewright.plans.materialize import exists, materialize
 
 VERSION = 1
 REGISTERED = T.StructType(
@@ -30,10 +29,7 @@ MANIFEST = T.StructType([T.StructField(n, T.LongType()) for n in ("version", "la
 
 
 def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def last_docid(spark: SparkSession, folder: str) -> int:

@@ -239,8 +239,11 @@ def batched_postings(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def resume_point(spark: SparkSession, directory: str) -> DataFrame:
-    """Where indexing goes on after the batches so far."""
-    return spark.createDataFrame([(incremental.last_docid(spark, _in_batches(spark, directory)),)], "last_docid long")
+    """Where indexing goes on after a first batch, the earlier half of all pages."""
+    pages, folder = materialize(_clean(spark, directory), "pages"), new_path(spark, "batches")
+    middle = (pages.agg(F.max("docid")).first()[0] or 0) // 2
+    incremental.append(pages.filter(F.col("docid") <= middle), folder, 0)
+    return spark.createDataFrame([(incremental.last_docid(spark, folder),)], "last_docid long")
 
 
 @query

@@ -266,7 +266,7 @@ ORACLE: dict[str, str] = {
     "docinfo": f"{BUILT} SELECT docid, CAST(coalesce(n, 0) AS INT) AS total_tokens, 1.0::FLOAT AS pr_quality, 1.0::FLOAT AS hub_quality, 1.0::FLOAT AS auth_quality, split_part(url, '#', 1) AS url FROM e JOIN kept USING (docid) LEFT JOIN (SELECT docid, count(*) AS n FROM b GROUP BY docid) USING (docid)",
     "built_postings": f"{BUILT} SELECT {_BUCKET} AS bid, token, docid, tf, 0 AS important FROM b",
     "batched_postings": f"{BUILT} SELECT {_BUCKET} AS bid, token, docid, tf, 0 AS important FROM b",
-    "resume_point": f"WITH {CLEAN} SELECT max(docid) AS last_docid FROM c",
+    "resume_point": f"WITH {CLEAN} SELECT max(docid) AS last_docid FROM c WHERE docid <= (SELECT max(docid) // 2 FROM c)",
     "docinfo_dense": f"WITH {DOCS}, {NODES} SELECT docid, coalesce(total_tokens, 0) AS total_tokens, {', '.join(f'coalesce({c}, 1.0::FLOAT) AS {c}' for c in _QUALITIES)}, coalesce(url, '') AS url, docs.total_tokens IS NULL AND docs.url IS NULL AS empty FROM nodes LEFT JOIN docs USING (docid)",
     "doclinks": "SELECT DISTINCT src, dst_url FROM doclinks WHERE src IS NOT NULL AND dst_url IS NOT NULL",
     "postings_bucketed": f"WITH {POSTINGS} SELECT {_BUCKET} AS bid, count(*) AS n, count(DISTINCT token) AS n_tokens, min(token) AS first, max(token) AS last FROM p GROUP BY 1",
