@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from pagewright.operators.skew import join_weighted
+from pagewright.operators.skew import join_weighted, partitions_for
 from pagewright.plans.materialize import materialize
 
 
@@ -16,8 +17,8 @@ HOT_RECORDS = 256
 _SALTS = 64
 
 
-def term_frequencies(postings: DataFrame, record: str = "docid", term: str = "token", count: str = "tf") -> DataFrame:
-    """``record, term, tf, n``: a record's count of each term and its total.
+def term_frequencies(postings: DataFrame, record: str = "docid", term: str = "token", count: str = "tf") -> tuple[DataFrame, int]:
+    """``record, term, tf, n``: a record's count of each term and its total; and the number of records.
 
     Repeated rows count once, several different rows of a term in a record are added. Rows with a
     null record, term or count, or a count below 1, are left out. One shuffle, by record. Records that
@@ -26,8 +27,10 @@ def term_frequencies(postings: DataFrame, record: str = "docid", term: str = "to
     """
     columns = [record, term, count, *(c for c in ("bid", "important") if c in postings.columns)]
     valid = postings.select(*columns).filter(f"`{record}` IS NOT NULL AND `{term}` IS NOT NULL AND `{count}` > 0")
-    least = postings.count() / HOT_RECORDS
-    rows = valid.groupBy(record).agg(F.count(F.lit(1)).alias("rows"))
+    total = postings.count()
+    least = total / HOT_RECORDS
+    rows = materialize(valid.groupBy(record).agg(F.count(F.lit(1)).alias("rows")), "record-rows")
+    records = rows.count()
     hot = [r[0] for r in rows.filter((F.col("rows") >= least) & (F.col("rows") >= HOT_RECORDS)).select(record).collect()]
     place = ["record"]
     valid = valid.withColumnsRenamed({record: "record", term: "term", count: "tf"})
@@ -36,13 +39,47 @@ def term_frequencies(postings: DataFrame, record: str = "docid", term: str = "to
         valid = valid.filter(~is_hot).unionByName(valid.filter(is_hot).dropDuplicates())
         valid = valid.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("term"), F.lit(_SALTS))).otherwise(F.lit(0)))
         place = ["record", "_salt"]
-    once = valid.repartition(*place).dropDuplicates()
+    once = valid.repartition(partitions_for(postings.sparkSession, total), *place).dropDuplicates()
     summed = once.groupBy(*place, "term").agg(F.sum("tf").alias("tf"))
     totalled = summed.withColumn("n", F.sum("tf").over(Window.partitionBy(*place)))
     if hot:
         whole = summed.filter(F.col("record").isin(hot)).groupBy("record").agg(F.sum("tf").alias("_n"))
         totalled = totalled.join(F.broadcast(whole), "record", "left").withColumn("n", F.coalesce("_n", "n"))
-    return totalled.select("record", "term", "tf", "n")
+    return totalled.select("record", "term", "tf", "n"), records
+
+
+@dataclass(frozen=True)
+class Collection:
+    """A collection's counts: ``tf`` (record, term, tf, n), ``terms`` (term, all_tf, df) and its totals."""
+
+    tf: DataFrame
+    terms: DataFrame
+    rows: int
+    records: int
+    everything: int
+    largest: int
+
+
+def collection(postings: DataFrame, record: str = "docid", term: str = "token", count: str = "tf") -> Collection:
+    """Count a collection once; both tables are written."""
+    tf, records = term_frequencies(postings, record, term, count)
+    seen = Observation()
+    figures = [F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("everything"), F.max("n").alias("largest")]
+    tf = materialize(tf.observe(seen, *figures), "term-frequencies")
+    terms = materialize(tf.groupBy("term").agg(F.sum("tf").alias("all_tf"), F.count(F.lit(1)).alias("df")), "terms")
+    known = seen.get
+    return Collection(tf, terms, known["rows"], records, int(known["everything"] or 0), int(known["largest"] or 0))
+
+
+def _scored(c: Collection, prior: float) -> DataFrame:
+    joined = join_weighted(c.tf, c.terms, "term", "df", c.rows)
+    y, n, rest = F.col("tf").cast("double"), F.col("n").cast("double"), (F.col("all_tf") - F.col("tf")).cast("double")
+    a = F.col("all_tf") * F.lit(prior) / F.lit(float(max(c.everything, 1)))
+    here = F.try_divide(y + a, n + prior - y - a)
+    there = F.try_divide(rest + a, F.lit(float(c.everything)) - n + prior - rest - a)
+    error = F.sqrt(F.lit(1.0) / (y + a) + F.lit(1.0) / (rest + a))
+    odds = F.when((here > 0) & (there > 0), (F.ln(here) - F.ln(there)) / error)
+    return joined.select("record", "term", "tf", "n", "df", F.lit(c.records).cast("long").alias("records"), odds.alias("z"))
 
 
 def distinctive_terms(postings: DataFrame, record: str = "docid", term: str = "token", count: str = "tf", prior: float | None = None) -> DataFrame:
@@ -50,24 +87,12 @@ def distinctive_terms(postings: DataFrame, record: str = "docid", term: str = "t
 
     Log-odds ratio of the record versus all other records, with a Dirichlet prior proportional to
     the collection's counts, divided by its standard error. Columns: ``record, term, tf, n`` (the
-    record's total), ``df`` (records with the term), ``records`` (records in all), ``all_tf`` (the term's
-    count in all records), ``z``. ``prior``
+    record's total), ``df`` (records with the term), ``records`` (records in all), ``z``. ``prior``
     is the prior's total weight, by default the mean record length. A collection of one record or
     one term, where no odds exist, has null ``z``. An empty table gives no rows.
     """
-    tf = materialize(term_frequencies(postings, record, term, count), "term-frequencies")
-    stats = tf.agg(F.sum("tf").alias("all"), F.count(F.lit(1)).alias("rows")).first()
-    everything, rows, records = int(stats["all"] or 0), int(stats["rows"]), tf.select("record").distinct().count()
-    a0 = prior if prior is not None else everything / max(records, 1)
-    terms = tf.groupBy("term").agg(F.sum("tf").alias("all_tf"), F.count(F.lit(1)).alias("df"))
-    joined = join_weighted(tf, terms, "term", "df", rows)
-    y, n, rest = F.col("tf").cast("double"), F.col("n").cast("double"), (F.col("all_tf") - F.col("tf")).cast("double")
-    a = F.col("all_tf") * F.lit(a0) / F.lit(float(max(everything, 1)))
-    here = F.try_divide(y + a, n + a0 - y - a)
-    there = F.try_divide(rest + a, F.lit(float(everything)) - n + a0 - rest - a)
-    error = F.sqrt(F.lit(1.0) / (y + a) + F.lit(1.0) / (rest + a))
-    odds = F.when((here > 0) & (there > 0), (F.ln(here) - F.ln(there)) / error)
-    return joined.select("record", "term", "tf", "n", "df", F.lit(records).cast("long").alias("records"), "all_tf", odds.alias("z"))
+    c = collection(postings, record, term, count)
+    return _scored(c, prior if prior is not None else c.everything / max(c.records, 1))
 
 
 def least_z(share: float, heaviest: int, largest: int, everything: int, prior: float) -> float:
@@ -86,22 +111,21 @@ def least_z(share: float, heaviest: int, largest: int, everything: int, prior: f
     return gap / math.sqrt(2) if gap >= 0 else gap / math.sqrt(2 / weight)
 
 
-def found(scored: DataFrame, share_percent: int = 3, least_df: int = 2, most_df: int = 12, df_percent: int = 5) -> DataFrame:
-    """Terms that fill a record and are rare in the collection, as ``docid, token``.
+def filling_terms(
+    postings: DataFrame, record: str = "docid", term: str = "token", count: str = "tf", share_percent: int = 3, least_df: int = 2, most_df: int = 12, df_percent: int = 5
+) -> DataFrame:
+    """Terms that fill a record and are rare in the collection, as ``record, term``.
 
-    Terms are candidates by their z-score: it must reach the bound that the criterion implies for this
-    collection (:func:`least_z`). Shares and numbers of records are then checked exactly. ``scored`` must
-    have been made with the default prior.
+    Every term of every record gets its z-score; candidates are those whose score reaches the bound that
+    the criterion implies for this collection (:func:`least_z`). They are written, then their shares and
+    numbers of records are checked exactly. See :func:`term_frequencies` for rows that do not count.
     """
     if least_df < 2:
         raise ValueError("a term of one record has no rest to be compared with")
-    scored = materialize(scored, "scored")
-    rare = F.col("df").between(least_df, most_df) & (F.col("df") * 100 <= F.col("records") * df_percent)
-    stats = scored.agg(F.sum("tf").alias("everything"), F.max("n").alias("largest"), F.max("records").alias("records"), F.max(F.when(rare, F.col("all_tf"))).alias("heaviest")).first()
-    bound = -math.inf
-    if stats["heaviest"]:
-        everything = int(stats["everything"])
-        bound = least_z(share_percent / 100, int(stats["heaviest"]), int(stats["largest"]), everything, everything / stats["records"])
-    likely = scored.filter(F.col("z") >= bound - 1e-9)
+    c = collection(postings, record, term, count)
+    rare = F.col("df").between(least_df, most_df) & (F.col("df") * 100 <= F.lit(c.records) * df_percent)
+    heaviest, prior = c.terms.filter(rare).agg(F.max("all_tf")).first()[0], c.everything / max(c.records, 1)
+    bound = least_z(share_percent / 100, int(heaviest), c.largest, c.everything, prior) if heaviest else -math.inf
+    likely = materialize(_scored(c, prior).filter(F.col("z") >= bound - 1e-9), "likely-terms")
     fills = F.col("tf") * 100 >= F.col("n") * share_percent
-    return likely.filter(fills & rare).select(F.col("record").alias("docid"), F.col("term").alias("token"))
+    return likely.filter(fills & rare).select(F.col("record").alias(record), F.col("term").alias(term))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.batches import pieces
 from pagewright.llm.markup import visible_text
 from pagewright.operators.groups import BLOCK, components, paired
-from pagewright.operators.skew import HOT, join_weighted
+from pagewright.operators.skew import HOT, join_weighted, partitions_for
 from pagewright.plans.materialize import discard, materialize
 
 WORD = re.compile(r"\w+")
@@ -239,7 +239,7 @@ def forest_candidates(labels: DataFrame, forest: Forest, threshold: float, recal
     rows = rows.select(top.alias("node"), "at", rest.alias("rest"))
     hot = _hot_nodes(rows, total)
     cold = rows if hot is None else rows.join(F.broadcast(hot.select("node")), "node", "left_anti")
-    parted = cold.repartition("node")
+    parted = cold.repartition(partitions_for(labels.sparkSession, total), "node")
     sizes = parted.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = parted.join(sizes.hint("shuffle_hash"), "node").withColumn("hot", F.lit(False))
     if hot is not None:

@@ -54,7 +54,7 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     """Tokens that fill a record and are rare in the collection."""
-    return distinctive.found(distinctive.distinctive_terms(table(spark, directory, "postings")))
+    return distinctive.filling_terms(table(spark, directory, "postings"))
 
 
 def p6_scores(spark: SparkSession, directory: str) -> DataFrame:

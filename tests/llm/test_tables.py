@@ -51,12 +51,12 @@ def test_hot_record_is_spread(spark):
 
 def test_no_odds_and_empty_tables(spark):
     assert [r.z for r in distinctive.distinctive_terms(postings(spark, [("a", 1, 2)])).collect()] == [None]
-    assert distinctive.distinctive_terms(postings(spark, [])).count() == 0
+    assert distinctive.distinctive_terms(postings(spark, [])).count() == 0 and distinctive.filling_terms(postings(spark, [])).count() == 0
 
 
 def test_found_terms(spark):
     rows = [("rare", 1, 3), ("rare", 2, 3)] + [("common", d, 97) for d in range(1, 61)] + [("single", 3, 50)]
-    got = {tuple(r) for r in distinctive.found(distinctive.distinctive_terms(postings(spark, rows))).collect()}
+    got = {tuple(r) for r in distinctive.filling_terms(postings(spark, rows)).collect()}
     assert got == {(1, "rare"), (2, "rare")}
 
 
@@ -72,7 +72,7 @@ def test_found_terms_like_the_criterion(spark):
             df[t] = df.get(t, 0) + 1
         want = {(d, t) for t, d, n in rows if n * 100 >= 3 * size[d] and 2 <= df[t] <= 12 and df[t] * 100 <= 5 * len(size)}
         scored = distinctive.distinctive_terms(postings(spark, rows))
-        assert {tuple(r) for r in distinctive.found(scored).collect()} == want and want
+        assert {tuple(r) for r in distinctive.filling_terms(postings(spark, rows)).collect()} == want and want
     total, largest = sum(n for *_, n in rows), max(size.values())
     bound = distinctive.least_z(0.03, max(sum(n for u, _, n in rows if u == t) for t in df), largest, total, total / len(size))
     assert min(r.z for r in scored.collect() if r.tf * 100 >= 3 * r.n and r.df > 1) >= bound - 1e-9
