@@ -122,13 +122,16 @@ def _without_dots(path: Column) -> Column:
 
 
 def resolved(base: Column, href: Column) -> Column:
-    """A link's target against its page's URL by RFC 3986: absolute, ``//host``, ``/path``, ``?query``, ``#fragment`` and relative."""
+    """A link's target against its page's URL by RFC 3986: absolute, ``//host``, ``/path``, ``?query``, ``#fragment`` and relative.
+
+    As common libraries do, a relative path leaves no empty segments between those of the page and its own.
+    """
     origin = F.regexp_extract(base, rules.ORIGIN, 1)
     page = F.regexp_replace(base, r"[?#].*\z", "")
     folder = F.when(page == origin, F.lit("/")).otherwise(F.regexp_replace(F.substring(page, F.length(origin) + 1, F.length(page)), r"[^/]*\z", ""))
     path = F.regexp_replace(href, r"[?#].*\z", "")
     rest = F.substring(href, F.length(path) + 1, F.length(href))
-    joined = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    joined = F.when(path.startswith("/"), path).otherwise(F.regexp_replace(F.concat(folder, path), "/{2,}", "/"))
     return (
         F.when(href.rlike(rules.SCHEME), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, rules.SCHEME, 0), href))

@@ -12,7 +12,7 @@ from pagewright.operators import index as ix
 from pagewright.operators.ranking import row_number_within
 from pagewright.operators.skew import join_weighted
 from pagewright.params import COMPAT, Params
-from pagewright.plans.materialize import materialize
+from pagewright.plans.materialize import materialize, materialize_counted
 
 
 @dataclass(frozen=True)
@@ -32,8 +32,8 @@ class SearchIndex:
 
 def open_index(postings: DataFrame, docinfo: DataFrame, params: Params = COMPAT) -> SearchIndex:
     """An index over stored tables, in which repeated and invalid rows and unusable qualities are met."""
-    docs = materialize(ix.documents(docinfo), "documents")
-    return SearchIndex(postings, ix.first_tokens(postings), docs, docs.count(), params)
+    docs, n = materialize_counted(ix.documents(docinfo), "documents")
+    return SearchIndex(postings, ix.first_tokens(postings), docs, n, params)
 
 
 def open_saved(spark: SparkSession, folder: str, params: Params = COMPAT) -> SearchIndex:
@@ -41,8 +41,8 @@ def open_saved(spark: SparkSession, folder: str, params: Params = COMPAT) -> Sea
     stored = ix.load(spark, folder)
     frequencies = spark.read.parquet(f"{folder}/frequencies")
     first = materialize(frequencies.groupBy("bid").agg(F.min("token").alias("token")), "first-tokens")
-    docs = materialize(ix.documents(stored.docinfo), "documents")
-    return SearchIndex(stored.postings, first, docs, docs.count(), params, frequencies.select("token", "bid", "df"))
+    docs, n = materialize_counted(ix.documents(stored.docinfo), "documents")
+    return SearchIndex(stored.postings, first, docs, n, params, frequencies.select("token", "bid", "df"))
 
 
 @dataclass(frozen=True)
@@ -98,15 +98,15 @@ def prune(tokens: DataFrame, frequencies: DataFrame, params: Params = COMPAT) ->
 
 def match(pruned: DataFrame, postings: DataFrame) -> DataFrame:
     """``query_id, docid`` of documents that have all of a query's tokens."""
-    needed = pruned.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    asked = pruned.select("query_id", "token").join(needed, "query_id")
-    found = postings.select("token", "docid").join(_small(asked), "token").groupBy("query_id", "docid")
+    every = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    asked = _small(pruned, pruned.select("query_id", "token", every.alias("needed")))
+    found = postings.select("token", "docid").join(asked, "token").groupBy("query_id", "docid")
     return found.agg(F.count(F.lit(1)).alias("have"), F.max("needed").alias("needed")).filter("have = needed").select("query_id", "docid")
 
 
-def _small(asked: DataFrame) -> DataFrame:
-    """A batch's tokens, broadcast if there are few: the postings of a token that is everywhere stay where they are."""
-    return F.broadcast(asked) if asked.count() <= ix.FEW_WORDS else asked
+def _small(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """What is asked of a batch's tokens, one row each, broadcast if they are few: the postings of a token that is everywhere stay where they are."""
+    return F.broadcast(asked) if tokens.count() <= ix.FEW_WORDS else asked
 
 
 _QUALITIES = ("pr_quality", "hub_quality", "auth_quality")
@@ -123,8 +123,8 @@ def scores(pruned: DataFrame, index: SearchIndex, postings: DataFrame | None = N
     """
     p, n = index.params, index.n_docs
     postings = ix.lookup(index.postings, pruned) if postings is None else postings
-    needed = pruned.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    asked = _small(pruned.join(needed, "query_id").select("query_id", "token", "qtf", "df", "needed"))
+    every = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    asked = _small(pruned, pruned.select("query_id", "token", "qtf", "df", every.alias("needed")))
     idf = F.lit(1.0) if p.compat else F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df")))
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in p.importance]), F.col("important") + 1)
     rows = postings.join(asked, "token").withColumns({"w": F.col("tf") * weight * idf, "wq": F.col("qtf") * idf})
@@ -135,10 +135,9 @@ def scores(pruned: DataFrame, index: SearchIndex, postings: DataFrame | None = N
     matched = per_doc.filter("have = needed").join(index.docs.filter("total_tokens > 0"), "docid")
     cosine = F.coalesce(F.try_divide(F.col("both"), F.sqrt("ww") * F.sqrt("qq")), F.lit(0.0))
     matched = matched.select("query_id", "docid", "url", (F.col("w") / F.col("total_tokens")).alias("tf_sum"), cosine.alias("cosine"), *[F.col(c).cast("double").alias(c) for c in _QUALITIES])
-    matched = materialize(matched, "matches")
+    matched, total = materialize_counted(matched, "matches")
     norms = {f"_{c}": F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"_{c}") for c in ("tf_sum", "cosine", *_QUALITIES)}
     per_query = materialize(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), *norms.values()), "query-norms")
-    total = per_query.agg(F.sum("m")).first()[0] or 0
     scored = join_weighted(matched, per_query, "query_id", "m", total)
     scale = F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("m"))) if p.compat else F.lit(1.0)
     share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0))
@@ -228,18 +227,18 @@ def alternative_scores(queries: DataFrame, index: SearchIndex) -> DataFrame:
     idf = F.log2((F.lit(1.0) + index.n_docs) / (F.lit(1.0) + F.col("df")))
     weighted = found.tokens.join(found.frequencies, "token")
     weighted = weighted.withColumn("wq", F.when(F.col("qn") > 0, 1 + F.ln("qn")).otherwise(0.0) * idf)
-    lengths = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("length"), F.count(F.lit(1)).alias("needed"))
-    asked = _small(materialize(weighted.join(lengths, "query_id").select("query_id", "token", "wq", "length", "needed"), "asked"))
+    whole = Window.partitionBy("query_id")
+    lengths = {"length": F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(whole)), "needed": F.count(F.lit(1)).over(whole)}
+    asked = _small(found.tokens, weighted.withColumns(lengths).select("query_id", "token", "wq", "length", "needed"))
     wd = (1 + F.ln("tf")) * F.when(F.col("important") > 0, 1.2).otherwise(1.0)
     per_doc = found.postings.join(asked, "token").withColumn("wd", wd).groupBy("query_id", "docid").agg(
         F.try_divide(F.sum(F.col("wd") * F.col("wq")), F.sqrt(F.sum(F.col("wd") * F.col("wd"))) * F.max("length")).alias("cosine"),
         F.count(F.lit(1)).alias("have"), F.max("needed").alias("needed"),
     )
     docs = index.docs.select("docid", "url", *[F.col(c).cast("double").alias(c) for c in _QUALITIES])
-    matched = materialize(per_doc.filter("have = needed").join(docs, "docid"), "matches")
-    greatest = matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), *[F.max(c).alias(f"_{c}") for c in _QUALITIES])
-    greatest = materialize(greatest, "query-greatest")
-    joined = join_weighted(matched, greatest, "query_id", "m", greatest.agg(F.sum("m")).first()[0] or 0)
+    matched, total = materialize_counted(per_doc.filter("have = needed").join(docs, "docid"), "matches")
+    greatest = materialize(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), *[F.max(c).alias(f"_{c}") for c in _QUALITIES]), "query-greatest")
+    joined = join_weighted(matched, greatest, "query_id", "m", total)
     over = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0))
     cosine = F.coalesce("cosine", F.lit(0.0))
     score = cosine + over("pr_quality") + over("hub_quality") + over("auth_quality")

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
 
@@ -62,6 +63,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """:func:`materialize`, and the number of rows, counted as they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for df in frames:

@@ -71,7 +71,7 @@ def _resolved(base: str, href: str) -> str:
     page = f"regexp_replace({base}, '[?#].*\\z', '')"
     folder = f"CASE WHEN {page} = {origin} THEN '/' ELSE regexp_replace(substr({page}, length({origin}) + 1), '[^/]*\\z', '') END"
     path = f"regexp_replace({href}, '[?#].*\\z', '')"
-    joined = f"(CASE WHEN starts_with({path}, '/') THEN {path} ELSE {folder} || {path} END)"
+    joined = f"(CASE WHEN starts_with({path}, '/') THEN {path} ELSE regexp_replace({folder} || {path}, '/{{2,}}', '/', 'g') END)"
     plain = f"CASE WHEN regexp_matches({joined}, {_q(rules.DOTS)}) THEN {_without_dots(joined)} ELSE {joined} END"
     return f"""CASE WHEN regexp_matches({href}, {_q(rules.SCHEME)}) THEN {href}
       WHEN starts_with({href}, '//') THEN regexp_extract({base}, {_q(rules.SCHEME)}) || {href}
