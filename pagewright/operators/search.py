@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text
 from pagewright.operators import index as ix
+from pagewright.operators import matching
 from pagewright.operators.ranking import row_number_within
 from pagewright.operators.skew import join_weighted
 from pagewright.params import COMPAT, Params
@@ -217,29 +219,34 @@ def format_alternative(results: DataFrame) -> DataFrame:
     return results.select("query_id", "rank", line.alias("line"))
 
 
-def alternative_scores(queries: DataFrame, index: SearchIndex) -> DataFrame:
+def _alternative_scorer() -> matching.Scorer:
+    def figures(block: matching.Block, docs: dict[str, np.ndarray], bags: matching.Bags) -> list[np.ndarray]:
+        return [docs[c][block[1]] for c in matching.QUALITIES] + [_alternative_cosine(block, bags)]
+
+    def columns(figures: list[np.ndarray], m: int, greatest: np.ndarray) -> dict[str, np.ndarray]:
+        over = [np.zeros(len(x)) if most == 0 else x / most for x, most in zip(figures[:3], greatest[:3], strict=True)]
+        return {"cosine": figures[3], "score": figures[3] + over[0] + over[1] + over[2]}
+
+    return matching.Scorer(figures, columns, 4, greatest=True)
+
+
+def _alternative_cosine(block: matching.Block, bags: matching.Bags) -> np.ndarray:
+    bag, _, _, both, ww, _ = block
+    length = np.sqrt(ww) * bags.lengths[bag]
+    return np.where(length > 0, both / length, 0.0)
+
+
+def alternative_scores(queries: DataFrame, index: SearchIndex, columns: tuple[str, ...] = ("docid", "url", "cosine", "score"), k: int | None = None) -> DataFrame:
     """The alternate scorer: ``query_id, docid, url, cosine, score``.
 
     Log-weighted counts, important text by 1.2, idf from the collection; words without postings do not
-    matter; the score is the cosine plus each quality over its greatest in the result.
+    matter; the score is the cosine plus each quality over its greatest in the result. With ``k`` rows
+    that are not among the best ``k`` of a query may be missing.
     """
     found = gather(alternative_tokens(queries), index)
     idf = F.log2((F.lit(1.0) + index.n_docs) / (F.lit(1.0) + F.col("df")))
     weighted = found.tokens.join(found.frequencies, "token")
-    weighted = weighted.withColumn("wq", F.when(F.col("qn") > 0, 1 + F.ln("qn")).otherwise(0.0) * idf)
-    whole = Window.partitionBy("query_id")
-    lengths = {"length": F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(whole)), "needed": F.count(F.lit(1)).over(whole)}
-    asked = _small(found.tokens, weighted.withColumns(lengths).select("query_id", "token", "wq", "length", "needed"))
+    asked = weighted.select("query_id", "token", (F.when(F.col("qn") > 0, 1 + F.ln("qn")).otherwise(0.0) * idf).alias("wq"))
     wd = (1 + F.ln("tf")) * F.when(F.col("important") > 0, 1.2).otherwise(1.0)
-    per_doc = found.postings.join(asked, "token").withColumn("wd", wd).groupBy("query_id", "docid").agg(
-        F.try_divide(F.sum(F.col("wd") * F.col("wq")), F.sqrt(F.sum(F.col("wd") * F.col("wd"))) * F.max("length")).alias("cosine"),
-        F.count(F.lit(1)).alias("have"), F.max("needed").alias("needed"),
-    )
-    docs = index.docs.select("docid", "url", *[F.col(c).cast("double").alias(c) for c in _QUALITIES])
-    matched, total = materialize_counted(per_doc.filter("have = needed").join(docs, "docid"), "matches")
-    greatest = materialize(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), *[F.max(c).alias(f"_{c}") for c in _QUALITIES]), "query-greatest")
-    joined = join_weighted(matched, greatest, "query_id", "m", total)
-    over = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0))
-    cosine = F.coalesce("cosine", F.lit(0.0))
-    score = cosine + over("pr_quality") + over("hub_quality") + over("auth_quality")
-    return joined.select("query_id", "docid", "url", cosine.alias("cosine"), score.alias("score"))
+    postings = found.postings.select("token", "docid", wd.alias("w"))
+    return matching.scored(matching.batch(asked, postings, index.docs), _alternative_scorer(), columns, k)

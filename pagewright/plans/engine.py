@@ -59,6 +59,11 @@ def _scored(spark: SparkSession, directory: str) -> DataFrame:
     return search.scores(pruned, index, postings)
 
 
+def _alternative_best(spark: SparkSession, directory: str) -> DataFrame:
+    found = search.alternative_scores(table(spark, directory, "queries"), _open(spark, directory), ("docid", "url", "score"), 5)
+    return search.ranked(found, 5)
+
+
 def _saved(spark: SparkSession, directory: str) -> str:
     """An index of the stored tables, saved as the engine does it."""
     folder = new_path(spark, "index")
@@ -395,8 +400,7 @@ def alt_score(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def alt_search(spark: SparkSession, directory: str) -> DataFrame:
-    found = search.alternative_scores(table(spark, directory, "queries"), _open(spark, directory))
-    return search.ranked(found, 5).withColumn("score", F.round("score", 6))
+    return _alternative_best(spark, directory).withColumn("score", F.round("score", 6))
 
 
 @query
