@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,6 @@ from pagewright.functions import text
 from pagewright.operators import index as ix
 from pagewright.operators import matching
 from pagewright.operators.ranking import row_number_within
-from pagewright.operators.skew import join_weighted
 from pagewright.params import COMPAT, Params
 from pagewright.plans.materialize import materialize, materialize_counted
 
@@ -111,44 +111,61 @@ def _small(tokens: DataFrame, asked: DataFrame) -> DataFrame:
     return F.broadcast(asked) if tokens.count() <= ix.FEW_WORDS else asked
 
 
-_QUALITIES = ("pr_quality", "hub_quality", "auth_quality")
+def _relevance_scorer(index: SearchIndex) -> matching.Scorer:
+    """Relevance and quality of a block's documents; a bag's norms make them comparable."""
+    p, n = index.params, index.n_docs
+
+    def figures(block: matching.Block, docs: dict[str, np.ndarray], bags: matching.Bags) -> list[np.ndarray]:
+        _, at, w, both, ww, qq = block
+        length = np.sqrt(ww) * np.sqrt(qq)
+        return [w / docs["total_tokens"][at], np.where(length > 0, both / length, 0.0), *[docs[c][at] for c in matching.QUALITIES]]
+
+    def columns(figures: list[np.ndarray], m: int, norms: np.ndarray) -> dict[str, np.ndarray]:
+        tf_sum, cosine = figures[:2]
+        scale = math.log((1.0 + n) / (1.0 + m)) if p.compat else 1.0
+        share = [np.zeros(len(x)) if norm == 0 else x / norm for x, norm in zip(figures, norms, strict=True)]
+        cosine = cosine if scale > 0 else np.zeros(len(cosine))
+        relevance = np.where(cosine > p.cosine_gate, p.tfidf_weight * share[0] + (1 - p.tfidf_weight) * share[1], 0.0)
+        quality = p.pagerank_weight * share[2] + p.hub_weight * share[3] + p.authority_weight * share[4]
+        score = p.relevance_weight * relevance + (1 - p.relevance_weight) * quality
+        return {"tfidf": tf_sum * scale, "cosine": cosine, "relevance": relevance, "quality": quality, "score": score}
+
+    return matching.Scorer(figures, columns, 5, greatest=False)
+
+
+def _matches(pruned: DataFrame, index: SearchIndex, postings: DataFrame | None) -> matching.Batch:
+    p, n = index.params, index.n_docs
+    postings = ix.lookup(index.postings, pruned) if postings is None else postings
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in p.importance]), F.col("important") + 1)
+    if p.compat:
+        weighted, wq = postings.withColumn("w", F.col("tf") * weight), F.col("qtf").cast("double")
+    else:
+        idf = F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df")))
+        of_token = pruned.groupBy("token").agg(F.max("df").alias("df"))
+        weighted, wq = postings.join(_small(pruned, of_token), "token").withColumn("w", F.col("tf") * weight * idf), F.col("qtf") * idf
+    return matching.batch(pruned.select("query_id", "token", wq.alias("wq")), weighted.select("token", "docid", "w"), index.docs.filter("total_tokens > 0"))
+
 
+_SCORES = ("docid", "url", "tfidf", "cosine", "relevance", "quality", "score")
 
-def scores(pruned: DataFrame, index: SearchIndex, postings: DataFrame | None = None) -> DataFrame:
+
+def scores(pruned: DataFrame, index: SearchIndex, postings: DataFrame | None = None, columns: tuple[str, ...] = _SCORES, k: int | None = None) -> DataFrame:
     """All scores of all matches: ``query_id, docid, url, tfidf, cosine, relevance, quality, score``.
 
     One idf a query from its result's size (``compat``) or one a token from the collection; weights of a
     token in a document, their sum and their cosine with the query; both normalised over the result and
     mixed, unless the cosine misses the gate; the qualities normalised and mixed likewise. ``postings``
-    are those of the batch's tokens if they have been looked up already. A query's size and norms are one aggregate, joined back to its
-    matches; the row of a query with a large part of all matches is broadcast.
+    are those of the batch's tokens if they have been looked up already. Matches are found twice, for the
+    norms and for the scores, and neither moved nor written. With ``k`` rows that are not among the best
+    ``k`` of a query may be missing.
     """
-    p, n = index.params, index.n_docs
-    postings = ix.lookup(index.postings, pruned) if postings is None else postings
-    every = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    asked = _small(pruned, pruned.select("query_id", "token", "qtf", "df", every.alias("needed")))
-    idf = F.lit(1.0) if p.compat else F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df")))
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in p.importance]), F.col("important") + 1)
-    rows = postings.join(asked, "token").withColumns({"w": F.col("tf") * weight * idf, "wq": F.col("qtf") * idf})
-    per_doc = rows.groupBy("query_id", "docid").agg(
-        F.count(F.lit(1)).alias("have"), F.max("needed").alias("needed"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("wq")).alias("both"),
-        F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("wq") * F.col("wq")).alias("qq"),
-    )
-    matched = per_doc.filter("have = needed").join(index.docs.filter("total_tokens > 0"), "docid")
-    cosine = F.coalesce(F.try_divide(F.col("both"), F.sqrt("ww") * F.sqrt("qq")), F.lit(0.0))
-    matched = matched.select("query_id", "docid", "url", (F.col("w") / F.col("total_tokens")).alias("tf_sum"), cosine.alias("cosine"), *[F.col(c).cast("double").alias(c) for c in _QUALITIES])
-    matched, total = materialize_counted(matched, "matches")
-    norms = {f"_{c}": F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"_{c}") for c in ("tf_sum", "cosine", *_QUALITIES)}
-    per_query = materialize(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), *norms.values()), "query-norms")
-    scored = join_weighted(matched, per_query, "query_id", "m", total)
-    scale = F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("m"))) if p.compat else F.lit(1.0)
-    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0))
-    known = lambda value: F.when(scale > 0, value).otherwise(0.0)
-    relevance = p.tfidf_weight * share("tf_sum") + (1 - p.tfidf_weight) * share("cosine")
-    quality = p.pagerank_weight * share("pr_quality") + p.hub_weight * share("hub_quality") + p.authority_weight * share("auth_quality")
-    out = scored.withColumns({"tfidf": F.col("tf_sum") * scale, "quality": quality, "relevance": F.when(known(F.col("cosine")) > p.cosine_gate, relevance).otherwise(0.0)})
-    out = out.withColumns({"cosine": known(F.col("cosine")), "score": p.relevance_weight * F.col("relevance") + (1 - p.relevance_weight) * F.col("quality")})
-    return out.select("query_id", "docid", "url", "tfidf", "cosine", "relevance", "quality", "score")
+    return matching.scored(_matches(pruned, index, postings), _relevance_scorer(index), columns, k)
+
+
+def ordered(pruned: DataFrame, index: SearchIndex, postings: DataFrame | None = None) -> DataFrame:
+    """All matches in order, as ``ranked`` numbers them: ``query_id, rank, docid, url, score``."""
+    out = matching.ordered(_matches(pruned, index, postings), _relevance_scorer(index))
+    return out.withColumn("rank", F.col("rank").cast("int"))
 
 
 def ranked(scored: DataFrame, k: int | None = None) -> DataFrame:
@@ -166,16 +183,24 @@ def ranked(scored: DataFrame, k: int | None = None) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "docid", "url", "score")
 
 
-def scored(queries: DataFrame, index: SearchIndex) -> DataFrame:
-    """The scores of all matches of a batch of queries ``query_id, query``."""
+def _asked(queries: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame]:
+    """The tokens that a batch of queries ``query_id, query`` is answered with, and their postings."""
     found = gather(query_tokens(queries), index)
-    pruned = materialize(prune(found.tokens, found.frequencies, index.params), "pruned")
-    return scores(pruned, index, found.postings)
+    return materialize(prune(found.tokens, found.frequencies, index.params), "pruned"), found.postings
+
+
+def scored(queries: DataFrame, index: SearchIndex, columns: tuple[str, ...] = _SCORES, k: int | None = None) -> DataFrame:
+    """The scores of all matches of a batch of queries ``query_id, query``."""
+    pruned, postings = _asked(queries, index)
+    return scores(pruned, index, postings, columns, k)
 
 
 def search(queries: DataFrame, index: SearchIndex, k: int | None = None) -> DataFrame:
     """Answer a batch of queries ``query_id, query``: all matches in order, or the best ``k``."""
-    return ranked(scored(queries, index), k)
+    if k is not None:
+        return ranked(scored(queries, index, ("docid", "url", "score"), k), k)
+    pruned, postings = _asked(queries, index)
+    return ordered(pruned, index, postings)
 
 
 def _url() -> Column:

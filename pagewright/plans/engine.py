@@ -59,6 +59,10 @@ def _scored(spark: SparkSession, directory: str) -> DataFrame:
     return search.scores(pruned, index, postings)
 
 
+def _best(spark: SparkSession, directory: str, k: int | None = None) -> DataFrame:
+    return search.search(table(spark, directory, "queries"), _open(spark, directory), k)
+
+
 def _alternative_best(spark: SparkSession, directory: str) -> DataFrame:
     found = search.alternative_scores(table(spark, directory, "queries"), _open(spark, directory), ("docid", "url", "score"), 5)
     return search.ranked(found, 5)
@@ -379,7 +383,7 @@ def search_full(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def search_topk(spark: SparkSession, directory: str) -> DataFrame:
-    return search.ranked(_scored(spark, directory), 5).withColumn("score", F.round("score", 6))
+    return _best(spark, directory, 5).withColumn("score", F.round("score", 6))
 
 
 @query
