@@ -398,7 +398,7 @@ def format_web(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def alt_score(spark: SparkSession, directory: str) -> DataFrame:
-    found = search.alternative_scores(table(spark, directory, "queries"), _open(spark, directory))
+    found = search.alternative_scores(table(spark, directory, "queries"), _open(spark, directory), ("docid", "cosine", "score"))
     return found.select("query_id", "docid", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
 
 

@@ -13,7 +13,7 @@ from pagewright.plans.materialize import shared_folder
 
 WORDS = ("boat", "bird", "corn", "cat", "dog", "drum", "fish", "frog", "goat", "gold", "hat", "hill")
 N_DOCS, N_MATCHING = 400, 200
-NAMES = ("alt_search", "search_topk")
+NAMES = ("alt_search", "search_topk", "alt_score")
 
 
 @pytest.fixture(scope="module")
