@@ -53,10 +53,8 @@ def _gathered(spark: SparkSession, directory: str, index: search.SearchIndex) ->
     return materialize(search.prune(found.tokens, found.frequencies, COMPAT), "pruned"), found.postings
 
 
-def _scored(spark: SparkSession, directory: str) -> DataFrame:
-    index = _open(spark, directory)
-    pruned, postings = _gathered(spark, directory, index)
-    return search.scores(pruned, index, postings)
+def _scored(spark: SparkSession, directory: str, *columns: str) -> DataFrame:
+    return search.scored(table(spark, directory, "queries"), _open(spark, directory), columns)
 
 
 def _best(spark: SparkSession, directory: str, k: int | None = None) -> DataFrame:
@@ -366,7 +364,7 @@ def match_intersect(spark: SparkSession, directory: str) -> DataFrame:
 
 def _score_query(name: str, column: str) -> None:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        return _scored(spark, directory).select("query_id", "docid", F.round(column, 6).alias(column))
+        return _scored(spark, directory, "docid", column).withColumn(column, F.round(column, 6))
 
     run.__name__ = name
     query(run)
