@@ -376,7 +376,7 @@ for _name, _column in (("score_tfidf", "tfidf"), ("score_cosine", "cosine"), ("s
 
 @query
 def search_full(spark: SparkSession, directory: str) -> DataFrame:
-    return search.ranked(_scored(spark, directory)).withColumn("score", F.round("score", 6))
+    return _best(spark, directory).withColumn("score", F.round("score", 6))
 
 
 @query
