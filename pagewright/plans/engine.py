@@ -391,7 +391,7 @@ def format_tty(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def format_web(spark: SparkSession, directory: str) -> DataFrame:
-    return search.format_web(search.ranked(_scored(spark, directory), 5), _summaries(spark, directory))
+    return search.format_web(_best(spark, directory, 5), _summaries(spark, directory))
 
 
 @query
