@@ -407,8 +407,7 @@ def alt_search(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def format_alternative(spark: SparkSession, directory: str) -> DataFrame:
-    found = search.alternative_scores(table(spark, directory, "queries"), _open(spark, directory))
-    return search.format_alternative(search.ranked(found, 5))
+    return search.format_alternative(_alternative_best(spark, directory))
 
 
 @query
