@@ -386,7 +386,7 @@ def search_topk(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def format_tty(spark: SparkSession, directory: str) -> DataFrame:
-    return search.format_tty(search.ranked(_scored(spark, directory), 5))
+    return search.format_tty(_best(spark, directory, 5))
 
 
 @query
