@@ -13,7 +13,7 @@ from pagewright.plans.materialize import shared_folder
 
 WORDS = ("boat", "bird", "corn", "cat", "dog", "drum", "fish", "frog", "goat", "gold", "hat", "hill")
 N_DOCS, N_MATCHING = 400, 200
-NAMES = ("alt_search", "search_topk", "alt_score", "saved_search", "score_quality", "search_full", "format_web", "score_net", "format_alternative", "format_tty", "score_cosine", "score_relevance")
+NAMES = ("alt_search", "search_topk", "alt_score", "saved_search", "score_quality", "search_full", "format_web", "score_net", "format_alternative", "format_tty", "score_cosine", "score_relevance", "score_tfidf")
 
 
 @pytest.fixture(scope="module")
