@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
+from pagewright.operators import matching
 from pagewright.plans.materialize import shared_folder
 
 WORDS = ("boat", "bird", "corn", "cat", "dog", "drum", "fish", "frog", "goat", "gold", "hat", "hill")
@@ -61,3 +62,12 @@ def test_matches_are_not_written(spark, tables, name):
     got = sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, tables).collect())
     assert got == wanted(tables, name)
     assert max(n for table, n in written(spark).items() if table not in before) < 66 * N_MATCHING // 2
+
+
+def test_slices_and_large_bags(spark, tables, monkeypatch):
+    """Bags sent in several slices, and bags of too many matches for one task, give the same order."""
+    monkeypatch.setattr(matching, "SLICE", 40)
+    monkeypatch.setattr(matching, "FEW_MATCHES", 150)
+    monkeypatch.setattr(matching, "FEW_DOCS", 1)
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["search_full"](spark, tables).collect())
+    assert got == wanted(tables, "search_full")
