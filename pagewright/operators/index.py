@@ -11,7 +11,7 @@ from pagewright.functions import hashing, text
 from pagewright.functions.html_parser import parsed
 from pagewright.operators import dedup
 from pagewright.params import COMPAT, IMPORTANT_TAGS, Params
-from pagewright.plans.materialize import materialize
+from pagewright.plans.materialize import materialize, shuffles_go
 
 
 def token_counts(pages: DataFrame, params: Params = COMPAT) -> DataFrame:
@@ -115,18 +115,24 @@ def save(index: Index, folder: str) -> None:
     """Write an index: postings in buckets, sorted by token and docid, the other tables plain.
 
     A bucket's rows go to as many files as its share of tokens warrants: rows are spread by bucket and a
-    hash of the token, so a bucket with most of the rows is not one task. Postings are cleaned once here;
-    their tokens' frequencies are kept beside them, so opening the index reads no postings.
+    hash of the token, so a bucket with most of the rows is not one task. Postings are cleaned once here,
+    where they have been spread, so they are moved once; their tokens' frequencies are kept beside them,
+    so opening the index reads no postings.
     """
     spark = index.postings.sparkSession
-    clean = valid_postings(index.postings).withColumn("bid", text.bucket(F.col("token")))
-    spread = clean.repartition(F.col("bid"), F.pmod(F.xxhash64("token"), F.lit(16)))
-    spread.sortWithinPartitions("bid", "token", "docid").write.mode("overwrite").partitionBy("bid").parquet(f"{folder}/postings")
-    written = spark.read.parquet(f"{folder}/postings")
-    counted = written.groupBy("bid", "token").agg(F.count(F.lit(1)).alias("df"))
-    counted.write.mode("overwrite").partitionBy("bid").parquet(f"{folder}/frequencies")
-    index.docinfo.write.mode("overwrite").parquet(f"{folder}/docinfo")
-    index.doclinks.write.mode("overwrite").parquet(f"{folder}/doclinks")
+    with shuffles_go(spark):
+        spread_postings(index.postings).write.mode("overwrite").partitionBy("bid").parquet(f"{folder}/postings")
+        written = spark.read.parquet(f"{folder}/postings")
+        counted = written.groupBy("bid", "token").agg(F.count(F.lit(1)).alias("df"))
+        counted.write.mode("overwrite").partitionBy("bid").parquet(f"{folder}/frequencies")
+        index.docinfo.write.mode("overwrite").parquet(f"{folder}/docinfo")
+        index.doclinks.write.mode("overwrite").parquet(f"{folder}/doclinks")
+
+
+def spread_postings(postings: DataFrame) -> DataFrame:
+    """Valid postings by bucket, token and docid, spread by bucket and a hash of the token."""
+    placed = postings.withColumns({"bid": text.bucket(F.col("token")), "_part": F.pmod(F.xxhash64("token"), F.lit(16))})
+    return valid_postings(placed.repartition("bid", "_part")).drop("_part").sortWithinPartitions("bid", "token", "docid")
 
 
 def load(spark: SparkSession, folder: str) -> Index:

@@ -7,11 +7,14 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
+#: Spark's setting by which a query's shuffle files go when it ends; they stay until the driver collects its garbage otherwise.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _remove(jvm, configuration, root: str) -> None:
@@ -49,15 +52,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within, what is written deletes its shuffle files as soon as it is there."""
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLES_GO) if before is None else spark.conf.set(_SHUFFLES_GO, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The result does not depend on any executor staying alive, is columnar (so later
-    branches read only what they need) and carries exact sizes for the optimiser.
+    branches read only what they need) and carries exact sizes for the optimiser. The
+    shuffle files of writing it are deleted at once.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_go(spark):
+        df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

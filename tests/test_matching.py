@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import time
 from datetime import datetime
 
 import duckdb
@@ -9,8 +10,9 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
+from pagewright.operators import index as ix
 from pagewright.operators import matching
-from pagewright.plans.materialize import shared_folder
+from pagewright.plans.materialize import materialize, shared_folder
 
 WORDS = ("boat", "bird", "corn", "cat", "dog", "drum", "fish", "frog", "goat", "gold", "hat", "hill")
 N_DOCS, N_MATCHING = 400, 200
@@ -71,3 +73,34 @@ def test_slices_and_large_bags(spark, tables, monkeypatch):
     monkeypatch.setattr(matching, "FEW_DOCS", 1)
     got = sorted(tuple(r) for r in __spark_entry__.queries()["search_full"](spark, tables).collect())
     assert got == wanted(tables, "search_full")
+
+
+def shuffle_files(spark):
+    """Files of shuffles that are still on the disk."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {x for x in found.split("\n") if "shuffle_" in x}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    out = materialize(spark.range(10_000).repartition(4, "id").groupBy("id").count(), "counted")
+    ends = time.time() + 20
+    while (left := {x for x in shuffle_files(spark) - before if x.endswith(".data")}) and time.time() < ends:
+        time.sleep(0.2)
+    assert not left
+    assert len(out.collect()) == 10_000
+
+
+def test_saved_postings_are_moved_once(spark, tables):
+    spread = ix.spread_postings(spark.read.parquet(f"{tables}/postings.parquet"))
+    assert spread._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = {tuple(r) for r in spread.select("bid", "token", "docid", "tf", "important").collect()}
+    assert len(rows) == spread.count() == duckdb.sql(f"SELECT count(*) FROM (SELECT DISTINCT * FROM '{tables}/postings.parquet/*.parquet' WHERE tf > 0 AND token IS NOT NULL AND docid IS NOT NULL)").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("name", ["saved_search", "score_cosine", "score_relevance", "score_net", "score_tfidf", "alt_score", "search_full"])
+def test_found_postings_go_once_packed(spark, tables, name):
+    before = written(spark)
+    got = sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, tables).collect())
+    assert got == wanted(tables, name)
+    assert not [table for table in set(written(spark)) - set(before) if table.startswith("found-postings")]
