@@ -14,7 +14,7 @@ from pagewright.operators import index as ix
 from pagewright.operators import matching
 from pagewright.operators.ranking import row_number_within
 from pagewright.params import COMPAT, Params
-from pagewright.plans.materialize import materialize, materialize_counted
+from pagewright.plans.materialize import discard, materialize, materialize_counted
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,9 @@ def _asked(queries: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame
 def scored(queries: DataFrame, index: SearchIndex, columns: tuple[str, ...] = _SCORES, k: int | None = None) -> DataFrame:
     """The scores of all matches of a batch of queries ``query_id, query``."""
     pruned, postings = _asked(queries, index)
-    return scores(pruned, index, postings, columns, k)
+    out = scores(pruned, index, postings, columns, k)
+    discard(postings)
+    return out
 
 
 def search(queries: DataFrame, index: SearchIndex, k: int | None = None) -> DataFrame:
@@ -200,7 +202,9 @@ def search(queries: DataFrame, index: SearchIndex, k: int | None = None) -> Data
     if k is not None:
         return ranked(scored(queries, index, ("docid", "url", "score"), k), k)
     pruned, postings = _asked(queries, index)
-    return ordered(pruned, index, postings)
+    out = ordered(pruned, index, postings)
+    discard(postings)
+    return out
 
 
 def _url() -> Column:
@@ -274,4 +278,6 @@ def alternative_scores(queries: DataFrame, index: SearchIndex, columns: tuple[st
     asked = weighted.select("query_id", "token", (F.when(F.col("qn") > 0, 1 + F.ln("qn")).otherwise(0.0) * idf).alias("wq"))
     wd = (1 + F.ln("tf")) * F.when(F.col("important") > 0, 1.2).otherwise(1.0)
     postings = found.postings.select("token", "docid", wd.alias("w"))
-    return matching.scored(matching.batch(asked, postings, index.docs), _alternative_scorer(), columns, k)
+    answered = matching.batch(asked, postings, index.docs)
+    discard(found.postings)
+    return matching.scored(answered, _alternative_scorer(), columns, k)
